@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, quality_rules, substring
+from . import attribution, bpe, classifier, embeddings, minhash, mixing, quality_rules, reputation, substring, tokenfile
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -28,20 +28,65 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), NEAR)
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), by_space=True)
+
+
 def op4_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op5_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.section_tokens(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, by_space=True)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+#: The rules of the URL filter.
+URL_RULES = (
+    reputation.Rule("allow", "org", "/"),
+    reputation.Rule("block", "example.org", "/es/"),
+    reputation.Rule("block", "example.org", "/en/1"),
+    reputation.Rule("allow", "com", "/fr/"),
+    reputation.Rule("block", "com", "/de/"),
+)
+
+
+def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = reputation.Reputation(rules=URL_RULES)
+    return reputation.host_reputation(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), rules)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_duplicates(_table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_byte_bpe,
+    op2_minhash_near_dedup,
+    op3_token_files,
+    op4_cube_mixing,
+    op5_grid_order_join,
+    op6_quality_classifier,
+    op7_section_tokens,
+    op8_quality_rules,
+    op9_host_reputation,
+    op10_substring_dedup,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_minhash_near_dedup, op4_cube_mixing, op8_quality_rules, op10_substring_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
