@@ -1,0 +1,6 @@
+"""All registered queries over the given tables."""
+
+from . import search
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "search"]
