@@ -277,8 +277,9 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup(), id_col: st
     pairs = scratch.settle(bands.join(buckets, "key").where("a <> b").select("a", "b").distinct())
 
     candidates = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    # The list of candidates grows with the corpus: a merge join at every size, never a broadcast.
     sets = (
-        source.join(candidates, "doc_id", "left_semi")
+        source.join(candidates.hint("merge"), "doc_id", "left_semi")
         .mapInArrow(lambda it: _sets(it, p), "doc_id long, shingles binary")
         .dropDuplicates(["doc_id"])
     )
