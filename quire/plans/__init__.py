@@ -1,6 +1,6 @@
 """All registered queries over the given tables."""
 
-from . import search
+from . import search, usage
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "search"]
+__all__ = ["QUERIES", "SQL", "search", "usage"]

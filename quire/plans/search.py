@@ -95,7 +95,7 @@ def sea05_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {TITLED.replace("from documents)", "from (select doc_id, replace(text, 'ß', 'ss') as text from documents))")},
-q as (select item_id as query_id, list_distinct({WORDS}[1:2]) as words from benchmark),
+q as (select item_id as query_id, list_distinct({WORDS}[1:2]) as words from (select item_id, replace(text, 'ß', 'ss') as text from benchmark)),
 terms as (select query_id, unnest(words) as term from q),
 near as (select query_id, t.term, v.term as match, 1 - levenshtein(t.term, v.term) / greatest(length(t.term), 1) as gain from terms t
   join vocab v on left(v.term, 1) = left(t.term, 1) and abs(length(v.term) - length(t.term)) <= 2 where levenshtein(t.term, v.term) <= 2),
@@ -109,7 +109,8 @@ def sea06_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     docs = _titled(spark, d).withColumns({c: F.replace(c, F.lit("ß"), F.lit("ss")) for c in ("title", "text")})
     index = S.build_index(docs, {"title": 5.0, "text": 1.0})
     targets = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("target"))
-    return S.search_fuzzy(_queries(spark, d), index, targets, limit=10)
+    queries = _queries(spark, d).withColumn("query", F.replace("query", F.lit("ß"), F.lit("ss")))
+    return S.search_fuzzy(queries, index, targets, limit=10)
 
 
 def _books(spark: SparkSession, d: str) -> DataFrame:
