@@ -1,6 +1,6 @@
 """All registered queries over the given tables."""
 
-from . import search, usage
+from . import search, structure, usage
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "search", "usage"]
+__all__ = ["QUERIES", "SQL", "search", "structure", "usage"]
