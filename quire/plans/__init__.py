@@ -1,6 +1,6 @@
 """All registered queries over the given tables."""
 
-from . import search, structure, usage
+from . import reports, search, structure, usage
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "search", "structure", "usage"]
+__all__ = ["QUERIES", "SQL", "reports", "search", "structure", "usage"]
