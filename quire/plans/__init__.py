@@ -1,6 +1,6 @@
 """All registered queries over the given tables."""
 
-from . import recipes, reports, review, search, structure, usage
+from . import consensus, recipes, reports, review, search, structure, usage
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "recipes", "reports", "review", "search", "structure", "usage"]
+__all__ = ["QUERIES", "SQL", "consensus", "recipes", "reports", "review", "search", "structure", "usage"]
