@@ -273,7 +273,8 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup(), id_col: st
 
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", i * p.rows + 1, p.rows)) for i in range(p.bands)])
     bands = distinct.select(F.col("rep").alias("b"), F.explode(keys).alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("b").alias("a"), F.max("b").alias("last")).where("a <> last").select("key", "a")
+    # Written first: a join of two plain shuffles is one whose hot keys Spark can split.
+    buckets = scratch.settle(bands.groupBy("key").agg(F.min("b").alias("a"), F.max("b").alias("last")).where("a <> last").select("key", "a"))
     pairs = scratch.settle(bands.join(buckets, "key").where("a <> b").select("a", "b").distinct())
 
     candidates = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -319,7 +320,7 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup(), id_col: st
         .select("id", F.coalesce("top", "label").alias("component_id"))
         .union(above.join(labels, "id", "left_anti").select("id", F.col("label")))
     )
-    scratch.drop(pairs, sets, links, open_members, more)
+    scratch.drop(buckets, pairs, sets, links, open_members, more)
     named = (
         distinct.select("low", "high", "n_shingles", "rep")
         .join(final.withColumnRenamed("id", "rep"), "rep", "left")
