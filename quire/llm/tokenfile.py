@@ -41,13 +41,8 @@ ESCAPE = 15
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
-    """Bits that each id needs, at least one."""
-    out = np.ones(len(ids), np.int8)
-    for step in (32, 16, 8, 4, 2, 1):
-        big = (ids >> np.uint64(step)) > 0
-        out[big] += step
-        ids = np.where(big, ids >> np.uint64(step), ids)
-    return out
+    """Bits that each id needs, at least one; an id over 2**53 may get one more."""
+    return np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.int8)
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,11 +122,14 @@ class LibraryEncoder:
     """Texts to ids with a tokenizer file; remembers the ids of words.
 
     by_space: a space before a non-space starts a new piece of this tokenizer,
-    so a text without other spaces is cut there. Words that are new go to the
-    library together as one text, and their ids are told apart by length.
+    so a text without other spaces is cut there; a full stop or comma after
+    letters is a piece too, so such a word shares the ids of its letters. New
+    words go to the library together as one text, and their ids are told
+    apart by length. Two generations of words are remembered, so that frequent
+    ones stay.
     """
 
-    REMEMBERED = 500_000
+    REMEMBERED = 300_000
     RUN_CHARS = 3_000_000
 
     def __init__(self, raw: bytes, by_space: bool):
@@ -142,6 +140,8 @@ class LibraryEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.other_space = regex.compile(r" (?!\S)").search if by_space else lambda text: True
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.stops = dict(zip(".,", self._whole([".", ","])))
         vocabulary = self.tokenizer.get_vocab()
         self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -150,16 +150,24 @@ class LibraryEncoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
+        older, held = self.older, self.words
+        held.update((w, older[w]) for w in words if w in older)
+        words = words.difference(held)
+        stopped = {w: w[:-1] for w in words if w[-1:] in self.stops and w[:-1].isalpha()}
+        bases = set(stopped.values())
+        held.update((w, older[w]) for w in bases if w in older)
+        new = list((words.difference(stopped) | bases).difference(held))
         at = 0
-        while at < len(words):  # texts of some ten thousand words each
-            part = words[at : at + 20_000]
+        while at < len(new):  # texts of some ten thousand words each
+            part = new[at : at + 20_000]
             at += len(part)
             ids = np.frombuffer(self._whole(["".join([" " + w for w in part])])[0], np.int32)
             ends = np.cumsum(self.length[ids])
             cuts = np.searchsorted(ends, np.cumsum([len(w.encode()) + 1 for w in part])) + 1
             raw, cuts = ids.tobytes(), [0, *(cuts * 4).tolist()]
-            self.words.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
+            held.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
+        held.update((w, held[base] + self.stops[w[-1]]) for w, base in stopped.items())
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         at = 0
@@ -169,14 +177,14 @@ class LibraryEncoder:
                 size += len(texts[to] or "")
                 to += 1
             if len(self.words) > self.REMEMBERED:
-                self.words.clear()
+                self.words, self.older = {}, self.words
             heads, tails = [], []
             for t in texts[at:to]:
                 t = t or ""
                 words = [t] if self.other_space(t) else t.split(" ")
                 heads.append(words[0])
                 tails.append(words[1:])
-            self._learn(list(set().union(*tails).difference(self.words)))
+            self._learn(set().union(*tails).difference(self.words))
             held = self.words.__getitem__
             for head, words in zip(self._whole(heads), tails):
                 yield np.frombuffer(b"".join([head, *map(held, words)]), np.int32)
