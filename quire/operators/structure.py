@@ -206,3 +206,10 @@ def gaps(rows: DataFrame, by: str, order: str, rule: str) -> DataFrame:
     whole = rows.groupBy(by).agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.countDistinct(order).alias("n"), F.count("*").alias("rows"))
     wrong = whole.where((F.col("lo") != 1) | (F.col("hi") - F.col("lo") + 1 != F.col("n")) | (F.col("n") != F.col("rows")))
     return wrong.select(F.lit(rule).alias("rule"), F.col(by).cast("string").alias("key"))
+
+
+def roundtrip(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc: documents whose text nodes, joined in order, don't have the stored digest."""
+    parts = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("preorder", "text"))))
+    joined = nodes.groupBy("doc").agg(F.sha2(F.array_join(F.transform(parts, lambda p: p["text"]), ""), 256).alias("found"))
+    return documents.join(joined, "doc", "left").where(~F.col("found").eqNullSafe(F.col("body_sha256"))).select("doc")

@@ -76,3 +76,10 @@ def write_publication(tables: dict[str, DataFrame], path: str) -> None:
     """Every table once under a new path; a publication that is there is never overwritten."""
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{path}/{name}")
+
+
+def read_reports(spark: SparkSession, path: str, content_id: Column) -> DataFrame:
+    """Reports of JSON files, oldest first; only those whose id is the one that their content gives."""
+    schema = "report_id string, source string, page long, kind string, quoted string, proposed string, created_at timestamp"
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)
+    return rows.where(F.col("report_id") == content_id).orderBy("created_at", "report_id")
