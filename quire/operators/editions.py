@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions.text import phrase_form
 
@@ -135,3 +135,67 @@ def validate_candidate(pages: DataFrame, sections: DataFrame, counts: DataFrame)
     held = whole.select("source", "rows").join(counts, "source", "full").where("not (rows <=> wanted)").select(F.lit("count").alias("rule"), text("source"))
     return order.unionByName(lost).unionByName(held)
 
+
+
+def explicit_recipes(sections: DataFrame, blocks: DataFrame) -> DataFrame:
+    """section: those that the contents name, with ingredients, and with every method after the last ingredient."""
+    at = lambda role: F.when(F.col("role") == role, F.col("pos"))
+    held = blocks.groupBy("section").agg(F.max(at("ingredient")).alias("ingredient"), F.min(at("instruction")).alias("method"))
+    named = sections.where("in_toc").select("section")
+    return held.where("ingredient < method").join(named, "section", "left_semi").select("section")
+
+
+def catalog_references(links: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Adds resolution and target_recipe to links(link, source_recipe, source_role, state, doc, place).
+
+    ranges(doc, recipe, first, last) are bounded recipes; a document has few.
+    """
+    inside = (F.col("place") >= F.col("first")) & (F.col("place") <= F.col("last"))
+    hits = links.join(ranges, "doc").where(inside).groupBy("link").agg(F.min_by("recipe", F.struct(F.col("last") - F.col("first"), "recipe")).alias("target_recipe"))
+    rows = links.join(hits, "link", "left")
+    resolution = (
+        F.when(F.col("state") == "external", "external")
+        .when(F.col("state") == "no document", "unresolved_document")
+        .when(F.col("state") == "no anchor", "unresolved_anchor")
+        .when(F.col("target_recipe") == F.col("source_recipe"), "same_recipe")
+        .when(F.col("target_recipe").isNotNull(), "bounded_recipe")
+        .otherwise("source_target_requires_review")
+    )
+    return rows.select("link", "source_recipe", "source_role", "target_recipe", resolution.alias("resolution"))
+
+
+def remap_labels(labels: DataFrame, lines: DataFrame) -> DataFrame:
+    """key, block, first, last, refused: blocks over the new numbers of their surviving lines, which must stay next to each other.
+
+    lines(key, old, new): where old lines went. A block without survivors goes.
+    """
+    rows = labels.select("key", "block", F.explode(F.sequence("first", "last")).alias("old")).join(lines, ["key", "old"])
+    held = rows.groupBy("key", "block").agg(F.min("new").alias("first"), F.max("new").alias("last"), F.countDistinct("new").alias("n"))
+    return held.select("key", "block", "first", "last", (F.col("last") - F.col("first") + 1 != F.col("n")).alias("refused"))
+
+
+def quantity_review(votes: DataFrame, pages: DataFrame) -> DataFrame:
+    """page, crop, reason of votes(page, crop, line, support, voters, tie): tied, rejected, unmatched in the page's text, or reviewed."""
+    rows = votes.join(pages.select("page", F.col("text").alias("body")), "page", "left")
+    reason = (
+        F.when(F.col("body").isNull(), "no page")
+        .when(F.col("tie"), "tied")
+        .when(F.col("support") * 2 <= F.col("voters"), "rejected")
+        .when(~F.array_contains(F.split("body", "\n"), F.col("line")), "unmatched")
+        .otherwise("reviewed")
+    )
+    return rows.select("page", "crop", "line", reason.alias("reason"))
+
+
+def search_units(nodes: DataFrame, block: Column, heading: Column, size: int = 18_000) -> DataFrame:
+    """doc, preorder, chunk, id, title, text: the texts of outer blocks, without blank ones, in pieces; a heading is its own title."""
+    from .structure import chunks, outer_blocks
+
+    blocks = outer_blocks(nodes, block).select("doc", "preorder", "subtree_end", heading.alias("heading"))
+    text = nodes.where("text is not null").select("doc", F.col("preorder").alias("at"), "text")
+    inside = blocks.join(text, "doc").where((F.col("at") >= F.col("preorder")) & (F.col("at") <= F.col("subtree_end")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "")
+    whole = inside.groupBy("doc", "preorder", "heading").agg(joined.alias("text")).where(F.trim("text") != "")
+    keyed = whole.withColumn("key", F.concat_ws(":", "doc", "preorder"))
+    titles = keyed.select("key", "doc", "preorder", F.when(F.col("heading"), F.substring("text", 1, 160)).alias("title"))
+    return chunks(keyed.select("key", "text"), size).join(titles, "key").select("doc", "preorder", "chunk", "id", "title", "text")

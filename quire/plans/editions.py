@@ -155,3 +155,56 @@ def use02_stream(spark: SparkSession, d: str) -> DataFrame:
     """Ids that repeat within the watermark come out once."""
     stream = _stream(spark, d, [(F.col("event_id") % 700).alias("id"), F.col("ts").cast("timestamp").alias("at")])
     return _run(stream_dedupe(stream, "id", "60 days"), "append").select("id")
+
+
+@query("""with h as (select l_orderkey as section, max(case when l_returnflag = 'A' then l_linenumber end) as i, min(case when l_returnflag = 'N' then l_linenumber end) as m from lineitem group by 1)
+select section from h join orders on o_orderkey = section and o_orderstatus <> 'P' where i < m""")
+def rec05_explicit(spark: SparkSession, d: str) -> DataFrame:
+    role = F.when(F.col("l_returnflag") == "A", "ingredient").when(F.col("l_returnflag") == "N", "instruction")
+    blocks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("section"), F.col("l_linenumber").alias("pos"), role.alias("role"))
+    return E.explicit_recipes(table(spark, d, "orders").select(F.col("o_orderkey").alias("section"), (F.col("o_orderstatus") != "P").alias("in_toc")), blocks)
+
+
+@query("""with l as (select l_orderkey * 1000000 + l_linenumber * 10000 + l_partkey as link, any_value(l_orderkey) as source_recipe, min(l_returnflag) as source_role, any_value(l_partkey % 5) as s, any_value(l_orderkey % 400) as doc, any_value(l_partkey % 1000) as place from lineitem group by 1),
+r as (select o_orderkey % 400 as doc, o_orderkey as recipe, o_custkey % 900 as first, o_custkey % 900 + o_orderkey % 60 as last from orders),
+h as (select link, arg_min(recipe, (last - first, recipe)) as target_recipe from l join r using (doc) where place >= first and place <= last group by 1)
+select link, source_recipe, source_role, target_recipe, case s when 0 then 'external' when 1 then 'unresolved_document' when 2 then 'unresolved_anchor' else case when target_recipe = source_recipe then 'same_recipe' when target_recipe is not null then 'bounded_recipe' else 'source_target_requires_review' end end as resolution
+from l left join h using (link)""")
+def rec10_references(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 10000 + F.col("l_partkey")
+    s = F.col("l_partkey") % 5
+    state = F.when(s == 0, "external").when(s == 1, "no document").when(s == 2, "no anchor").otherwise("resolved")
+    rows = table(spark, d, "lineitem").select(key.alias("link"), F.col("l_orderkey").alias("source_recipe"), F.col("l_returnflag").alias("source_role"), state.alias("state"), (F.col("l_orderkey") % 400).alias("doc"), (F.col("l_partkey") % 1000).alias("place"))
+    links = rows.groupBy("link", "source_recipe", "state", "doc", "place").agg(F.min("source_role").alias("source_role"))
+    first = F.col("o_custkey") % 900
+    ranges = table(spark, d, "orders").select((F.col("o_orderkey") % 400).alias("doc"), F.col("o_orderkey").alias("recipe"), first.alias("first"), (first + F.col("o_orderkey") % 60).alias("last"))
+    return E.catalog_references(links, ranges)
+
+
+@query("""with b as (select o_orderkey as key, unnest([1, 2]) as block, unnest([1, 4]) as first, unnest([3, 7]) as last from orders), o as (select key, block, unnest(generate_series(first, last)) as old from b),
+l as (select distinct l_orderkey as key, l_linenumber as old, l_linenumber + case when l_partkey % 7 = 0 then 1 else 0 end as new from lineitem),
+h as (select key, block, min(new) as first, max(new) as last, count(distinct new) as n from o join l using (key, old) group by 1, 2)
+select key, block, first, last, last - first + 1 <> n as refused from h""")
+def trn06_remap(spark: SparkSession, d: str) -> DataFrame:
+    block = F.explode(F.array(F.struct(F.lit(1).alias("block"), F.lit(1).alias("first"), F.lit(3).alias("last")), F.struct(F.lit(2).alias("block"), F.lit(4).alias("first"), F.lit(7).alias("last"))))
+    labels = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), block.alias("b")).select("key", "b.*")
+    n = F.col("l_linenumber")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), n.alias("old"), (n + F.when(F.col("l_partkey") % 7 == 0, 1).otherwise(0)).alias("new")).distinct()
+    return E.remap_labels(labels, lines)
+
+
+@query("""select doc_id as page, 0 as crop, split_part(text, chr(10), 1) as line, case when doc_id % 4 = 0 then 'tied' when doc_id % 3 * 2 <= 3 then 'rejected' when doc_id % 7 = 0 and not list_contains(string_split('~' || text, chr(10)), split_part(text, chr(10), 1)) then 'unmatched' else 'reviewed' end as reason from documents""")
+def trn10_review(spark: SparkSession, d: str) -> DataFrame:
+    doc, k = table(spark, d, "documents"), F.col("doc_id")
+    first = F.substring_index("text", "\n", 1)
+    votes = doc.select(k.alias("page"), F.lit(0).alias("crop"), first.alias("line"), (k % 3).alias("support"), F.lit(3).alias("voters"), (k % 4 == 0).alias("tie"))
+    return E.quantity_review(votes, doc.select(k.alias("page"), F.when(k % 7 == 0, F.concat(F.lit("~"), "text")).otherwise(F.col("text")).alias("text")))
+
+
+@query()
+def doc19_units(spark: SparkSession, d: str) -> DataFrame:
+    from quire.functions.html import capture_nodes
+
+    tag = F.col("tag")
+    block = F.coalesce(tag.isin("p", "li", "td", "h1", "h2", "h3"), F.lit(False))
+    return E.search_units(capture_nodes(table(spark, d, "pages")), block, F.coalesce(tag.isin("h1", "h2", "h3"), F.lit(False)))
