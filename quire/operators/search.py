@@ -37,12 +37,13 @@ def build_index(sections: DataFrame, weights: dict[str, float] | None = None) ->
     return Index(postings.select("term", "doc", "tf"), stats, vocab)
 
 
-def query_terms(queries: DataFrame, most: int = 40, stop: list[str] | None = None) -> DataFrame:
-    """query_id, term, n_terms: the distinct tokens of each query."""
+def query_terms(queries: DataFrame, most: int | None = None, stop: list[str] | None = None) -> DataFrame:
+    """query_id, term, n_terms: the distinct tokens of each query, the first `most` if that is given."""
     words = F.array_distinct(tokens(F.col("query")))
     if stop:
         words = F.array_except(words, F.array(*[F.lit(s) for s in stop]))
-    words = F.slice(words, 1, most)
+    if most is not None:
+        words = F.slice(words, 1, most)
     rows = queries.select("query_id", words.alias("words"))
     return rows.select("query_id", F.explode("words").alias("term"), F.size("words").alias("n_terms"))
 
@@ -93,8 +94,8 @@ def search(queries: DataFrame, index: Index, visible: DataFrame | None, limit: i
 
 
 def search_any(queries: DataFrame, index: Index, stop: list[str], limit: int, expansions: DataFrame | None = None) -> DataFrame:
-    """Any word counts; expansions(term, extra) add terms of the vocabulary."""
-    terms = query_terms(queries, stop=stop).select("query_id", "term")
+    """Any of a query's first 40 words counts; expansions(term, extra) add terms of the vocabulary."""
+    terms = query_terms(queries, most=40, stop=stop).select("query_id", "term")
     if expansions is not None:
         terms = terms.union(terms.join(expansions, "term").select("query_id", F.col("extra").alias("term"))).distinct()
         order = W.partitionBy("query_id").orderBy("term")

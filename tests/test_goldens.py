@@ -9,6 +9,7 @@ from quire.functions.html import capture, capture_nodes
 from quire.functions.text import phrase_form, strip_accents
 from quire.operators import recipes as R
 from quire.operators import reports as P
+from quire.operators import search as S
 from quire.operators import structure as D
 
 PAGE = '<h1 id="beans">Beans</h1><p>Serve with <em>cold</em> glass water.</p><table><tr><td rowspan="2">2 tbsp<td>Beans</tr><tr><td>Salt</td></tr></table><p>αβ🍲 &amp; beans'
@@ -89,3 +90,13 @@ def test_corrections_fold_in_order(spark):
     out = {(r.unit, r.id): (r.outcome, r.text) for r in P.apply_in_order(texts, ledger).collect()}
     assert out[(1, 1)][0] == "ambiguous" and out[(2, 2)][0] == "applied" and out[(2, 3)][0] == "applied" and out[(2, 4)][0] == "stale"
     assert out[(2, None)] == ("text", "one four")
+
+
+def test_search_wants_the_words_after_the_fortieth(spark):
+    words = [f"w{i}" for i in range(45)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:40])), (3, "other")], "doc long, text string")
+    queries = spark.createDataFrame([(7, " ".join(words))], "query_id long, query string")
+    index = S.build_index(docs)
+    assert [r.doc for r in S.search(queries, index, None, limit=10).collect()] == [1]
+    assert sorted(r.doc for r in S.search_any(queries, index, [], limit=10).collect()) == [1, 2]
+    assert S.query_terms(queries).count() == 45
