@@ -1,8 +1,9 @@
 """Consensus of several readings of scanned pages, folded page by page.
 
-Groups here are a page's readings, a book's pages or an owner's operations;
-each is a small ordered scan. Spark groups and shuffles; inputs are sorted
-inside a group, so the order of rows doesn't matter.
+Groups here are a page's readings, each a small ordered scan. Spark groups and
+shuffles; inputs are sorted inside a group, so the order of rows doesn't
+matter. Books and owners may be large: their pages and operations are cut into
+islands or chunks first.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quire.functions.islands import CHUNK, before, meet, with_islands
 
+#: Operations in a chunk of the personal fold.
+PART = 100_000
 
 def per_group(rows: DataFrame, keys: list[str], columns: list[str], fold: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
     """keys and what fold makes of each group's tuples. Spark groups in the JVM; a batch of small groups goes to Python at once."""
@@ -213,53 +217,105 @@ def recovery_status(attempts: DataFrame, region_limit: int = 2, page_limit: int
 # --- books and owners --------------------------------------------------------------------
 
 
+def slug_of(title: str) -> str:
+    return re.sub(r"[^a-z0-9]+", "-", unicodedata.normalize("NFKD", title).encode("ascii", "ignore").decode().lower()).strip("-")[:60] or "section"
+
+
 def assemble_sections(pages: DataFrame, near: int = 8) -> DataFrame:
-    """book, page, section: a page continues the section of a like title within `near` pages, else opens one with a stable slug."""
+    """book, page, section: a page continues the section of a like title within `near` pages, else opens one with a stable slug.
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        held: list[tuple[str, int, str]] = []  # title key, last page, slug
-        slugs: Counter = Counter()
-        out = []
-        for page, title in sorted(zip(rows["page"], rows["title"].fillna(""))):
-            name = key_of(title)
-            found = next((i for i in range(len(held) - 1, -1, -1) if page - held[i][1] <= near and alike(held[i][0], name)), None)
-            if found is None:
-                slug = re.sub(r"[^a-z0-9]+", "-", unicodedata.normalize("NFKD", title).encode("ascii", "ignore").decode().lower()).strip("-")[:60] or "section"
-                slugs[slug] += 1
-                held.append((name, page, slug if slugs[slug] == 1 else f"{slug}-{slugs[slug]}"))
-                found = len(held) - 1
-            else:
-                held[found] = (held[found][0], page, held[found][2])
-            out.append((*key, page, held[found][2]))
-        return pd.DataFrame(out, columns=["book", "page", "section"])
+    Sections end at a gap of more than `near` pages, so each island between
+    such gaps is scanned apart, a batch at a time, with the sections of the
+    last pages as state. Slugs are numbered over the book afterwards.
+    """
+    rows = pages.select("book", F.col("page").cast("long").alias("page"), F.coalesce("title", F.lit("")).alias("title"))
+    rows = with_islands(rows, "book", "page", near + 1)
+    rows = rows.repartition("book", "island").sortWithinPartitions("book", "island", "page", "title").select("book", "island", "page", "title")
+    form = to_arrow_schema(T.StructType.fromDDL("book string, page long, first long, opening long, slug string, opens boolean"))
 
-    return pages.groupBy("book").applyInPandas(run, "book string, page long, section string")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+        for batch in batches:
+            out = []
+            for book, island, page, title in zip(*(c.to_pylist() for c in batch.columns)):
+                if (book, island) != here:
+                    here, held = (book, island), []
+                # (title key, last page, first page, number of the opening on it, slug), oldest first
+                held = [s for s in held if page - s[1] <= near]
+                name = key_of(title)
+                found = next((i for i in range(len(held) - 1, -1, -1) if alike(held[i][0], name)), None)
+                if found is None:
+                    opening = held[-1][3] + 1 if held and held[-1][2] == page else 0
+                    held.append((name, page, page, opening, slug_of(title)))
+                    found = len(held) - 1
+                    opens = True
+                else:
+                    held[found] = (held[found][0], page, *held[found][2:])
+                    opens = False
+                out.append((book, page, *held[found][2:], opens))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(form)], schema=form)
+
+    linked = rows.mapInArrow(scan, "book string, page long, first long, opening long, slug string, opens boolean")
+    opened = linked.where("opens").select("book", "slug", "first", "opening", F.floor(F.col("first") / (near + 1) / CHUNK).alias("chunk"))
+    numbered = before(opened, ["book", "slug"], "chunk", ["first", "opening"], {"k": F.lit(1)}, F.sum).select("book", "first", "opening", "k")
+    section = F.when(F.col("k") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", "k"))
+    return meet(linked, numbered, ["book", "first", "opening"], "inner").select("book", "page", section.alias("section"))
 
 
 def fold_personal(ops: DataFrame, most: int = 1000) -> DataFrame:
-    """owner, seq, result, revision of save and remove operations, idempotent by operation id and fingerprint."""
+    """owner, seq, result, revision of save and remove operations, idempotent by operation id and fingerprint; seq is unique in an owner.
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        places: set = set()
-        seen: dict = {}
-        revision, out = 0, []
-        for row in rows.sort_values("seq").itertuples():
-            mark = (row.kind, row.place)
-            if row.op in seen:
-                result = "repeated" if seen[row.op] == mark else "conflict"
-            else:
-                seen[row.op] = mark
-                if row.kind == "save" and row.place not in places and len(places) >= most:
-                    result = "full"
-                else:
-                    changed = (row.place not in places) == (row.kind == "save")
-                    (places.add if row.kind == "save" else places.discard)(row.place)
-                    revision += changed
-                    result = "done" if changed else "same"
-            out.append((*key, row.seq, result, revision))
-        return pd.DataFrame(out, columns=["owner", "seq", "result", "revision"])
-
-    return ops.groupBy("owner").applyInPandas(run, "owner long, seq long, result string, revision int")
+    Repeats and changes depend on the rows of one operation or one place. Only
+    owners that pass the limit are scanned in order, with their places as state.
+    """
+    rows = ops.select("owner", "seq", "op", (F.col("kind") == "save").alias("save"), F.struct("kind", "place").alias("mark"), "place")
+    rows = rows.withColumn("save", F.coalesce("save", F.lit(False)))
+    bounds = ops.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count("*").alias("n"))
+    chunk = F.floor((F.col("seq") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * F.ceil(F.col("n") / PART))
+    rows = rows.join(F.broadcast(bounds)).withColumn("chunk", chunk).drop("lo", "hi", "n")
+    # The first of an operation counts; the others are judged by it.
+    first = rows.groupBy("owner", "op").agg(F.min(F.struct("seq", "mark")).alias("f"))
+    rows = meet(rows, first, ["owner", "op"], "inner")
+    counts = F.col("seq") == F.col("f.seq")
+    late = F.when(~counts, F.when(F.col("mark").eqNullSafe(F.col("f.mark")), "repeated").otherwise("conflict"))
+    rows = rows.select("owner", "seq", "save", "place", "chunk", late.alias("late"))
+    # A place is saved or not by the last counting operation on it before.
+    used = rows.where("late is null")
+    by_place = W.partitionBy("owner", "place").orderBy("chunk")
+    ends = used.groupBy("owner", "place", "chunk").agg(F.max(F.struct("seq", "save")).alias("end"))
+    ends = ends.select("owner", "place", "chunk", F.lag("end.save").over(by_place).alias("carried"))
+    inside = F.coalesce(F.lag("save").over(W.partitionBy("owner", "place", "chunk").orderBy("seq")), "carried", F.lit(False))
+    used = meet(used, ends, ["owner", "place", "chunk"]).withColumn("changed", (inside != F.col("save")).cast("long")).drop("carried")
+    rows = used.unionByName(rows.where("late is not null").withColumn("changed", F.lit(0).cast("long")))
+    step = F.when(F.col("save"), F.col("changed")).otherwise(-F.col("changed"))
+    rows = before(rows, ["owner"], "chunk", ["seq"], {"revision": F.col("changed"), "size": step}, F.sum)
+    over = rows.groupBy("owner").agg((F.max("size") > most).alias("over"))
+    rows = meet(rows, over, ["owner"], "inner")
+    result = F.coalesce("late", F.when(F.col("changed") == 1, "done").otherwise("same"))
+    free = rows.where("not over").select("owner", "seq", result.alias("result"), F.col("revision").cast("int").alias("revision"))
+    form = to_arrow_schema(T.StructType.fromDDL("owner long, seq long, result string, revision int"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, places, revision = (), set(), 0
+        for batch in batches:
+            results, revisions = [], []
+            for owner, save, place, result in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
+                if (owner,) != here:
+                    here, places, revision = (owner,), set(), 0
+                if result is None:
+                    if save and place not in places and len(places) >= most:
+                        result = "full"
+                    else:
+                        changed = (place not in places) == save
+                        (places.add if save else places.discard)(place)
+                        revision += changed
+                        result = "done" if changed else "same"
+                results.append(result)
+                revisions.append(revision)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(results, pa.string()), pa.array(revisions, pa.int32())], schema=form)
+
+    full = rows.where("over").select("owner", "seq", "save", "place", "late").repartition("owner").sortWithinPartitions("owner", "seq")
+    return free.union(full.mapInArrow(scan, "owner long, seq long, result string, revision int"))
 
 
 def budget_pages(nodes: DataFrame, most_bytes: int = 16_000, most_nodes: int = 100) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from quire.functions.islands import with_islands
 from quire.functions.text import squash
 
 
@@ -42,22 +47,33 @@ def clock_limit(events: DataFrame, key: str, most: int = 60) -> DataFrame:
 def rolling_limit(events: DataFrame, key: str, most: int = 60, seconds: int = 3600) -> DataFrame:
     """Adds admitted: at most `most` admitted ones in any hour; a refused one doesn't count.
 
-    An admission depends on earlier ones, so each key is scanned in order.
+    An admission depends on earlier ones, so rows are scanned in order; but a
+    gap of the limit's span empties the state, so each island between such
+    gaps is scanned apart, a batch at a time. Rows without a time count nothing.
     """
-    schema = f"{key} long, id long, at timestamp, admitted boolean"
-
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "id"])
-        held: list = []
-        out = []
-        for at in rows["at"]:
-            held = [h for h in held if (at - h).total_seconds() < seconds]
-            out.append(len(held) < most)
-            if out[-1]:
-                held.append(at)
-        return rows.assign(admitted=out)
-
-    return events.select(key, "id", "at").groupBy(key).applyInPandas(scan, schema)
+    span = seconds * 1_000_000
+    rows = with_islands(events.select(F.col(key), F.col("id"), F.col("at"), F.unix_micros("at").alias("us")), key, "us", max(span, 1))
+    rows = rows.repartition(F.col(key), F.col("island")).sortWithinPartitions(key, "island", "us", "id").select(key, "island", "us", "id", "at")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, deque()
+        for batch in batches:
+            out = []
+            for *island, us in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if island != here:
+                    here = island
+                    held.clear()
+                if us is None:
+                    out.append(most > 0)
+                    continue
+                while held and us - held[0] >= span:
+                    held.popleft()
+                out.append(len(held) < most)
+                if out[-1]:
+                    held.append(us)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), pa.array(out, pa.bool_())], names=[key, "id", "at", "admitted"])
+
+    return rows.mapInArrow(scan, f"{key} long, id long, at timestamp, admitted boolean")
 
 
 def receipts(submissions: DataFrame) -> DataFrame:
