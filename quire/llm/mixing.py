@@ -6,13 +6,16 @@ taken target / source_size times on average: the whole part always, one more
 with the fractional part as inclusion probability. The fractions are settled
 by the cube method: a step moves three undecided documents' probabilities
 along the null space of the constraints (words and documents of the source)
-until one becomes 0 or 1, so totals stay. Blocks of a source run at the same
+until one becomes 0 or 1, so totals stay; which of the two ends it takes is
+drawn so that inclusion probabilities stay too. Blocks of a source run at the same
 time and leave at most two undecided documents each; these go through the
 same flight again, in fewer blocks. The last block holds a few documents back
 and lands them and the last two on the choice whose words come nearest.
 
-Deterministic: blocks come from hashes of the ids, and inside a block the
-documents are sorted by a hash before the flight.
+Deterministic: blocks come from hashes of the ids, inside a block the
+documents are sorted by a hash before the flight, and the hashes seed the
+draws. The landing picks the nearest words, not at random: inclusion
+probabilities hold but for the few documents of a source that it settles.
 
 Defined results: a null text has size 0; a null source is the last source; a
 source without words has target 0 and takes nothing; rows that repeat an id
@@ -65,8 +68,12 @@ def targets(sizes: DataFrame, p: Mix) -> DataFrame:
     return filled.select("source", "source_size", F.when(F.col("held"), F.col("limit")).otherwise(rest * F.col("weight")).alias("target"))
 
 
-def flight(size: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """Probabilities after the flight: at most two are still fractions."""
+def flight(size: np.ndarray, prob: np.ndarray, seed: Sequence[int] = (0,)) -> np.ndarray:
+    """Probabilities after the flight: at most two are still fractions.
+
+    A step goes to one of its two ends at random, so that each probability stays what it was on average.
+    """
+    draw = np.random.default_rng(seed).random(len(prob)).tolist()  # a step settles a document at least
     prob = prob.tolist()
     size = size.tolist()
     held: list[int] = []
@@ -81,8 +88,7 @@ def flight(size: np.ndarray, prob: np.ndarray) -> np.ndarray:
                 u = (1, -1, 0)
             up = min((1 - prob[i]) / x if x > 0 else prob[i] / -x for i, x in zip(held, u) if x)
             down = min(prob[i] / x if x > 0 else (1 - prob[i]) / -x for i, x in zip(held, u) if x)
-            # The nearer end keeps the other probabilities closest to what they were.
-            step = up if up <= down else -down
+            step = up if draw.pop() * (up + down) < down else -down
             for i, x in zip(held, u):
                 prob[i] += step * x
             held = [i for i in held if tiny < prob[i] < 1 - tiny]
@@ -106,7 +112,9 @@ def _fly(table: pa.Table, hold: int, last: bool) -> pa.Table:
     order = np.lexsort((table.column("row").to_numpy(), table.column("mark").to_numpy()))
     prob = table.column("prob").to_numpy().copy()
     moving = order[: max(0, len(order) - hold)] if last else order
-    prob[moving] = _snap(flight(size[moving], prob[moving]))
+    marks = table.column("mark").to_numpy()[moving].view(np.uint64)
+    seed = [len(marks), int(np.bitwise_xor.reduce(marks)), int(marks.sum(dtype=np.uint64))]
+    prob[moving] = _snap(flight(size[moving], prob[moving], seed))
     if last:
         left = order[(prob[order] > 0) & (prob[order] < 1)]
         prob[left] = _land(size[left], prob[left])

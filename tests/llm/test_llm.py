@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
@@ -411,3 +412,15 @@ def test_pipeline(spark, docs):
         if name in ("quality_rules", "minhash_near_dedup", "substring_dedup"):
             assert held.count() <= before
     assert held.count() > 0 and held.where(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def test_flight_keeps_inclusion_probabilities():
+    rng = np.random.default_rng(5)
+    n, hits = 6000, np.zeros(10)
+    for _ in range(3):
+        size = np.sort(rng.lognormal(5, 1.2, n).astype(np.int64) + 1)
+        rows = pa.table({"source": ["s"] * n, "mark": rng.integers(-(2**63), 2**63 - 1, n), "row": np.arange(n), "size": size, "prob": np.full(n, 0.3)})
+        out, again = (mixing._fly(rows, 12, False).column("prob").to_numpy() for _ in range(2))
+        assert (out == again).all()
+        hits += (out > 0.5).reshape(10, -1).sum(1)
+    assert np.abs(hits / (3 * n / 10) - 0.3).max() < 0.045
