@@ -55,7 +55,10 @@ def amounts(line: str) -> tuple[str, ...]:
 
 
 def alike(a: str, b: str) -> bool:
-    return a == b or (min(len(a), len(b)) > 6 and SequenceMatcher(None, a, b).ratio() >= LIKE)
+    if a == b or min(len(a), len(b)) <= 6 or 2.0 * min(len(a), len(b)) / (len(a) + len(b)) < LIKE:  # the ratio can't be more
+        return a == b
+    match = SequenceMatcher(None, a, b)
+    return match.quick_ratio() >= LIKE and match.ratio() >= LIKE
 
 
 def vote(readings: list[tuple[str, str]]) -> list[tuple[str, int, int, bool]]:

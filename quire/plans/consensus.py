@@ -49,7 +49,7 @@ def trn02_regions(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def trn08_sections(spark: SparkSession, d: str) -> DataFrame:
     doc = table(spark, d, "documents")
-    return C.assemble_sections(doc.select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.substring("text", 1, 20).alias("title")))
+    return C.assemble_sections(doc.select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.substring_index("text", "\n", 1).alias("title")))
 
 
 @query("""select doc_id as page, n_chars % 50 as printed, case when doc_id % 3 = 0 then source else '' end as sections, case when doc_id % 4 = 0 then lang else '' end as open from documents""")
@@ -75,9 +75,14 @@ def trn15_layout(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def rep05_ballots(spark: SparkSession, d: str) -> DataFrame:
-    page = F.col("page")
-    claims = _readings(spark, d).select("page", "reader", F.col("text").alias("reading"), F.concat((page % 9 + 1).cast("string"), F.lit(" cups")).alias("current"), F.concat((page % 9 + 2).cast("string"), F.lit(" cups")).alias("proposed"))
-    return C.ballots(claims).select("page", "reader", "vote")
+    """Every line with a number, as three readers have it: corrected on even pages, differing on pages that 5 divides."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.col("text").rlike("[0-9]"))
+    part = lambda i: F.regexp_extract("text", r"(?s)\A([^0-9]*)([0-9]+)(.*)\z", i)
+    with_number = lambda n: F.concat(part(1), part(2), n, part(3))
+    page, k = F.col("page"), F.col("k").cast("string")
+    reading = F.when(page % 5 == 0, with_number(F.concat(F.lit("0"), k))).when(page % 2 == 0, with_number(F.lit("1"))).otherwise(F.col("text"))
+    claims = lines.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(3)))).select("page", "line", F.concat(F.lit("r"), k).alias("reader"), reading.alias("reading"), F.col("text").alias("current"), with_number(F.lit("1")).alias("proposed"))
+    return C.ballots(claims).select("page", "line", "reader", "vote")
 
 
 @query()

@@ -191,11 +191,10 @@ def cor08_diff(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def cor03_apply(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's first three words are corrected in turn."""
+    """Every line of each document is corrected in turn; an id is the line's number."""
     doc = table(spark, d, "documents")
-    words = F.split("text", r"[\x20\x09-\x0D]+")
-    rows = doc.select(F.col("doc_id").alias("unit"), F.posexplode(F.slice(words, 1, 3)).alias("k", "from_text"))
-    ledger = rows.select("unit", F.col("k").cast("long").alias("decided_at"), (F.col("unit") * 10 + F.col("k")).alias("id"), "from_text", F.upper("from_text").alias("to_text"))
+    rows = doc.select(F.col("doc_id").alias("unit"), F.posexplode(F.split("text", "\n")).alias("k", "from_text"))
+    ledger = rows.select("unit", F.col("k").cast("long").alias("decided_at"), F.col("k").cast("long").alias("id"), "from_text", F.upper("from_text").alias("to_text"))
     return R.apply_in_order(doc.select(F.col("doc_id").alias("unit"), "text"), ledger)
 
 
