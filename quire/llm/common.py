@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 #: A word is a run of bytes that are none of these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,38 +17,70 @@ CHUNK_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir. A temporary one stands in only on one machine, as in tests; a cluster without the setting is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quire.scratch", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quire-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("quire.scratch", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder, so that a lost executor costs no earlier stage."""
+    """Tables written to the shared folder, so that a lost executor costs no earlier stage; what is left of them goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self._files(self.root)[1].deleteOnExit(self._files(self.root)[0])
+
+    def _files(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def settle(self, df: DataFrame) -> DataFrame:
-        """Write df and read it back; shuffle files of the job become collectable."""
+        """Write df and read it back."""
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quire_path = path
-        self.spark._jvm.System.gc()
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        """Remove tables that no later step reads."""
+        """Remove tables that no later step reads, and let go of the shuffle files of the jobs that made them.
+
+        Spark removes shuffle files when the driver's JVM finds their plans unreachable, which needs a collection.
+        """
         for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._quire_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._files(df._quire_path)
+            files.delete(path, True)
+        self.spark._jvm.System.gc()
+
+
+def hot_keys(rows: DataFrame, keys: list[str], shares: int = 1000) -> DataFrame | None:
+    """keys and salts of the keys that hold over 1/shares of the rows, None without any.
+
+    There are fewer than `shares` of them at any size, so the list may come to the driver and be broadcast.
+    """
+    each = max(-(-rows.count() // shares), 1000)  # rows that one task takes with ease
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > each)
+    found = counts.select(*keys, F.ceil(F.col("__n") / each).cast("int").alias("__salts"))
+    held = found.toArrow()
+    return rows.sparkSession.createDataFrame(held) if held.num_rows else None
+
+
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame | None, by: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a table whose keys are unique. A hot key's rows are dealt by the columns `by` over as many copies of its row of the table."""
+    if hot is None:
+        return rows.join(table, keys, how)
+    hot = F.broadcast(hot)
+    left = rows.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(F.lit(3), *by), F.coalesce("__salts", F.lit(1))).cast("int"))
+    right = table.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
+    return left.drop("__salts").join(right.drop("__salts"), [*keys, "__salt"], how).drop("__salt")
 
 
 def text_of(column: str = "text") -> Column:
@@ -153,18 +185,20 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     Each round takes the least label among the neighbours and then follows
     labels one step further, so a chain shrinks by more than half. Labels
     stay distributed; only the count of changed ones comes to the driver.
+    An id with very many neighbours is salted.
     """
     both = scratch.settle(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
     labels = scratch.settle(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")))
+    hot = hot_keys(both, ["b"])
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        near = salted_join(both, labels.select(F.col("id").alias("b"), "label"), ["b"], hot, ["a"]).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.least("label", "near").alias("mid"), F.col("label").alias("old"))
         jump = step.join(labels.select(F.col("id").alias("mid"), F.col("label").alias("far")), "mid", "left")
-        moved = scratch.settle(jump.select("id", F.least("mid", F.coalesce("far", "mid")).alias("label"), "old"))
-        changed = moved.where("label <> old").limit(1).count()
+        moved, seen = jump.select("id", F.least("mid", F.coalesce("far", "mid")).alias("label"), "old"), Observation()
+        moved = scratch.settle(moved.observe(seen, F.count_if(F.col("label") != F.col("old")).alias("changed")))
         scratch.drop(labels)
         labels = moved
-        if not changed:
+        if not seen.get["changed"]:
             break
     else:
         raise RuntimeError("components did not settle; raise rounds")

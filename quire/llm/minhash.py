@@ -7,17 +7,19 @@ maximum and agree on two sets about as often as the sets' similarity.
 Registers are banded to find candidates, pairs are estimated jointly by
 likelihood, and whatever may reach the threshold is verified on full sets.
 
-Copies with equal sets collapse to one representative first. In a bucket
-every member is paired only with the bucket's smallest id. A star group is a
-smallest id with all its partners; groups that verified links leave in more
-than one component are compared in blocks inside tasks, only across
-components, and give at most a forest of links. So no group's pairs become
-rows, and no link between members of a bucket is lost.
+Equal sets collapse to one, which gets a number. In a bucket every member is
+paired only with the bucket's smallest number. A star group is a smallest
+number with all its partners; groups that verified links leave in more than
+one component are compared in blocks inside tasks, only across components:
+first by registers alone, then, for the members that an estimate leaves a
+partner, on full sets, which gives at most a forest of links. So no group's
+pairs become rows, few full sets move, and no link between members of a
+bucket is lost.
 
 Defined results: a null or wordless text has an empty set and links with
 nothing; fewer words than n make one shingle; a null id keeps its row, links
-with nothing and is kept; rows that repeat an id share one fate. Other
-columns are not read.
+with nothing and is kept; rows that repeat an id are one document that links
+by each of its texts. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, Words, components, grams, mix, text_chunks
+from .common import Scratch, Words, components, grams, hot_keys, mix, salted_join, text_chunks
 
 
 @dataclass(frozen=True)
@@ -111,12 +113,24 @@ def _sketches(batches: Iterator[pa.RecordBatch], p: NearDedup) -> Iterator[pa.Re
 
 
 def _sets(batches: Iterator[pa.RecordBatch], p: NearDedup) -> Iterator[pa.RecordBatch]:
+    """sid, n_shingles, shingles, regs of the texts whose set is the one asked for: an id may have several texts."""
+    last = None
     for batch in batches:
-        for first, offsets, data in text_chunks(batch.column(1)):
+        sids, want = batch.column("sid").to_numpy(), [batch.column(c).to_numpy() for c in ("low", "high")]
+        for first, offsets, data in text_chunks(batch.column("text")):
             values, bounds = shingle_runs(offsets, data, p.shingle)
-            n = len(offsets) - 1
-            sets = [np.unique(values[bounds[i] : bounds[i + 1]]).tobytes() for i in range(n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+            rows, found = [], []
+            for i in range(len(offsets) - 1):
+                own = np.unique(values[bounds[i] : bounds[i + 1]])
+                row = first + i
+                if sids[row] != last and own.sum().view(np.int64) == want[0][row] and mix(own).sum().view(np.int64) == want[1][row]:
+                    last = sids[row]
+                    rows.append(row)
+                    found.append(own.tobytes())
+            held = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [held.column("sid"), held.column("n_shingles"), pa.array(found, pa.binary()), held.column("regs")], names=["sid", "n_shingles", "shingles", "regs"]
+            )
 
 
 def likelihood(equal: np.ndarray, larger: np.ndarray, smaller: np.ndarray, a: np.ndarray, b: np.ndarray, base: float) -> np.ndarray:
@@ -210,52 +224,80 @@ def shared_counts(sets: list[np.ndarray], n: int) -> np.ndarray:
     return shared if n == len(sets) else shared[:n, n:]
 
 
+@dataclass
+class _Block:
+    """The members of one block of a star group, or of two: those of the first block come first."""
+
+    ids: np.ndarray
+    labels: np.ndarray
+    regs: np.ndarray
+    order: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+    @classmethod
+    def of(cls, key, table: pa.Table) -> "_Block":
+        i, j = key[1].as_py(), key[2].as_py()
+        blocks, ids = table.column("block").to_numpy(), table.column("id").to_numpy()
+        order = np.lexsort((ids, blocks != i))
+        regs = table.column("regs").to_pylist()
+        n = int((blocks == i).sum())
+        left, right = (np.arange(n), np.arange(n, len(ids))) if i != j else (np.arange(len(ids)),) * 2
+        return cls(ids[order], table.column("label").to_numpy()[order], np.frombuffer(b"".join(regs[k] for k in order), np.uint8).reshape(len(order), -1), order, left, right)
+
+    def may_link(self, size: np.ndarray, p: NearDedup) -> np.ndarray:
+        """Pairs of left and right in different components whose estimate reaches the threshold."""
+        left, right, labels = self.left, self.right, self.labels
+        may = np.zeros((len(left), len(right)), bool)
+        for k in range(len(left)):
+            near = (labels[right] != labels[left[k]]) & (100 * np.minimum(size[right], size[left[k]]) >= p.percent * np.maximum(size[right], size[left[k]]))
+            other = np.flatnonzero(near & (self.ids[right] > self.ids[left[k]]) if left is right else near)
+            if len(other):
+                base = np.broadcast_to(self.regs[left[k]], (len(other), self.regs.shape[1]))
+                may[k, other] = estimate(base, self.regs[right[other]], np.full(len(other), size[left[k]]), size[right[other]], p) >= _margin(p)
+        return may
+
+
+def _hopefuls(key, table: pa.Table, p: NearDedup) -> pa.Table:
+    """The members of a block, or of two, that registers leave a partner in another component."""
+    table = table.combine_chunks()
+    block = _Block.of(key, table)
+    may = block.may_link(table.column("n_shingles").to_numpy()[block.order], p)
+    some = np.zeros(len(block.ids), bool)
+    some[block.left[may.any(1)]] = True
+    some[block.right[may.any(0)]] = True
+    return table.take(pa.array(block.order[some])).select(["a", "i", "j", "block", "id", "label"])
+
+
 def _block_links(key, table: pa.Table, p: NearDedup) -> pa.Table:
     """Links between components among one block of a star group, or between two."""
     table = table.combine_chunks()
-    i, j = key[1].as_py(), key[2].as_py()
-    blocks = table.column("block").to_numpy()
-    ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
-    order = np.argsort(blocks != i, kind="stable")
-    ids, labels = ids[order], labels[order]
-    raw, regs = table.column("shingles").to_pylist(), table.column("regs").to_pylist()
-    sets = [np.frombuffer(raw[k], np.uint64) for k in order]
-    sketch = np.frombuffer(b"".join(regs[k] for k in order), np.uint8).reshape(len(order), -1)
-    n = int((blocks == i).sum()) if i != j else len(ids)
-    left, right = np.arange(n), np.arange(n, len(ids)) if i != j else np.arange(n)
-    empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    if not len(left) or not len(right) or len(set(labels.tolist())) < 2:
-        return empty
+    block = _Block.of(key, table)
+    ids, labels, left, right = block.ids, block.labels, block.left, block.right
+    raw = table.column("shingles").to_pylist()
+    sets = [np.frombuffer(raw[k], np.uint64) for k in block.order]
     size = np.array([len(s) for s in sets])
-    may = np.zeros((len(left), len(right)), bool)
-    for k in range(len(left)):
-        other = np.flatnonzero((labels[right] != labels[left[k]]) & (100 * np.minimum(size[right], size[left[k]]) >= p.percent * np.maximum(size[right], size[left[k]])))
-        if i == j:
-            other = other[other > k]
-        if len(other):
-            base = np.broadcast_to(sketch[left[k]], (len(other), sketch.shape[1]))
-            may[k, other] = estimate(base, sketch[right[other]], np.full(len(other), size[left[k]]), size[right[other]], p) >= _margin(p)
-    if not may.any():
-        return empty
+    may = block.may_link(size, p)
     own, others = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
-    shared = shared_counts([sets[left[k]] for k in own] + [sets[right[k]] for k in others], len(own))
-    union = size[left[own]][:, None] + size[right[others]][None, :] - shared
-    links = np.argwhere((100 * shared >= p.percent * union) & may[np.ix_(own, others)])
-    root = {x: x for x in set(labels.tolist())}
-
-    def find(x):
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
     a, b = [], []
-    for x, y in links:
-        one, two = left[own[x]], right[others[y]]
-        r, s = find(labels[one]), find(labels[two])
-        if r != s:
-            root[r] = s
-            a.append(ids[one])
-            b.append(ids[two])
+    if len(own):
+        shared = shared_counts([sets[left[k]] for k in own] + [sets[right[k]] for k in others], len(own))
+        union = size[left[own]][:, None] + size[right[others]][None, :] - shared
+        links = np.argwhere((100 * shared >= p.percent * union) & may[np.ix_(own, others)])
+        root = {x: x for x in set(labels.tolist())}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for x, y in links:
+            one, two = left[own[x]], right[others[y]]
+            r, s = find(labels[one]), find(labels[two])
+            if r != s:
+                root[r] = s
+                a.append(ids[one])
+                b.append(ids[two])
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -269,26 +311,31 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup(), id_col: st
         source.mapInArrow(lambda it: _sketches(it, p), "doc_id long, n_shingles long, low long, high long, regs binary")
     )
     usable = sketches.where("doc_id is not null and n_shingles > 0")
-    distinct = scratch.settle(usable.groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("regs", "doc_id").alias("regs")))
+    digest = ["low", "high", "n_shingles"]
+    # A set's number is settled with it, so every later reading sees the same.
+    distinct = usable.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.min_by("regs", "doc_id").alias("regs"))
+    distinct = scratch.settle(distinct.withColumn("sid", F.monotonically_increasing_id()))
 
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", i * p.rows + 1, p.rows)) for i in range(p.bands)])
-    bands = distinct.select(F.col("rep").alias("b"), F.explode(keys).alias("key"))
+    bands = distinct.select(F.col("sid").alias("b"), F.explode(keys).alias("key"))
     # Written first: a join of two plain shuffles is one whose hot keys Spark can split.
     buckets = scratch.settle(bands.groupBy("key").agg(F.min("b").alias("a"), F.max("b").alias("last")).where("a <> last").select("key", "a"))
     pairs = scratch.settle(bands.join(buckets, "key").where("a <> b").select("a", "b").distinct())
 
-    candidates = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    candidates = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b"))).distinct()
+    wanted = distinct.join(candidates, "sid").select("sid", F.col("rep").alias("doc_id"), "low", "high", "regs", "n_shingles")
     # The list of candidates grows with the corpus: a merge join at every size, never a broadcast.
-    sets = (
-        source.join(candidates.hint("merge"), "doc_id", "left_semi")
-        .mapInArrow(lambda it: _sets(it, p), "doc_id long, shingles binary")
-        .dropDuplicates(["doc_id"])
-    )
-    sets = scratch.settle(sets.join(distinct.select(F.col("rep").alias("doc_id"), "regs"), "doc_id"))
-    first = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    with_two = first.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("two"), F.col("regs").alias("regs_two")), "b")
-    with_both = with_two.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one"), F.col("regs").alias("regs_one")), "a")
-    links = scratch.settle(with_both.mapInArrow(lambda it: _verified(it, p), "a long, b long"))
+    texts = source.join(wanted.hint("merge"), "doc_id")
+    sets = scratch.settle(texts.mapInArrow(lambda it: _sets(it, p), "sid long, n_shingles long, shingles binary, regs binary"))
+    side = lambda k, n: sets.select(F.col("sid").alias(k), F.col("shingles").alias(n), F.col("regs").alias(f"regs_{n}"))
+    first = scratch.settle(pairs.groupBy("b").agg(F.min("a").alias("a")))
+    hot = hot_keys(first, ["a"])
+    with_both = salted_join(first.join(side("b", "two"), "b"), side("a", "one"), ["a"], hot, ["b"])
+    links = with_both.mapInArrow(lambda it: _verified(it, p), "a long, b long")
+    # An id with several texts joins their sets.
+    again = usable.groupBy("doc_id").agg(F.min("low").alias("l"), F.max("low").alias("h"), F.min("high").alias("l2"), F.max("high").alias("h2")).where("l <> h or l2 <> h2").select("doc_id")
+    bound = usable.join(again, "doc_id").join(distinct.select(*digest, "sid"), digest).select("doc_id", "sid").distinct()
+    links = scratch.settle(links.union(bound.join(bound.groupBy("doc_id").agg(F.min("sid").alias("a")), "doc_id").select("a", F.col("sid").alias("b")).where("a <> b")))
     labels = components(links, scratch)
 
     # Star groups that are not yet one component, in blocks of bounded size.
@@ -299,34 +346,33 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup(), id_col: st
     groups = groups.where("low <> high").join(alone, "a", "left").where("not (n = 2 and coalesce(direct, 0) = 1)")
     spread = F.ceil(F.col("n") / p.block).cast("int")
     open_members = members.join(groups.select("a", spread.alias("n_blocks")), "a").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    open_members = scratch.settle(open_members)
+    open_members = scratch.settle(open_members.join(sets.select(F.col("sid").alias("id"), "n_shingles", "regs"), "id"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    placed = open_members.select("a", "id", "label", "block", other).select(
-        "a", "id", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
-    placed = placed.join(sets.withColumnRenamed("doc_id", "id"), "id")
-    more = placed.groupBy("a", "i", "j").applyInArrow(lambda key, t: _block_links(key, t, p), "a long, b long")
-    more = scratch.settle(more)
+    placed = open_members.select("a", "id", "label", "block", "n_shingles", "regs", other)
+    placed = placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+    schema = "a long, i int, j int, block int, id long, label long"
+    hopefuls = scratch.settle(placed.groupBy("a", "i", "j").applyInArrow(lambda key, t: _hopefuls(key, t, p), schema))
+    held = hopefuls.join(sets.select(F.col("sid").alias("id"), "shingles", "regs"), "id")
+    more = scratch.settle(held.groupBy("a", "i", "j").applyInArrow(lambda key, t: _block_links(key, t, p), "a long, b long"))
     # Components of components: the extra links join labels.
-    tops = labels.select("id", "label")
     lifted = (
-        more.join(tops.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left")
-        .join(tops.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
+        more.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left")
+        .join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left")
         .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     )
     above = components(lifted, scratch)
     final = (
         labels.join(above.select(F.col("id").alias("label"), F.col("label").alias("top")), "label", "left")
-        .select("id", F.coalesce("top", "label").alias("component_id"))
+        .select("id", F.coalesce("top", "label").alias("label"))
         .union(above.join(labels, "id", "left_anti").select("id", F.col("label")))
     )
-    scratch.drop(buckets, pairs, sets, links, open_members, more)
-    named = (
-        distinct.select("low", "high", "n_shingles", "rep")
-        .join(final.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("low", "high", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    )
-    rows = sketches.select("doc_id", "n_shingles", "low", "high").join(named, ["low", "high", "n_shingles"], "left")
+    # The smallest document of each component of sets.
+    linked = final.join(distinct.select(F.col("sid").alias("id"), "rep"), "id")
+    tops = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
+    linked = scratch.settle(linked.join(tops, "label").select(F.col("id").alias("sid"), "component_id"))
+    scratch.drop(buckets, pairs, sets, first, links, open_members, hopefuls, more)
+    named = distinct.join(linked, "sid", "left").select(*digest, F.coalesce("component_id", "rep").alias("component_id"))
+    rows = sketches.select("doc_id", *digest).join(named, digest, "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))

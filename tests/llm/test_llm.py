@@ -424,3 +424,12 @@ def test_flight_keeps_inclusion_probabilities():
         assert (out == again).all()
         hits += (out > 0.5).reshape(10, -1).sum(1)
     assert np.abs(hits / (3 * n / 10) - 0.3).max() < 0.045
+
+
+def test_near_duplicates_of_a_repeated_id(spark):
+    words = [f"w{i}" for i in range(200)]
+    a, b = " ".join(words[:100]), " ".join(words[100:])
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, a), (5, "nothing like the others")]
+    for parts in (1, 4):
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 5, True)]
