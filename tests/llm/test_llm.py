@@ -317,6 +317,19 @@ def test_embedding_duplicates(spark, params):
     assert sum(links.values()) > 100
 
 
+def test_distant_halves_are_skipped():
+    rng = np.random.default_rng(2)
+    p = embeddings.GridJoin(leaf=32)
+    x = embeddings._unit(np.repeat(rng.standard_normal((64, 24)), 32, 0) + 0.05 * rng.standard_normal((2048, 24)))
+    ids, ones = np.arange(2048), np.ones(2048, np.int64)
+    one, two = x[:1024], x[1024:]
+    for a, b, i, j, same in ((one, two, ids[:1024], ids[1024:], False), (one, one, ids[:1024], ids[:1024], True)):
+        pieces = embeddings.Pieces(a, b, ones[:1024], ones[:1024], i, j, same, p)
+        want = (a @ b.T >= 0.9) & (i[:, None] != j[None, :])
+        assert (pieces.links == want.sum(1)).all()
+        assert pieces.products < 0.4 * len(a) * len(b)
+
+
 def test_classifier_on_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
