@@ -2,27 +2,37 @@
 
 Every document gives a vector of transformed statistics. For each
 (language, source) group the minimum-covariance-determinant estimate is
-found by concentration steps: distances, the closest three quarters, their
-mean and covariance, again. A document whose squared Mahalanobis distance
-passes the cutoff is rejected. Columns and SQL functions only.
+found: from three deterministic starts (medians with fixed scales, Winsorised
+and spatial-sign covariances), steps take the closest part of the group, its
+mean and covariance, and again, until no determinant falls any more; the
+least determinant of all starts wins. The consistency factor of the core and
+a chi-square quantile make squared Mahalanobis distances a verdict. Columns
+and SQL functions only.
+
+Two things keep small and discrete groups sound, alike at every size. The
+covariance is drawn to a diagonal one of pooled robust scales as if `prior`
+documents of those scales belonged to the group (a minimum regularised
+covariance determinant), and no conditional deviation goes below a statistic's
+resolution: many statistics are constant in the core of a group.
 
 The subset of a step is cut at a bin of a fixed logarithmic histogram of the
 distances, so a group of any size needs a bounded number of counts, and the
 same rows give the same subset however they are partitioned.
 
 Defined results: a null text has no words (so it fails the base rules); a
-null language or source is a group of its own; a group of fewer than
-min_group documents uses the estimate over all documents; rows that repeat an
-id are judged each on its own text. Other columns are not read.
+null language or source is a group of its own; a group without a document
+that passes the base rules has null distances; rows that repeat an id are
+judged each on its own text. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import erf, exp, pi, sqrt
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
-from .common import SPACE, Scratch
+from .common import SPACE, Scratch, hot_keys, salted_join
 
 
 @dataclass(frozen=True)
@@ -32,16 +42,41 @@ class QualityRules:
     repeat_percent: int = 50
     #: Part of a group that the estimate is taken from.
     core: float = 0.75
-    steps: int = 3
-    min_group: int = 100
-    #: Squared distance, well over any chi-square quantile in use for 5 statistics: only gross outliers go.
-    cutoff: float = 65.0
+    #: Documents of the pooled scales that each group has beside its own.
+    prior: float = 30.0
+    #: A document of a normal group is rejected with this probability.
+    tail: float = 1e-6
+    #: Steps go on while a log-determinant falls by more than this.
+    settled: float = 1e-2
 
 
-#: The statistics, and the least standard deviation of each: discrete ones are constant in many groups.
-FEATURES = {"f1": 0.5, "f2": 0.06, "f3": 0.06, "f4": 0.12, "f5": 0.12}
-#: Median of the chi-square distribution with 5 degrees of freedom.
-CHI_MEDIAN = 4.351
+#: The statistics and their resolutions: smaller deviations mean nothing in a text.
+FEATURES = {"f1": 0.3, "f2": 0.03, "f3": 0.09, "f4": 0.06, "f5": 0.06}
+NAMES = list(FEATURES)
+ROOTS = [f"l_{a}_{b}" for i, a in enumerate(NAMES) for b in NAMES[: i + 1]]
+STATE = [*[f"m_{a}" for a in NAMES], *ROOTS, "logdet"]
+
+
+def chi_square(x: float, freedom: int) -> float:
+    """Distribution function for an odd number of degrees of freedom."""
+    term, total = sqrt(2 * x / pi) * exp(-x / 2), erf(sqrt(x / 2))
+    for k in range(1, freedom, 2):
+        total -= term
+        term *= x / (k + 2)
+    return total
+
+
+def chi_square_quantile(part: float, freedom: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, freedom) < part else (low, middle)
+    return high
+
+
+def consistency(core: float, freedom: int) -> float:
+    """What makes the covariance of the closest part of a normal group that of the whole."""
+    return core / chi_square(chi_square_quantile(core, freedom), freedom + 2)
 
 
 def statistics(docs: DataFrame, text: Column, keep: dict[str, Column]) -> DataFrame:
@@ -91,32 +126,42 @@ def _features() -> list[Column]:
         F.log(1.0 + F.col("n_words")).alias("f1"),
         F.log((F.col("word_chars") + 1) / n).alias("f2"),
         F.sqrt(F.col("n_symbols") / n).alias("f3"),
-        F.sqrt(F.col("n_repeat_words") / n).alias("f4"),
-        F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("f5"),
+        (F.col("n_repeat_words") / n).alias("f4"),
+        (F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("f5"),
     ]
 
 
-def _estimate(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Mean and lower triangular root of the covariance of each group."""
-    names = list(FEATURES)
-    aggs = [F.avg(a).alias(f"m_{a}") for a in names] + [F.covar_pop(a, b).alias(f"c_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]]
-    out = rows.groupBy(*by).agg(F.count("*").alias("used"), *aggs)
-    for i, a in enumerate(names):
-        for j, b in enumerate(names[: i + 1]):
-            value = F.col(f"c_{a}_{b}") + (F.lit(FEATURES[a] ** 2) if i == j else F.lit(0.0))
-            for k in names[:j]:
+def _roots(rows: DataFrame, keep: list[str], floors: dict[str, float]) -> DataFrame:
+    """Lower triangular roots and log-determinants of the matrices in columns c_a_b; no pivot is below a statistic's floor."""
+    for i, a in enumerate(NAMES):
+        for j, b in enumerate(NAMES[: i + 1]):
+            value = F.col(f"c_{a}_{b}")
+            for k in NAMES[:j]:
                 value = value - F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}")
-            root = F.sqrt(F.greatest(value, F.lit(FEATURES[a] ** 2 / 4))) if i == j else value / F.col(f"l_{b}_{b}")
-            out = out.withColumn(f"l_{a}_{b}", root)
-    return out.select(*by, "used", *[f"m_{a}" for a in names], *[f"l_{a}_{b}" for i, a in enumerate(names) for b in names[: i + 1]])
+            rows = rows.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(value, F.lit(floors[a] ** 2))) if i == j else value / F.col(f"l_{b}_{b}"))
+    logdet = 2 * sum((F.log(F.col(f"l_{a}_{a}")) for a in NAMES[1:]), F.log(F.col("l_f1_f1")))
+    return rows.withColumn("logdet", logdet).select(*keep, *STATE)
+
+
+def _covariances(columns: dict[str, Column]) -> list[Column]:
+    return [F.covar_pop(columns[a], columns[b]).alias(f"c_{a}_{b}") for i, a in enumerate(NAMES) for b in NAMES[: i + 1]]
+
+
+def _drawn(rows: DataFrame, used: Column, factor: float, p: QualityRules) -> DataFrame:
+    """Covariances of `used` documents together with those of p.prior documents of scale one."""
+    weight = F.lit(p.prior) / (used + p.prior)
+    for i, a in enumerate(NAMES):
+        for b in NAMES[: i + 1]:
+            rows = rows.withColumn(f"c_{a}_{b}", (1 - weight) * factor * F.col(f"c_{a}_{b}") + (weight if a == b else F.lit(0.0)))
+    return rows
 
 
 def _distance(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """Squared Mahalanobis distance d2 from columns of _estimate on the same row."""
-    names, solved = list(FEATURES), []
-    for i, a in enumerate(names):
+    """Squared Mahalanobis distance d2 from the columns STATE on the same row."""
+    solved = []
+    for i, a in enumerate(NAMES):
         value = F.col(a) - F.col(f"m_{a}")
-        for b, y in zip(names[:i], solved):
+        for b, y in zip(NAMES[:i], solved):
             value = value - F.col(f"l_{a}_{b}") * F.col(y)
         solved.append(f"y_{a}")
         rows = rows.withColumn(f"y_{a}", value / F.col(f"l_{a}_{a}"))
@@ -124,35 +169,52 @@ def _distance(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _bin(d2: Column) -> Column:
-    return F.floor(F.log2(d2 + 1e-6) * 16).cast("int")
+    return F.floor(F.log2(d2 + 1e-6) * 64).cast("int")
 
 
 def _cut(scored: DataFrame, by: list[str], part: float) -> DataFrame:
-    """The smallest bin below or at which a part of each group lies."""
+    """The smallest bin at or below which a part of each group lies."""
     counts = scored.groupBy(*by, _bin(F.col("d2")).alias("bin")).agg(F.count("*").alias("n"))
     up, whole = W.partitionBy(*by).orderBy("bin"), W.partitionBy(*by)
     run = counts.select(*by, "bin", F.sum("n").over(up).alias("upto"), F.sum("n").over(whole).alias("all"))
     return run.where(F.col("upto") >= F.col("all") * part).groupBy(*by).agg(F.min("bin").alias("cut"))
 
 
-def _robust(rows: DataFrame, by: list[str], p: QualityRules, scratch: Scratch) -> DataFrame:
-    """The estimate of each group after the concentration steps, and its median distance."""
-    keep = [*by, *FEATURES]
-    # The start: medians on every coordinate, with the statistics' least deviations.
-    half = scratch.settle(rows.groupBy(*by).agg(*[F.percentile_approx(a, 0.5, 1000).alias(f"m_{a}") for a in FEATURES]))
-    names = list(FEATURES)
-    for i, a in enumerate(names):
-        for b in names[: i + 1]:
-            half = half.withColumn(f"l_{a}_{b}", F.lit(4 * FEATURES[a] if a == b else 0.0))
-    current = half.withColumn("used", F.lit(0).cast("long"))
-    for _ in range(p.steps):
-        scored = _distance(rows.join(current, by), keep)
-        cut = scratch.settle(_cut(scored, by, p.core))
-        core = scored.join(cut, by).where(_bin(F.col("d2")) <= F.col("cut"))
-        current = scratch.settle(_estimate(core, by))
-    scored = _distance(rows.join(current, by), keep)
-    median = _cut(scored, by, 0.5).select(*by, F.pow(F.lit(2.0), (F.col("cut") + 1) / 16).alias("median"))
-    return scratch.settle(current.join(median, by))
+def _starts(z: DataFrame, floors: dict[str, float], p: QualityRules) -> DataFrame:
+    """grp, start and STATE: medians with scales of one, Winsorised and spatial-sign covariances; z has medians of zero."""
+    length = F.sqrt(sum((F.col(a) * F.col(a) for a in NAMES[1:]), F.col("f1") * F.col("f1")))
+    signs = {a: F.when(length > 0, F.col(a) / length).otherwise(0.0) for a in NAMES}
+    zeros = {a: F.lit(0.0) for a in NAMES}
+    held = F.count("*").alias("used")
+    kinds = [zeros, {a: F.tanh(F.col(a)) for a in NAMES}, signs]
+    found = [z.groupBy("grp").agg(held, *_covariances(k)).select("*", F.lit(i).alias("start")) for i, k in enumerate(kinds)]
+    drawn = _drawn(found[0].unionByName(found[1]).unionByName(found[2]), F.col("used"), 1.0, p)
+    for a in NAMES:
+        drawn = drawn.withColumn(f"m_{a}", F.lit(0.0))
+    return _roots(drawn, ["grp", "start"], floors)
+
+
+def _robust(z: DataFrame, hot: DataFrame | None, floors: dict[str, float], p: QualityRules, scratch: Scratch) -> DataFrame:
+    """grp and STATE of the least determinant that the steps from all starts find."""
+    by, factor = ["grp", "start"], consistency(p.core, len(NAMES))
+    packed = lambda rows: rows.groupBy("grp").agg(F.collect_list(F.struct("start", *STATE)).alias("states"))  # three of a group
+    state = scratch.settle(_starts(z, floors, p).withColumn("best", F.lit(None).cast(f"struct<{', '.join(f'{c}: double' for c in STATE)}>")))
+    while True:
+        scored = salted_join(z, packed(state), ["grp"], hot, ["f1", "f2"]).select("grp", *NAMES, F.explode("states").alias("s")).select("grp", *NAMES, "s.*")
+        scored = _distance(scored, [*by, *NAMES])
+        core = scored.join(F.broadcast(_cut(scored, by, p.core)) if hot is None else _cut(scored, by, p.core), by).where(_bin(F.col("d2")) <= F.col("cut"))
+        means = [F.avg(a).alias(f"m_{a}") for a in NAMES]
+        core = core.groupBy(*by).agg(F.count("*").alias("used"), *means, *_covariances({a: F.col(a) for a in NAMES}))
+        found = _roots(_drawn(core, F.col("used"), factor, p), by, floors)
+        moved = found.join(state.select(*by, "best"), by)
+        falls = F.coalesce(F.col("best.logdet") - F.col("logdet"), F.lit(1.0))
+        best = F.when(F.col("best").isNull() | (falls > 0), F.struct(*STATE)).otherwise(F.col("best"))
+        seen = Observation()
+        after = scratch.settle(moved.observe(seen, F.max(falls).alias("fell")).select(*by, *STATE, best.alias("best")))
+        scratch.drop(state)
+        state = after
+        if (seen.get["fell"] or 0) <= p.settled:
+            return state.groupBy("grp").agg(F.min_by("best", F.struct("best.logdet", "start")).alias("s")).select("grp", "s.*")
 
 
 def quality_rules(
@@ -172,20 +234,19 @@ def quality_rules(
     rows = scratch.settle(found.select("*", failed.alias("base_failed"), *_features()))
 
     # Documents that fail the base rules have their verdict; they don't shape the estimates.
-    usable = rows.where("not base_failed").select("grp", *FEATURES).withColumn("everything", F.lit(0))
-    overall = _robust(usable, ["everything"], p, scratch)
-    sizes = usable.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") >= p.min_group)
-    own = _robust(usable.join(sizes.select("grp"), "grp"), ["grp"], p, scratch)
-    stats = [c for c in own.columns if c not in ("grp", "used", "median")]
-    fallback = overall.select("everything", *[F.col(c).alias(f"o_{c}") for c in [*stats, "median"]])
-    names = rows.select("grp", F.lit(0).alias("everything")).distinct().join(own, "grp", "left").join(fallback, "everything", "left")
-    names = names.select("grp", *[F.coalesce(c, f"o_{c}").alias(c) for c in [*stats, "median"]])
-    kept_columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "median"]
-    scored = _distance(rows.join(names, "grp", "left"), kept_columns)
-    distance = F.col("d2") * F.least(F.lit(1.0), CHI_MEDIAN / F.col("median"))
-    return scored.select(
-        *kept_columns[:-2],
-        distance.alias("distance"),
-        "base_failed",
-        F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(distance <= p.cutoff, F.lit(True))).alias("kept"),
-    )
+    usable = rows.where("not base_failed").select("grp", *NAMES)
+    hot = hot_keys(rows, ["grp"])
+    middles = scratch.settle(usable.groupBy("grp").agg(*[F.percentile_approx(a, 0.5, 1000).alias(f"c_{a}") for a in NAMES]))
+    moved = lambda x: salted_join(x, middles, ["grp"], hot, ["f1", "f2"], "left")
+    around = moved(usable).agg(*[F.percentile_approx(F.abs(F.col(a) - F.col(f"c_{a}")), 0.5, 1000).alias(a) for a in NAMES]).first()
+    scale = {a: max(1.4826 * (around[a] or 0), FEATURES[a]) for a in NAMES}
+    centred = [((F.col(a) - F.col(f"c_{a}")) / scale[a]).alias(a) for a in NAMES]
+    z = scratch.settle(moved(usable).select("grp", *centred))
+    states = scratch.settle(_robust(z, hot, {a: FEATURES[a] / scale[a] for a in NAMES}, p, scratch))
+
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    judged = moved(rows).select(*columns, "base_failed", "grp", *centred)
+    scored = _distance(salted_join(judged, states, ["grp"], hot, ["f1", "f2"], "left"), [*columns, "base_failed"])
+    scratch.drop(z)
+    fits = F.coalesce(F.col("d2") <= chi_square_quantile(1 - p.tail, len(NAMES)), F.lit(False))
+    return scored.select(*columns, F.col("d2").alias("distance"), "base_failed", (~F.col("base_failed") & fits).alias("kept"))
