@@ -63,8 +63,10 @@ URL_RULES = (
 
 
 def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's document is the number in its path, not its own id."""
     rules = reputation.Reputation(rules=URL_RULES)
-    rows = reputation.host_reputation(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), rules)
+    document = F.regexp_extract("path", "/([0-9]+)", 1).try_cast("long")
+    rows = reputation.host_reputation(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"), rules, page_doc=document)
     return rows.withColumns({"rate": F.round("rate", 9), "bound": F.round("bound", 9)})
 
 
@@ -95,6 +97,20 @@ WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'
 REACH = """reach(id, r) as (select a, a from links union select reach.id, links.b from reach join links on links.a = reach.r),
 top as (select id, min(r) as component_id from reach group by id)"""
 
+SUFFIXES = ", ".join(f"'{x}'" for x in reputation.Reputation().suffixes)
+
+
+def digamma_sql(x: str) -> str:
+    y = f"({x} + 6)"
+    return f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * {y} * {y}) + 1 / (120 * power({y}, 4)) - 1 / (252 * power({y}, 6)) - ({' + '.join(f'1 / ({x} + {k}.0)' for k in range(6))}))"
+
+
+def trigamma_sql(x: str) -> str:
+    y = f"({x} + 6)"
+    terms = " + ".join(f"1 / (({x} + {k}.0) * ({x} + {k}.0))" for k in range(6))
+    return f"(1 / {y} + 1 / (2 * {y} * {y}) + 1 / (6 * power({y}, 3)) - 1 / (30 * power({y}, 5)) + 1 / (42 * power({y}, 7)) + {terms})"
+
+
 SQL = {
     "op2_minhash_near_dedup": f"""with recursive d as (select doc_id, {WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
 g as (select doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' '))) end) as g from d),
@@ -108,28 +124,29 @@ links as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b
 c as (select a as id, count(*) as n from links group by 1),
 {REACH}
 select vec_id, coalesce(n, 0) as n_links, coalesce(component_id, vec_id) as component_id, coalesce(component_id, vec_id) = vec_id as kept from embeddings left join c on c.id = vec_id left join top on top.id = vec_id""",
-    "op9_host_reputation": """with r as (select page_id, case when strpos(url, '://') > 0 then substring(url, strpos(url, '://') + 3) else '' end as rest from pages),
+    "op9_host_reputation": f"""with r as (select page_id, case when strpos(url, '://') > 0 then substring(url, strpos(url, '://') + 3) else '' end as rest from pages),
 p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r),
 rules as (select * from (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) t(verdict, h, q)),
 fit as (select page_id, arg_max(h || q, length(h || q)) as rule, arg_max(verdict, length(h || q)) as by_rule from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, q) group by 1),
-marks as (select doc_id as page_id, coalesce(toxic = 1 or quality = 0, false)::int as bad from labels),
-hosts as (select host, array_to_string(string_split(host, '.')[-2:], '.') as domain, string_split(host, '.')[-1] as suffix, count(m.bad) as n, coalesce(sum(m.bad), 0) as bad from p left join marks m using (page_id) group by 1),
+marks as (select doc_id as doc, coalesce(toxic = 1 or quality = 0, false)::int as bad from labels),
+named as (select host, try_cast(regexp_extract(path, '/([0-9]+)', 1) as bigint) as doc, string_split(host, '.') as h, case when array_to_string(h[-2:], '.') in ({SUFFIXES}) then 2 else 1 end as k from p),
+hosts as (select host, array_to_string(any_value(h)[-any_value(k) - 1:], '.') as domain, array_to_string(any_value(h)[-any_value(k):], '.') as suffix, count(m.bad) as n, coalesce(sum(m.bad), 0) as bad from named left join marks m using (doc) group by 1),
 domains as (select domain, suffix, sum(n) as n, sum(bad) as bad from hosts group by 1, 2), tops as (select suffix, sum(n) as n, sum(bad) as bad from domains group by 1),
 root as (select (sum(bad) + 1.0) / (sum(n) + 5.0) as m from tops),
 j1 as (select tops.*, m from tops, root),
 s1 as (select sum(case when n > 0 then n * power(bad / n - m, 2) else 0 end) as e, count(*) filter (n > 0) as k, sum(n) as t, any_value(m) as m0 from j1),
-t1 as (select case when (e - k * m0 * (1 - m0)) > 0 then m0 * (1 - m0) / ((e - k * m0 * (1 - m0)) / greatest(t - k, 1)) - 1 else 200 end as s from s1),
-p1 as (select suffix, (s * m + bad) / (s + n) as m from (select j1.*, least(greatest(s, 2), 200) as s from j1, t1)),
+t1 as (select case when (e - k * m0 * (1 - m0)) > 0 then m0 * (1 - m0) / ((e - k * m0 * (1 - m0)) / greatest(t - k, 1)) - 1 else 40 end as s from s1),
+p1 as (select suffix, (s * m + bad) / (s + n) as m from (select j1.*, least(greatest(s, 2), 40) as s from j1, t1)),
 j2 as (select domains.*, m from domains join p1 using (suffix)),
 s2 as (select suffix, sum(case when n > 0 then n * power(bad / n - m, 2) else 0 end) as e, count(*) filter (n > 0) as k, sum(n) as t, any_value(m) as m0 from j2 group by 1),
-t2 as (select suffix, case when (e - k * m0 * (1 - m0)) > 0 then m0 * (1 - m0) / ((e - k * m0 * (1 - m0)) / greatest(t - k, 1)) - 1 else 200 end as s from s2),
-p2 as (select domain, (s * m + bad) / (s + n) as m from (select j2.*, least(greatest(s, 2), 200) as s from j2 join t2 using (suffix))),
+t2 as (select suffix, case when (e - k * m0 * (1 - m0)) > 0 then m0 * (1 - m0) / ((e - k * m0 * (1 - m0)) / greatest(t - k, 1)) - 1 else 40 end as s from s2),
+p2 as (select domain, (s * m + bad) / (s + n) as m from (select j2.*, least(greatest(s, 2), 40) as s from j2 join t2 using (suffix))),
 j3 as (select hosts.*, m from hosts join p2 using (domain)),
 s3 as (select domain, sum(case when n > 0 then n * power(bad / n - m, 2) else 0 end) as e, count(*) filter (n > 0) as k, sum(n) as t, any_value(m) as m0 from j3 group by 1),
-t3 as (select domain, case when (e - k * m0 * (1 - m0)) > 0 then m0 * (1 - m0) / ((e - k * m0 * (1 - m0)) / greatest(t - k, 1)) - 1 else 200 end as s from s3),
-p3 as (select host, s * m + bad as a, s * (1 - m) + n - bad as b from (select j3.*, least(greatest(s, 2), 200) as s from j3 join t3 using (domain))),
-sc as (select host, a / (a + b) as rate, a / (a + b) - 2.326 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) as bound from p3)
-select p.page_id, p.host, p.path, rule, coalesce(by_rule, case when bound > 0.5 then 'block' else 'allow' end) as verdict, round(rate, 9) as rate, round(bound, 9) as bound
+t3 as (select domain, case when (e - k * m0 * (1 - m0)) > 0 then m0 * (1 - m0) / ((e - k * m0 * (1 - m0)) / greatest(t - k, 1)) - 1 else 40 end as s from s3),
+p3 as (select host, s * m + bad as a, s * (1 - m) + n - bad as b from (select j3.*, least(greatest(s, 2), 40) as s from j3 join t3 using (domain))),
+sc as (select host, a / (a + b) as rate, 1 / (1 + exp({digamma_sql("b")} - {digamma_sql("a")} + 1.0 * sqrt({trigamma_sql("a")} + {trigamma_sql("b")}))) as bound from p3)
+select p.page_id, p.host, p.path, rule, coalesce(by_rule, case when bound > (select m from root) then 'block' else 'allow' end) as verdict, round(rate, 9) as rate, round(bound, 9) as bound
 from p left join fit using (page_id) left join sc on sc.host = p.host""",
     "op10_substring_dedup": f"""with d as (select doc_id, {WORDS.format("text")} as w from documents),
 s as (select doc_id, w, unnest(generate_series(1, len(w) - 49)) as i from d where len(w) >= 50), x as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from s),

@@ -5,12 +5,19 @@ are summed per host, registered domain and suffix. Each level's bad rate gets
 a beta prior from the level above: its mean is the parent's posterior mean,
 its strength comes from the spread of the rates under that parent (method of
 moments), held between two bounds. A host is blocked if the lower posterior
-bound of its rate passes the limit. Explicit rules on host and path come
-first. Columns and SQL functions only; tables of hosts stay distributed.
+bound of its bad rate is over `lift` times the rate of all pages: what counts
+is being worse than the rest, as the share of bad pages differs between
+crawls. Explicit rules on host and path come first. Columns and SQL functions
+only; tables of hosts stay distributed, hot hosts and domains are salted.
 
-The registered domain is the last label before the suffix with it; the
-suffix is the last label, or the last two where the last two are in
-`suffixes`. Hosts of one label are their own domain.
+The bound is a quantile of the beta posterior by its logit, whose mean and
+variance are differences and sums of digamma and trigamma functions.
+
+`page_doc` gives the document of a page whose labels count; by default that
+of the page's own id. The registered domain is the last label before the
+suffix with it; the suffix is the last label, or the last two where the last
+two are in `suffixes`, which takes such entries of a public suffix list.
+Hosts of one label are their own domain.
 
 Defined results: a null url, or one without "://", has an empty host and path,
 fits no rule and is judged as the host "" is; a page without a label counts
@@ -25,7 +32,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, hot_keys, salted_join
 
 
 @dataclass(frozen=True)
@@ -44,11 +51,11 @@ class Reputation:
     rules: Sequence[Rule] = ()
     #: Suffixes of two labels, beside every single label.
     suffixes: Sequence[str] = ("co.uk", "org.uk", "com.au", "co.jp")
-    #: Standard deviations below the posterior mean, and the bad rate that this bound must pass.
-    z: float = 2.326
-    limit: float = 0.5
+    #: Standard deviations of the bound below the mean of the posterior's logit; times the rate of all pages that it must pass.
+    z: float = 1.0
+    lift: float = 1.0
     least_strength: float = 2.0
-    most_strength: float = 200.0
+    most_strength: float = 40.0
     #: Prior of the root: pseudo-counts of bad and good pages.
     root: tuple[float, float] = field(default=(1.0, 4.0))
 
@@ -89,7 +96,8 @@ def _posterior(rows: DataFrame, key: str, parent: str | None, prior: DataFrame |
     if prior is None:
         return rows.select(key, (F.col("bad") + p.root[0]).alias("a"), (F.col("n") - F.col("bad") + p.root[1]).alias("b"))
     means = prior.select(F.col(prior.columns[0]).alias(parent), (F.col("a") / (F.col("a") + F.col("b"))).alias("m"))
-    joined = rows.join(means, parent)
+    hot = hot_keys(rows, [parent])
+    joined = salted_join(rows, means, [parent], hot, [key])
     some = F.col("n") > 0
     error = F.sum(F.when(some, F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("m"), 2)).otherwise(0.0))
     keys, trials = F.sum(F.when(some, 1.0).otherwise(0.0)), F.sum(F.col("n").cast("double"))
@@ -97,10 +105,25 @@ def _posterior(rows: DataFrame, key: str, parent: str | None, prior: DataFrame |
     variance = (F.col("e") - F.col("k") * F.col("m0") * (1 - F.col("m0"))) / F.greatest(F.col("t") - F.col("k"), F.lit(1.0))
     strength = F.when(variance > 0, F.col("m0") * (1 - F.col("m0")) / variance - 1).otherwise(F.lit(p.most_strength))
     spread = spread.select(parent, F.least(F.greatest(strength, F.lit(p.least_strength)), F.lit(p.most_strength)).alias("s"))
-    full = joined.join(spread, parent)
+    full = salted_join(joined, spread, [parent], hot, [key])
     return full.select(key, (F.col("s") * F.col("m") + F.col("bad")).alias("a"), (F.col("s") * (1 - F.col("m")) + F.col("n") - F.col("bad")).alias("b"))
 
 
+def digamma(x: Column) -> Column:
+    y = x + 6
+    return F.log(y) - 1 / (2 * y) - 1 / (12 * y * y) + 1 / (120 * F.pow(y, 4)) - 1 / (252 * F.pow(y, 6)) - sum((1 / (x + k) for k in range(1, 6)), 1 / x)
+
+
+def trigamma(x: Column) -> Column:
+    y = x + 6
+    return 1 / y + 1 / (2 * y * y) + 1 / (6 * F.pow(y, 3)) - 1 / (30 * F.pow(y, 5)) + 1 / (42 * F.pow(y, 7)) + sum((1 / ((x + k) * (x + k)) for k in range(1, 6)), 1 / (x * x))
+
+
+def lower_bound(a: Column, b: Column, z: float) -> Column:
+    """About the quantile of the beta distribution that lies z deviations below the middle."""
+    return 1 / (1 + F.exp(digamma(b) - digamma(a) + z * F.sqrt(trigamma(a) + trigamma(b))))
+
+
 def host_reputation(
     pages: DataFrame,
     labels: DataFrame,
@@ -108,33 +131,30 @@ def host_reputation(
     id_col: str = "page_id",
     url_col: str = "url",
     label_id: str = "doc_id",
+    page_doc: Column | None = None,
     bad: str = "toxic = 1 or quality = 0",
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, rate, bound: a row per page."""
     p = params
     scratch = Scratch(pages.sparkSession, "reputation")
     rows = with_parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), "url").drop("url")
-    marks = labels.select(F.col(label_id).alias("page_id"), F.coalesce(F.expr(bad), F.lit(False)).cast("long").alias("bad"))
+    marks = labels.select(F.col(label_id).alias("doc"), F.coalesce(F.expr(bad), F.lit(False)).cast("long").alias("bad"))
     # Every host once, with the outcomes of its pages.
-    trials = rows.select("page_id", "host").join(marks, "page_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    trials = rows.select((F.col("page_id") if page_doc is None else page_doc).alias("doc"), "host").join(marks, "doc").groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     hosts = rows.groupBy("host").agg(F.count("*").alias("pages")).select("host").join(trials, "host", "left").na.fill(0, ["n", "bad"])
     hosts = scratch.settle(_with_parents(hosts, p))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     root = tops.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).select(F.lit(0).alias("root"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"))
     post = scratch.settle(_posterior(root, "root", None, None, p))
+    a, b = post.select("a", "b").first()
     post = scratch.settle(_posterior(tops.withColumn("root", F.lit(0)), "suffix", "root", post, p))
     post = scratch.settle(_posterior(domains, "domain", "suffix", post, p))
     post = scratch.settle(_posterior(hosts.select("host", "domain", "n", "bad"), "host", "domain", post, p))
-    total = F.col("a") + F.col("b")
-    rate = F.col("a") / total
-    deviation = F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1)))
-    scores = post.select("host", rate.alias("rate"), (rate - p.z * deviation).alias("bound"))
+    scores = post.select("host", (F.col("a") / (F.col("a") + F.col("b"))).alias("rate"), lower_bound(F.col("a"), F.col("b"), p.z).alias("bound"))
     name, verdict = ruled(p)
-    own = F.when(F.col("bound") > p.limit, F.lit("block")).otherwise(F.lit("allow"))
+    own = F.when(F.col("bound") > p.lift * (a / (a + b)), F.lit("block")).otherwise(F.lit("allow"))
     return (
-        rows.withColumn("rule", name)
-        .withColumn("by_rule", verdict)
-        .join(scores, "host", "left")
+        salted_join(rows.withColumn("rule", name).withColumn("by_rule", verdict), scores, ["host"], hot_keys(rows, ["host"]), ["page_id"], "left")
         .select("page_id", "host", "path", "rule", F.coalesce("by_rule", own).alias("verdict"), "rate", "bound")
     )

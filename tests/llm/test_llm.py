@@ -479,6 +479,28 @@ def test_host_reputation(spark):
     assert {got[100 + i].verdict for i in range(1, 80, 2)} == {"block"} and {got[100 + i].verdict for i in range(0, 80, 2)} == {"allow"}
 
 
+def test_host_reputation_blocks_on_a_given_table(spark):
+    rows = Q.op9_host_reputation(spark, "/root/testdata/sf0.1").where("rule is null")
+    got = {r.verdict: r["count"] for r in rows.groupBy("verdict").count().collect()}
+    assert 0 < got["block"] < 0.2 * got["allow"]
+
+
+def test_two_label_suffixes(spark):
+    pages = spark.createDataFrame([(i, f"http://{'bad' if i % 2 else 'good'}.co.uk/{i}") for i in range(60)] + [(99, "http://new.co.uk/")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i % 2 else 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r.host: r for r in reputation.host_reputation(pages, labels).collect()}
+    assert got["bad.co.uk"].verdict == "block" and got["good.co.uk"].verdict == got["new.co.uk"].verdict == "allow"
+    assert abs(got["new.co.uk"].rate - 0.5) < 0.05  # from the suffix, not from a domain co.uk
+
+
+def test_beta_bound(spark):
+    rng = np.random.default_rng(6)
+    pairs = [(0.6, 2.0), (2.0, 9.0), (12.0, 30.0), (200.0, 600.0), (5.0, 5.0)]
+    rows = spark.createDataFrame(pairs, "a double, b double").select("a", "b", reputation.lower_bound(F.col("a"), F.col("b"), 1.645).alias("q")).collect()
+    for r in rows:
+        assert abs(np.quantile(rng.beta(r.a, r.b, 200_000), 0.05) - r.q) < 0.02
+
+
 # --- every operator on nothing ---------------------------------------------------------------
 
 
