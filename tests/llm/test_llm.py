@@ -231,6 +231,17 @@ def test_substring_duplicates(docs):
             assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id]
 
 
+def test_substring_duplicates_of_a_repeated_id(spark):
+    word = [f"w{i}" for i in range(400)]
+    a, b, c = " ".join(word[:60]), " ".join(word[100:170]), " ".join(word[300:355])
+    rows = [(1, a), (1, b), (2, "x y " + a), (3, b + " z"), (3, c), (3, "p " + c), (4, c), (0, "q " + " ".join(word[110:165]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.substring_duplicates(docs).collect())
+    assert got == sorted([(1, 60, 0), (1, 70, 55), (2, 62, 60), (3, 71, 70), (3, 55, 0), (3, 56, 0), (4, 55, 55), (0, 56, 0)])
+    left = sorted((r.doc_id, len(words_of(r.text))) for r in substring.remove_duplicates(docs).collect())
+    assert left == sorted((i, n - k) for i, n, k in got)
+
+
 def test_removed_words_leave_the_text(docs):
     want = brute_substring()
     for r in substring.remove_duplicates(docs).collect():
