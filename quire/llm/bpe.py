@@ -4,9 +4,10 @@ The ranks of a public vocabulary file drive the merges. A text is split by
 the vocabulary's pattern; pieces not met before are encoded together in
 padded matrices, one for each range of lengths. In a round every row merges
 its leftmost pair of minimum rank, its tail moves up, and finished rows leave
-the matrix. Pair ranks come from an open-addressing hash table. Pieces longer
-than LONGEST merge in the same order from a heap, as a matrix row would cost
-its length squared.
+the matrix. Pair ranks come from an open-addressing hash table. A row of over
+WIDE bytes is a matrix of its own; its round merges that pair at all its
+places from left to right, which gives the same ids: a merge makes no pair of
+lower rank, so these places would come next one after another.
 
 Defined results: a null text encodes to no ids and decodes to no bytes; a
 null id keeps its row; repeated rows give equal rows. Other columns are not
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -26,8 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-#: Bytes of the longest piece that goes into a matrix.
-LONGEST = 256
+#: Bytes from which a row merges all places of its pair in a round.
+WIDE = 256
 #: Pieces, and words, whose ids a worker remembers; characters of a run of texts.
 REMEMBERED = 400_000
 RUN_CHARS = 3_000_000
@@ -50,7 +50,6 @@ class PairTable:
             todo = todo[self.keys[slot[todo]] != key[todo]]
             slot[todo] = (slot[todo] + 1) & self.mask
         self.ranks[slot] = rank
-        self.pairs = (left, right, rank)
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -87,22 +86,21 @@ class Vocabulary:
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         splits = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         self.table = PairTable(*(np.array(x, np.int32) for x in zip(*splits)))
-        self._dict: dict[tuple[int, int], int] | None = None
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece, merged on its own, as 32-bit integers."""
         out = [b""] * len(pieces)
         lengths = np.array([len(p) for p in pieces])
         low = 0
-        for high in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, LONGEST):
+        for high in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, WIDE):
             rows = np.flatnonzero((lengths > low) & (lengths <= high))
             for at in range(0, len(rows), max(1, 200_000 // high)):
                 part = rows[at : at + max(1, 200_000 // high)]
                 for row, ids in zip(part.tolist(), self._matrix([pieces[i] for i in part], high)):
                     out[row] = ids
             low = high
-        for row in np.flatnonzero(lengths > LONGEST):
-            out[row] = self._heap(pieces[row])
+        for row in np.flatnonzero(lengths > WIDE):
+            out[row] = self._wide(pieces[row])
         return out
 
     def _matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
@@ -140,42 +138,47 @@ class Vocabulary:
         flat = done[done >= 0].tobytes()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _heap(self, piece: bytes) -> bytes:
-        if self._dict is None:
-            self._dict = {(a, b): r for a, b, r in zip(*(x.tolist() for x in self.table.pairs))}
-        pairs = self._dict
-        ids = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
-        after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
-        heap = [(r, i) for i in range(len(ids) - 1) if (r := pairs.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i] if ids[i] >= 0 else -1
-            if j < 0 or pairs.get((ids[i], ids[j])) != rank:
-                continue
-            ids[i], ids[j] = rank, -1
-            after[i] = after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-                if (r := pairs.get((rank, ids[after[i]]))) is not None:
-                    heapq.heappush(heap, (r, i))
-            if before[i] >= 0 and (r := pairs.get((ids[before[i]], rank))) is not None:
-                heapq.heappush(heap, (r, before[i]))
-        return np.array([x for x in ids if x >= 0], np.int32).tobytes()
+    def _wide(self, piece: bytes) -> bytes:
+        ids = self.byte_id[np.frombuffer(piece, np.uint8)]
+        rank = self.table.find(ids[:-1], ids[1:])
+        while len(rank) and (best := rank.min()) != _NONE:
+            at = np.flatnonzero(rank == best)
+            # Of places next to each other, as in a run of one token, every second one.
+            opens = np.concatenate([[True], np.diff(at) > 1])
+            start = np.maximum.accumulate(np.where(opens, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - start) % 2 == 0]
+            ids[at] = best
+            ids, rank = np.delete(ids, at + 1), np.delete(rank, at)
+            now = at - np.arange(len(at))
+            near = np.unique(np.concatenate([now - 1, now]))
+            near = near[(near >= 0) & (near < len(rank))]
+            rank[near] = self.table.find(ids[near], ids[near + 1])
+        return ids.tobytes()
+
+
+def cut_words(text: str) -> list[str]:
+    """What stands before the first space or line feed, then the words after them; a line feed stays with its word, a space doesn't."""
+    return text.replace("\n", " \n").split(" ")
+
+
+def odd_words(words: set[str]) -> set[str]:
+    """Those with a space or nothing where the word should begin."""
+    return {w for w in words if not (rest := w[1:] if w[:1] == "\n" else w) or rest[0].isspace()}
 
 
 class Encoder:
     """Texts to ids and back; remembers the ids of pieces and of words.
 
-    by_space: the pattern never joins a space and a following non-space to
-    what stands before them, so such a place is a boundary. Then a text
-    without other spaces is cut there, and whole words are remembered.
+    by_space: the pattern never joins a space or a line feed and a following
+    non-space to what stands before them, so such a place is a boundary. Then
+    a text in which only non-spaces follow these is cut there, and whole words
+    are remembered, with the line feed but without the space before them.
     """
 
     def __init__(self, raw: bytes, pattern: str, by_space: bool = False):
         self.vocabulary = Vocabulary(raw)
         self.split = regex.compile(pattern).findall
-        self.other_space = regex.compile(r" (?!\S)").search if by_space else lambda text: True
+        self.by_space = by_space
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -194,20 +197,18 @@ class Encoder:
             if len(self.pieces) > REMEMBERED or len(self.words) > REMEMBERED:
                 self.pieces.clear()
                 self.words.clear()
-            # Each text: pieces, then words that follow a space.
-            parts: list[tuple[list[str], list[str]]] = []
-            for t in texts[at:to]:
-                if not t or self.other_space(t):
-                    parts.append((self.split(t or ""), []))
-                else:
-                    words = t.split(" ")
-                    parts.append((self.split(words[0]), words[1:]))
-            new = {w: self.split(" " + w) for w in set().union(*(w for _, w in parts)).difference(self.words)}
-            self._learn(set().union(*(p for p, _ in parts), *new.values()))
+            words = [cut_words(t) if self.by_space and t else [t or ""] for t in texts[at:to]]
+            fresh = set().union(*(w[1:] for w in words)).difference(self.words)
+            if odd := odd_words(fresh):
+                words = [[t or ""] if not odd.isdisjoint(w[1:]) else w for t, w in zip(texts[at:to], words)]
+                fresh -= odd
+            heads = [self.split(w[0]) for w in words]
+            new = {w: self.split(w if w[0] == "\n" else " " + w) for w in fresh}
+            self._learn(set().union(*heads, *new.values()))
             ids_of, word_ids = self.pieces.__getitem__, self.words.__getitem__
             self.words.update((w, b"".join(map(ids_of, p))) for w, p in new.items())
-            for pieces, words in parts:
-                yield np.frombuffer(b"".join([*map(ids_of, pieces), *map(word_ids, words)]), np.int32)
+            for head, tail in zip(heads, words):
+                yield np.frombuffer(b"".join([*map(ids_of, head), *map(word_ids, tail[1:])]), np.int32)
             at = to
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -1,18 +1,20 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 Filters over `width` bytes run along the whole text. Responses are max-pooled
-over overlapping chunks of `chunk` bytes; a document's mean and maximum over
-its chunks pass one hidden layer into one probability. A filter on bytes is a
-table of 256 rows for each of its places, so a response is a sum of rows.
-
-The network is fitted on the driver on at most `sample` labelled documents
-(the least hashes of their ids) and at most `sample_chunks` evenly spaced
-chunks of each, so the driver holds a bounded amount; every document is then
-scored whole on the executors. Labels, language, source and id are no inputs.
-
-Defined results: a null or empty text is scored as one chunk of padding; a
-label that is null trains nothing; without usable labels of both kinds every
-score is the share of label 1, or 0.5; repeated rows give equal rows.
+over chunks of `chunk` bytes that overlap by half, together all of the text;
+a document's mean and maximum over its chunks pass one hidden layer into one
+probability. A filter on bytes is a table of 256 rows for each of its places,
+so a response is a sum of rows.
+
+The network is fitted on the driver on a bounded sample of labelled documents:
+at most `sample` of them and `sample_bytes` of text, in the order of hashes of
+their ids, each whole. Every document is then scored whole on the executors.
+Labels, language, source and id are no inputs.
+
+Defined results: a null or empty text is scored as one place of padding; a
+label that is null trains nothing, nor does an id whose labels differ; without
+usable labels of both kinds every score is the share of label 1, or 0.5;
+repeated rows give equal rows.
 """
 
 from __future__ import annotations
@@ -33,9 +35,9 @@ class Net:
     filters: int = 16
     hidden: int = 16
     chunk: int = 256
-    #: Bounds of the training sample.
+    #: Bounds of the training sample: documents, and bytes of their texts.
     sample: int = 4000
-    sample_chunks: int = 24
+    sample_bytes: int = 10_000_000
     epochs: int = 8
     batch: int = 64
     rate: float = 0.004
@@ -43,8 +45,9 @@ class Net:
     threshold: float = 0.3
 
     @property
-    def step(self) -> int:
-        return self.chunk - self.width + 1
+    def half(self) -> int:
+        """Places of half a chunk; chunk i is halves i and i + 1."""
+        return self.chunk // 2
 
 
 Weights = dict[str, np.ndarray]
@@ -78,24 +81,48 @@ def _head(w: Weights, mean: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np
     return x, h, 1 / (1 + np.exp(-np.clip(h @ w["w2"] + w["b2"], -30, 30)))
 
 
-def fit(chunks: list[np.ndarray], labels: np.ndarray, p: Net) -> Weights:
-    """chunks[i]: bytes of document i, a row per chunk of p.chunk bytes."""
+def _chunks(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and second half of each chunk, and the first chunk of each document, for documents of count halves; a lone half is a chunk."""
+    chunks = np.maximum(count - 1, 1)
+    first = np.cumsum(chunks) - chunks
+    ends = np.cumsum(count)
+    one = np.arange(chunks.sum()) - np.repeat(first - ends + count, chunks)
+    return one, np.minimum(one + 1, np.repeat(ends - 1, chunks)), first
+
+
+def _halves(raw: np.ndarray, p: Net) -> tuple[np.ndarray, np.ndarray]:
+    """A text's halves with the bytes that their last places reach, and how many places each has."""
+    n = max(1, len(raw))
+    count = -(-n // p.half)
+    padded = np.zeros(count * p.half + p.width - 1, np.uint8)
+    padded[: len(raw)] = raw
+    at = np.arange(count) * p.half
+    return padded[at[:, None] + np.arange(p.half + p.width - 1)], np.minimum(n - at, p.half)
+
+
+def fit(texts: list[bytes], labels: np.ndarray, p: Net) -> Weights:
     w = _start(p)
     m = {k: np.zeros_like(v) for k, v in w.items()}
     s = {k: np.zeros_like(v) for k, v in w.items()}
     rng, t = np.random.default_rng(p.seed), 0
     for epoch in range(p.epochs):
-        order = rng.permutation(len(chunks))
+        order = rng.permutation(len(texts))
         for at in range(0, len(order), p.batch):
             part = order[at : at + p.batch]
-            rows = np.concatenate([chunks[i] for i in part])
-            size = np.array([len(chunks[i]) for i in part])
-            first = np.cumsum(size) - size
+            cut = [_halves(np.frombuffer(texts[i], np.uint8), p) for i in part]
+            rows, places = (np.concatenate(x) for x in zip(*cut))
+            count = np.array([len(x) for _, x in cut])
             y = labels[part].astype(np.float32)
             flat = np.concatenate([rows.ravel(), np.zeros(p.width - 1, np.uint8)])
-            r = responses(w, flat, rows.size).reshape(len(rows), p.chunk, p.filters)[:, : p.step]
+            r = responses(w, flat, rows.size).reshape(*rows.shape, p.filters)[:, : p.half]
+            r[np.arange(p.half) >= places[:, None]] = -np.inf
             place = r.argmax(1)
-            peak = np.take_along_axis(r, place[:, None, :], 1)[:, 0] + w["shift"]
+            peaks = np.take_along_axis(r, place[:, None, :], 1)[:, 0]
+            one, two, first = _chunks(count)
+            size = np.maximum(count - 1, 1)
+            winner = np.where(peaks[one] >= peaks[two], one[:, None], two[:, None])
+            f = np.broadcast_to(np.arange(p.filters), winner.shape)
+            peak = peaks[winner, f] + w["shift"]
             act = np.maximum(peak, 0)
             mean, top = np.add.reduceat(act, first) / size[:, None], np.maximum.reduceat(act, first)
             x, h, prob = _head(w, mean, top)
@@ -111,9 +138,9 @@ def fit(chunks: list[np.ndarray], labels: np.ndarray, p: Net) -> Weights:
             da *= peak > 0
             g["shift"] = da.sum(0)
             g["table"] = np.zeros_like(w["table"])
-            f = np.broadcast_to(np.arange(p.filters), place.shape)
+            at_place = place[winner, f]
             for k in range(p.width):
-                np.add.at(g["table"][k], (np.take_along_axis(rows, place + k, 1), f), da)
+                np.add.at(g["table"][k], (rows[winner, at_place + k], f), da)
             t += 1
             rate = p.rate * (1 - epoch / p.epochs) ** 0.5
             for k in w:
@@ -132,12 +159,12 @@ def score(w: Weights, offsets: np.ndarray, data: np.ndarray, p: Net) -> np.ndarr
     begin = ends - size - pad
     padded = np.zeros(int(ends[-1]) + pad, np.uint8)
     padded[np.arange(len(data)) + np.repeat(begin - offsets[:-1], np.diff(offsets))] = data
-    count = -(-size // p.step)
+    count = -(-size // p.half)
     first = np.cumsum(count) - count
-    at = np.repeat(begin, count) + (np.arange(count.sum()) - np.repeat(first, count)) * p.step
-    stop = np.minimum(at + p.step, np.repeat(begin + size, count))
+    at = np.repeat(begin, count) + (np.arange(count.sum()) - np.repeat(first, count)) * p.half
+    stop = np.minimum(at + p.half, np.repeat(begin + size, count))
     peak = np.empty((len(at), p.filters), np.float32)
-    block = 96  # chunks whose responses are held at once
+    block = 192  # halves whose responses are held at once
     for k in range(0, len(at), block):
         a, z = at[k : k + block], stop[k : k + block]
         r = responses(w, padded[a[0] : z[-1] + pad], int(z[-1] - a[0]))
@@ -145,8 +172,9 @@ def score(w: Weights, offsets: np.ndarray, data: np.ndarray, p: Net) -> np.ndarr
         marks[::2], marks[1::2] = a - a[0], np.minimum(z - a[0], len(r) - 1)
         peak[k : k + block] = np.maximum.reduceat(r, marks)[::2]
         peak[min(k + block, len(at)) - 1] = r[marks[-2] :].max(0)
-    act = np.maximum(peak + w["shift"], 0)
-    return _head(w, np.add.reduceat(act, first) / count[:, None], np.maximum.reduceat(act, first))[2]
+    one, two, first = _chunks(count)
+    act = np.maximum(np.maximum(peak[one], peak[two]) + w["shift"], 0)
+    return _head(w, np.add.reduceat(act, first) / np.maximum(count - 1, 1)[:, None], np.maximum.reduceat(act, first))[2]
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5):
@@ -155,30 +183,24 @@ def held_out(doc_id: str = "doc_id", folds: int = 5):
 
 def train(docs: DataFrame, labels: DataFrame, p: Net, id_col: str, text_col: str, label_id: str, label: str) -> Weights | float:
     """The weights, or the share of label 1 where only one kind is there."""
-    usable = labels.select(F.col(label_id).alias("id"), F.col(label).alias("y")).where("id is not null and y is not null").where(~held_out("id"))
-    chosen = usable.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(p.sample)
+    usable = labels.select(F.col(label_id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").where(~held_out("id"))
+    agreed = usable.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").drop("other")
+    order = [F.xxhash64("id"), F.col("id")]
+    chosen = agreed.orderBy(*order).limit(p.sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna().join(F.broadcast(chosen), "id")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                raw = np.frombuffer(text.encode(), np.uint8)
-                count = max(1, -(-len(raw) // p.step))
-                places = np.unique(np.linspace(0, count - 1, min(count, p.sample_chunks)).round().astype(int))
-                held = np.zeros((len(places), p.chunk), np.uint8)
-                for k, i in enumerate(places):
-                    piece = raw[i * p.step : i * p.step + p.chunk]
-                    held[k, : len(piece)] = piece
-                rows.append(held.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y").cast(pa.int32()), pa.array(rows, pa.binary())], names=["id", "y", "chunks"])
-
-    table = texts.select("id", F.col("y").cast("int").alias("y"), "text").mapInArrow(cut, "id long, y int, chunks binary").toArrow().sort_by("id")
+    # Sizes first: the driver takes whole texts while they fit the bound.
+    ids, room = [], p.sample_bytes
+    for row in texts.groupBy("id").agg(F.sum(F.octet_length("text")).alias("size")).orderBy(*order).collect():  # at most p.sample rows
+        if row["size"] <= room:
+            ids.append(row["id"])
+            room -= row["size"]
+    held = docs.sparkSession.createDataFrame(pa.table({"id": pa.array(ids, pa.int64())}))
+    table = texts.join(F.broadcast(held), "id", "left_semi").select("id", "y", "text").toArrow()
+    table = table.take(np.lexsort((table.column("text").to_numpy(), table.column("id").to_numpy())))
     y = table.column("y").to_numpy()
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
-    chunks = [np.frombuffer(x, np.uint8).reshape(-1, p.chunk) for x in table.column("chunks").to_pylist()]
-    return fit(chunks, y, p)
+    return fit([x.encode() for x in table.column("text").to_pylist()], y, p)
 
 
 def classify(

@@ -23,6 +23,7 @@ stand next to each other; a null id comes first. Other columns are not read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -30,11 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from .bpe import cut_words, odd_words
 from .common import Scratch
 
 PIECE = 1024
 #: Ids of a block, unless one document has more.
-BLOCK = 262_144
+BLOCK = 1_048_576
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0, 1])
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0, 64])
 ESCAPE = 15
@@ -118,53 +120,74 @@ def unpack(words: np.ndarray) -> np.ndarray:
 # --- encoding with the tokenizers library ------------------------------------------
 
 
+def _is_letters(word: str) -> bool:
+    """Letters of long standing, at which Python and the library can't differ, perhaps after a line feed."""
+    body = word[1:] if word[:1] == "\n" else word
+    return body.isalpha() and max(body) < "\u3000"
+
+
 class LibraryEncoder:
     """Texts to ids with a tokenizer file; remembers the ids of words.
 
-    by_space: a space before a non-space starts a new piece of this tokenizer,
-    so a text without other spaces is cut there; a full stop or comma after
-    letters is a piece too, so such a word shares the ids of its letters. New
-    words go to the library together as one text, and their ids are told
-    apart by length. Two generations of words are remembered, so that frequent
-    ones stay.
+    by_space: a space or a line feed before a non-space starts a new piece of
+    this tokenizer, so a text in which only non-spaces follow them is cut
+    there, unless it holds a special token's string, which the library finds
+    first. A word of letters is one piece and goes to the library's model as
+    such; a full stop or comma after it is a piece too. Other new words go to
+    the library together as one text, and their ids are told apart by length.
+    Two generations of words are remembered, so that frequent ones stay.
     """
 
     REMEMBERED = 300_000
     RUN_CHARS = 3_000_000
 
     def __init__(self, raw: bytes, by_space: bool):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(raw)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.other_space = regex.compile(r" (?!\S)").search if by_space else lambda text: True
+        self.by_space = by_space
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.stops = dict(zip(".,", self._whole([".", ","])))
+        self.line, *stops = self._whole(["\n", ".", ","])
+        self.stops = dict(zip(".,", stops))
         vocabulary = self.tokenizer.get_vocab()
         self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.length[i] = len(token)  # a character of a byte-level token is a byte
+        # Byte-level tokens write the bytes that don't print as the characters from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in set(plain)]
+        self.byte_names = {b: 256 + k for k, b in enumerate(others)}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, word: str) -> bytes:
+        """The ids of a word of letters, with the space or line feed before it."""
+        line = word[0] == "\n"
+        text = word[1:] if line else " " + word
+        ids = array("i", [t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.byte_names))]).tobytes()
+        return self.line + ids if line else ids
+
     def _learn(self, words: set[str]) -> None:
         older, held = self.older, self.words
         held.update((w, older[w]) for w in words if w in older)
         words = words.difference(held)
-        stopped = {w: w[:-1] for w in words if w[-1:] in self.stops and w[:-1].isalpha()}
+        stopped = {w: w[:-1] for w in words if w[-1:] in self.stops and _is_letters(w[:-1])}
         bases = set(stopped.values())
         held.update((w, older[w]) for w in bases if w in older)
-        new = list((words.difference(stopped) | bases).difference(held))
-        at = 0
-        while at < len(new):  # texts of some ten thousand words each
-            part = new[at : at + 20_000]
+        new = words.difference(stopped).union(bases).difference(held)
+        letters = {w for w in new if _is_letters(w)}
+        held.update((w, self._letters(w)) for w in letters)
+        rest, at = list(new - letters), 0
+        while at < len(rest):  # texts of some ten thousand words each
+            part = rest[at : at + 20_000]
             at += len(part)
-            ids = np.frombuffer(self._whole(["".join([" " + w for w in part])])[0], np.int32)
+            texts = [w if w[0] == "\n" else " " + w for w in part]
+            ids = np.frombuffer(self._whole(["".join(texts)])[0], np.int32)
             ends = np.cumsum(self.length[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(w.encode()) + 1 for w in part])) + 1
+            cuts = np.searchsorted(ends, np.cumsum([len(t.encode()) for t in texts])) + 1
             raw, cuts = ids.tobytes(), [0, *(cuts * 4).tolist()]
             held.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
         held.update((w, held[base] + self.stops[w[-1]]) for w, base in stopped.items())
@@ -178,16 +201,17 @@ class LibraryEncoder:
                 to += 1
             if len(self.words) > self.REMEMBERED:
                 self.words, self.older = {}, self.words
-            heads, tails = [], []
-            for t in texts[at:to]:
-                t = t or ""
-                words = [t] if self.other_space(t) else t.split(" ")
-                heads.append(words[0])
-                tails.append(words[1:])
-            self._learn(set().union(*tails).difference(self.words))
+            run = [t or "" for t in texts[at:to]]
+            plain = [self.by_space and not any(s in t for s in self.special) for t in run]
+            words = [cut_words(t) if p else [t] for t, p in zip(run, plain)]
+            fresh = set().union(*(w[1:] for w in words)).difference(self.words)
+            if odd := odd_words(fresh):
+                words = [[t] if not odd.isdisjoint(w[1:]) else w for t, w in zip(run, words)]
+                fresh -= odd
+            self._learn(fresh)
             held = self.words.__getitem__
-            for head, words in zip(self._whole(heads), tails):
-                yield np.frombuffer(b"".join([head, *map(held, words)]), np.int32)
+            for head, tail in zip(self._whole([w[0] for w in words]), words):
+                yield np.frombuffer(b"".join([head, *map(held, tail[1:])]), np.int32)
             at = to
 
 

@@ -92,13 +92,12 @@ def test_bpe_decodes(docs):
 def test_long_pieces_merge_alike(tik):
     coder = bpe.Encoder(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
     rng = random.Random(2)
-    texts = ["".join(rng.choice("abcdeth") for _ in range(n)) for n in (1, 2, 3, 255, 256, 257, 1500)] + ["a" * n for n in (5, 64, 300, 900)]
+    texts = ["".join(rng.choice("abcdeth") for _ in range(n)) for n in (1, 2, 3, 255, 256, 257, 1500, 60_000)] + ["a" * n for n in (5, 64, 300, 900, 4001)] + ["".join(rng.choice(["the", "ing", "th", "e", "a", "ta", "tat"]) for _ in range(4000)), "abab" * 700, "日本語テキスト" * 300]
     assert [x.tolist() for x in coder.encode(texts)] == [tik.encode_ordinary(t) for t in texts]
 
 
 def test_token_files(spark, docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got = [r for r in rows_of(tokenfile.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), by_space=True), "doc_id", "start", "n_tokens", "ids_crc32")]
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))
     sizes = Counter()
@@ -114,6 +113,21 @@ def test_token_files(spark, docs):
     assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
 
 
+def odd_texts():
+    rng = random.Random(3)
+    atoms = ["a", "Word", "wörd", "ß.", "end.", "x,", " ", "  ", "\n", "\n\n", "\t", "\r\n", " \n", "\n ", "<|endoftext|>", "'s", "12", "#$", "\x1c", "\u00a0", "\u3000", "日本", "ﬁ", "𝒳", "."]
+    return ["".join(rng.choice(atoms) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+
+
+def test_words_are_cut_as_the_libraries_do(tik):
+    texts = odd_texts()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library = tokenfile.LibraryEncoder(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read(), True)
+    assert [x.tolist() for x in library.encode(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    coder = bpe.Encoder(open(RANKS, "rb").read(), public_tokenizers.PATTERN, True)
+    assert [x.tolist() for x in coder.encode(texts)] == [tik.encode_ordinary(t) for t in texts]
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(1)
     for k in range(60):
@@ -344,7 +358,7 @@ def test_distant_halves_are_skipped():
 def test_classifier_on_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    scored = classifier.classify(spark.read.parquet(f"{sf}/documents.parquet"), labels, classifier.Net(epochs=12))
+    scored = classifier.classify(spark.read.parquet(f"{sf}/documents.parquet"), labels, classifier.Net())
     rows = scored.join(labels, "doc_id").where("held_out").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in scored.collect())
     good, bad = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
@@ -361,10 +375,35 @@ def test_classifier_scores_whole_texts():
         n = max(1, len(raw))
         padded = [*raw, *[0] * (n - len(raw) + p.width - 1)]
         r = np.array([sum(w["table"][k][padded[i + k]] for k in range(p.width)) for i in range(n)])
-        peaks = np.array([np.maximum(r[a : a + p.step].max(0) + w["shift"], 0) for a in range(0, n, p.step)])
+        starts = range(0, max(1, n - p.half), p.half)  # chunks overlap by half
+        peaks = np.array([np.maximum(r[a : a + p.chunk].max(0) + w["shift"], 0) for a in starts])
         assert abs(classifier._head(w, peaks.mean(0)[None], peaks.max(0)[None])[2][0] - value) < 1e-5
 
 
+def test_classifier_learns_as_it_scores():
+    """Halves and chunks of the fit pool to what scoring gives."""
+    p = classifier.Net(chunk=16, filters=3, hidden=4, epochs=1, batch=8, rate=0.0)
+    texts = [bytes(np.random.default_rng(i).integers(97, 105, n).astype(np.uint8)) for i, n in enumerate((0, 1, 7, 8, 9, 24, 100, 17))]
+    w = classifier.fit(texts, np.arange(8) % 2, p)
+    offsets = np.cumsum([0, *map(len, texts)])
+    together = classifier.score(w, offsets, np.frombuffer(b"".join(texts), np.uint8), p)
+    for text, value in zip(texts, together):
+        rows, places = classifier._halves(np.frombuffer(text, np.uint8), p)
+        r = np.stack([sum(w["table"][k][rows[:, i + k]] for k in range(p.width)) for i in range(p.half)], 1)
+        r[np.arange(p.half) >= places[:, None]] = -np.inf
+        one, two, _ = classifier._chunks(np.array([len(rows)]))
+        act = np.maximum(np.maximum(r.max(1)[one], r.max(1)[two]) + w["shift"], 0)
+        assert abs(classifier._head(w, act.mean(0)[None], act.max(0)[None])[2][0] - value) < 1e-5
+
+
+def test_classifier_skips_ids_whose_labels_differ(spark):
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "#### $$$$") for i in range(60)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(60)]
+    plain = classifier.classify(docs, spark.createDataFrame([x for x in labels if x[0] >= 10], "doc_id long, quality int"))
+    mixed = classifier.classify(docs, spark.createDataFrame(labels + [(i, 1 - i % 2) for i in range(10)] + [(50, None)], "doc_id long, quality int"))
+    assert rows_of(plain, "doc_id", "score") == rows_of(mixed, "doc_id", "score")
+
+
 def test_classifier_without_labels(docs, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in classifier.classify(docs, labels).collect()} == {0.5}
