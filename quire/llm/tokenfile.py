@@ -23,7 +23,6 @@ stand next to each other; a null id comes first. Other columns are not read.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -132,17 +131,16 @@ class LibraryEncoder:
     by_space: a space or a line feed before a non-space starts a new piece of
     this tokenizer, so a text in which only non-spaces follow them is cut
     there, unless it holds a special token's string, which the library finds
-    first. A word of letters is one piece and goes to the library's model as
-    such; a full stop or comma after it is a piece too. Other new words go to
-    the library together as one text, and their ids are told apart by length.
-    Two generations of words are remembered, so that frequent ones stay.
+    first. New words go to the library together as one text, and their ids are
+    told apart by length; words of letters are one piece each, and a full stop
+    or comma after them is a piece too, so they need no pattern. Two generations of words are remembered, so that frequent ones stay.
     """
 
     REMEMBERED = 300_000
     RUN_CHARS = 3_000_000
 
     def __init__(self, raw: bytes, by_space: bool):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_buffer(raw)
         self.by_space = by_space
@@ -155,20 +153,24 @@ class LibraryEncoder:
         self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.length[i] = len(token)  # a character of a byte-level token is a byte
-        # Byte-level tokens write the bytes that don't print as the characters from 256 on.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in set(plain)]
-        self.byte_names = {b: 256 + k for k, b in enumerate(others)}
+        # Words of letters need no pattern: they part where the space or line feed stands.
+        self.spaced, self.lined = Tokenizer.from_buffer(raw), Tokenizer.from_buffer(raw)
+        for tokenizer, mark, behavior in ((self.spaced, " ", "merged_with_next"), (self.lined, "\n", "isolated")):
+            tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(mark, behavior), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, word: str) -> bytes:
-        """The ids of a word of letters, with the space or line feed before it."""
-        line = word[0] == "\n"
-        text = word[1:] if line else " " + word
-        ids = array("i", [t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.byte_names))]).tobytes()
-        return self.line + ids if line else ids
+    def _remember(self, tokenizer, words: list[str]) -> None:
+        """Ids of words that go to the library as texts of some ten thousand."""
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            texts = [w if w[0] == "\n" else " " + w for w in part]
+            ids = np.array(tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.cumsum(self.length[ids])
+            cuts = np.searchsorted(ends, np.cumsum([len(t.encode()) for t in texts])) + 1
+            raw, cuts = ids.tobytes(), [0, *(cuts * 4).tolist()]
+            self.words.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
 
     def _learn(self, words: set[str]) -> None:
         older, held = self.older, self.words
@@ -178,18 +180,11 @@ class LibraryEncoder:
         bases = set(stopped.values())
         held.update((w, older[w]) for w in bases if w in older)
         new = words.difference(stopped).union(bases).difference(held)
-        letters = {w for w in new if _is_letters(w)}
-        held.update((w, self._letters(w)) for w in letters)
-        rest, at = list(new - letters), 0
-        while at < len(rest):  # texts of some ten thousand words each
-            part = rest[at : at + 20_000]
-            at += len(part)
-            texts = [w if w[0] == "\n" else " " + w for w in part]
-            ids = np.frombuffer(self._whole(["".join(texts)])[0], np.int32)
-            ends = np.cumsum(self.length[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(t.encode()) for t in texts])) + 1
-            raw, cuts = ids.tobytes(), [0, *(cuts * 4).tolist()]
-            held.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:]))))
+        spaced, lined, rest = [], [], []
+        for w in new:
+            (rest if not _is_letters(w) else lined if w[0] == "\n" else spaced).append(w)
+        for tokenizer, part in ((self.spaced, spaced), (self.lined, lined), (self.tokenizer, rest)):
+            self._remember(tokenizer, part)
         held.update((w, held[base] + self.stops[w[-1]]) for w, base in stopped.items())
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:

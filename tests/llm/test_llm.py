@@ -569,18 +569,95 @@ def test_empty_tables(spark, nothing):
     assert substring.substring_duplicates(nothing).count() == 0
 
 
-def test_pipeline(spark, docs):
-    import corpus_pipeline
-
-    held = docs.select(*corpus_pipeline.COLUMNS)
-    for name, stage in corpus_pipeline.STAGES:
-        before = held.count()
-        held = stage(spark, held, "").cache()
-        if name != "byte_bpe":
-            assert held.columns == corpus_pipeline.COLUMNS
-        if name in ("quality_rules", "minhash_near_dedup", "substring_dedup"):
-            assert held.count() <= before
-    assert held.count() > 0 and held.where(F.size("ids") != F.col("n_tokens")).count() == 0
+def brute_components(texts: list[tuple[int, str]], n: int, percent: int) -> dict[int, int]:
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = {}
+    for i, text in texts:
+        w = words_of(text.translate(lower))
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or {tuple(w)}
+    top = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            shared = len(sets[a] & sets[b]) if a < b else 0
+            if shared and 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared):
+                one, two = sorted((top[a], top[b]))
+                top = {k: one if v == two else v for k, v in top.items()}
+    return top
+
+
+def test_pipeline(spark, docs, tik):
+    import corpus_pipeline as P
+
+    stages = dict(P.STAGES)
+    plain = lambda df: Counter(tuple(r[c] for c in P.COLUMNS) for r in df.collect())
+    # Words of their own make the language and source groups large enough to judge, and repeats are planted.
+    rng = random.Random(17)
+    text = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(k))
+    fresh = [(1000 + i, text(rng.randint(60, 200)), "en", f"s{i % 3}", 5) for i in range(60)]
+    odd = [(None, fresh[0][1], "en", "s0", 5), (None, fresh[0][1], "en", "s0", 5), (1001, text(90), "en", "s1", 5), (1002, fresh[2][1], "en", "s2", 5), (1100, fresh[3][1] + " tail", None, None, None), (1101, None, "en", "s0", 0), (1102, "", "en", "s0", 0)]
+    rows = fresh + odd + [r[:5] for r in ROWS if r[0] is not None]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string").repartition(4)
+
+    held = stages["quality_rules"](spark, frame, "")
+    verdict = quality_rules.quality_rules(frame).where("kept").select("doc_id", "n_words", "word_chars").collect()
+    found = plain(held)
+    assert sorted(((r[0], len(words_of(r[1])), sum(map(len, words_of(r[1])))) for r in found.elements()), key=repr) == sorted((tuple(r) for r in verdict), key=repr)
+    assert sum(n for r, n in found.items() if r[0] is None) == 2
+
+    held = spark.createDataFrame(list(found.elements()), frame.drop("kept").schema).repartition(3)
+    got = plain(stages["minhash_near_dedup"](spark, held, ""))
+    top = brute_components([(i, r[1]) for i, r in enumerate(found)], 5, 80)
+    by_id, names = {}, list(found)
+    for i, r in enumerate(names):  # rows of an id are one document
+        if r[0] is not None:
+            by_id.setdefault(r[0], []).append(top[i])
+    link = {i: {t for t in by_id[i]} for i in by_id}
+    smallest = {}
+    for i in sorted(by_id):
+        seen, grow = set(), set(link[i])
+        while grow - seen:
+            seen |= grow
+            grow = set().union(*(link[j] for j in link if link[j] & seen))
+        smallest[i] = min(j for j in link if link[j] & seen)
+    assert sorted(r[0] for r in got if r[0] is not None) == sorted({i for i in by_id if smallest[i] == i})
+    assert all(n == 1 or r[0] is None for r, n in got.items()) and all(r in found for r in got)
+    assert {r: n for r, n in got.items() if r[0] is None} == {r: n for r, n in found.items() if r[0] is None}
+
+    held = spark.createDataFrame(list(got.elements()), held.schema).repartition(3)
+    cut = plain(stages["substring_dedup"](spark, held, ""))
+    starts, want = {}, []
+    for r in sorted((r for r in got.elements() if r[0] is not None), key=lambda r: r[0]):
+        w = words_of(r[1])
+        gone = [False] * len(w)
+        for i in range(len(w) - 49):
+            if starts.setdefault(tuple(w[i : i + 50]), r[0]) < r[0]:
+                gone[i : i + 50] = [True] * 50
+        want.append((r[0], [x for x, g in zip(w, gone) if not g]))
+    want += [(None, words_of(r[1])) for r in got.elements() if r[0] is None]
+    assert sorted(((r[0], words_of(r[1])) for r in cut.elements()), key=repr) == sorted((x for x in want if x[1]), key=repr)
+    assert all(r[4] == len(r[1]) for r in cut)
+
+    twice = list(cut.elements()) + list(cut.elements())[:5]
+    held = spark.createDataFrame(twice, held.schema).repartition(3)
+    mixed = plain(stages["mixing"](spark, held, ""))
+    copies, keyed = Counter(), P._keyed(held)
+    rows_by_key = {tuple(r["__key"]): tuple(r[c] for c in P.COLUMNS) for r in keyed.collect()}
+    for r in mixing.mix(keyed, id_col="__key").collect():
+        copies[rows_by_key[tuple(r.doc_id)]] += r.copies
+    assert Counter({k: n for k, n in copies.items() if n}) == mixed
+    assert all(n <= 3 * twice.count(r) for r, n in mixed.items())
+
+    held = spark.createDataFrame(list(mixed.elements()), held.schema)
+    ids = stages["byte_bpe"](spark, held, "").collect()
+    assert sorted(((r.doc_id, list(r.ids), r.n_tokens) for r in ids), key=repr) == sorted(((r[0], x := tik.encode_ordinary(r[1]), len(x)) for r in mixed.elements()), key=repr)
+
+
+def test_pipeline_on_nothing(spark, nothing):
+    import corpus_pipeline as P
+
+    for name, stage in P.STAGES:
+        out = stage(spark, nothing.select(*P.COLUMNS), "")
+        assert out.count() == 0 and (name == "byte_bpe" or out.columns == P.COLUMNS)
 
 
 def test_flight_keeps_inclusion_probabilities():
