@@ -1,4 +1,4 @@
-"""Consensus of several readings of scanned pages, folded page by page.
+"""Regions, ballots, allowances and sections of scanned pages, folded page by page.
 
 Groups here are a page's readings, each a small ordered scan. Spark groups and
 shuffles; inputs are sorted inside a group, so the order of rows doesn't
@@ -12,7 +12,6 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
@@ -20,10 +19,12 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.functions.islands import CHUNK, before, meet, with_islands
+from quire.operators.readings import alike
 
 #: Operations in a chunk of the personal fold.
 PART = 100_000
 
+
 def per_group(rows: DataFrame, keys: list[str], columns: list[str], fold: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
     """keys and what fold makes of each group's tuples. Spark groups in the JVM; a batch of small groups goes to Python at once."""
     packed = rows.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("rows"))
@@ -40,88 +41,6 @@ def per_group(rows: DataFrame, keys: list[str], columns: list[str], fold: Callab
     return packed.mapInArrow(run, schema)
 
 
-QUANTITY = re.compile(r"\d+(?:[./]\d+)?|[¼½¾⅓⅔⅛⅜⅝⅞]")
-LIKE = 0.88
-
-
-def key_of(line: str) -> str:
-    """Letters only, case folded."""
-    return "".join(c for c in unicodedata.normalize("NFKC", line).casefold() if c.isalpha())
-
-
-def amounts(line: str) -> tuple[str, ...]:
-    spaced = re.sub(r"([¼½¾⅓⅔⅛⅜⅝⅞])", r" \1", line)
-    return tuple(unicodedata.normalize("NFKC", q).replace("⁄", "/") for q in QUANTITY.findall(spaced))
-
-
-def alike(a: str, b: str) -> bool:
-    if a == b or min(len(a), len(b)) <= 6 or 2.0 * min(len(a), len(b)) / (len(a) + len(b)) < LIKE:  # the ratio can't be more
-        return a == b
-    match = SequenceMatcher(None, a, b)
-    return match.quick_ratio() >= LIKE and match.ratio() >= LIKE
-
-
-def vote(readings: list[tuple[str, str]]) -> list[tuple[str, int, int, bool]]:
-    """(line, support, voters, tie) for lines with a quantity that two readers or more give, from (reader, text)."""
-    groups: list[tuple[str, dict[str, str]]] = []
-    for reader, text in sorted(readings):
-        for line in (x.strip() for x in text.splitlines()):
-            if not line or not amounts(line):
-                continue
-            key = key_of(line)
-            for held, by in groups:
-                if reader not in by and alike(held, key):
-                    by[reader] = line
-                    break
-            else:
-                groups.append((key, {reader: line}))
-    out = []
-    for _, by in groups:
-        if len(by) >= 2:
-            best, n = min(Counter(by.values()).items(), key=lambda x: (-x[1], x[0]))
-            out.append((best, n, len(by), n < 2))
-    return out
-
-
-def vote_lines(readings: DataFrame) -> DataFrame:
-    """page, crop, line, support, voters, tie from readings(page, crop, reader, text)."""
-    schema = "page long, crop long, line string, support int, voters int, tie boolean"
-    return per_group(readings, ["page", "crop"], ["reader", "text"], lambda g: vote([(r, t or "") for r, t in g]), schema)
-
-
-def patch(text: str, voted: list[tuple[str, int, int, bool]]) -> tuple[str, list[tuple[str, str, str]]]:
-    """The page text with each voted line that a strict majority supports; (from, to, reason) of the changes.
-
-    The wording must match one line of the page. A line that the page lacks is appended.
-    """
-    lines, changes = text.split("\n"), []
-    for line, support, voters, tie in sorted(voted):
-        if tie or support * 2 <= voters:
-            continue
-        if any(line == x for x in lines):
-            continue
-        key = key_of(line)
-        match = [i for i, x in enumerate(lines) if amounts(x) and alike(key_of(x), key)]
-        if len(match) == 1:
-            changes.append((lines[match[0]], line, "quantity" if key_of(lines[match[0]]) == key else "wording"))
-            lines[match[0]] = line
-        elif not match:
-            changes.append(("", line, "missing"))
-            lines.append(line)
-    return "\n".join(lines), changes
-
-
-def patch_pages(pages: DataFrame, voted: DataFrame) -> DataFrame:
-    """page, text, changes from pages(page, text) and the votes of their crops."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        votes = list(zip(right["line"], right["support"], right["voters"], right["tie"]))
-        out = [(p, *patch(t or "", votes)) for p, t in zip(left["page"], left["text"])]
-        return pd.DataFrame([(p, t, len(c)) for p, t, c in out], columns=["page", "text", "changes"])
-
-    return pages.groupBy("page").cogroup(voted.groupBy("page")).applyInPandas(run, "page long, text string, changes int")
-
-
 def cluster_boxes(boxes: list[tuple[str, float, float, float, float]], share: float = 0.4, pad: float = 0.02) -> list[tuple[float, ...]]:
     """Regions of (reader, l, t, r, b): boxes that overlap by a share of the smaller one are one region, kept if two readers or more drew it."""
     root = list(range(len(boxes)))
@@ -220,8 +139,14 @@ def recovery_status(attempts: DataFrame, region_limit: int = 2, page_limit: int
 # --- books and owners --------------------------------------------------------------------
 
 
-def slug_of(title: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "-", unicodedata.normalize("NFKD", title).encode("ascii", "ignore").decode().lower()).strip("-")[:60] or "section"
+def key_of(title: str) -> str:
+    """Letters and spaces of a title, in plain lower case."""
+    return " ".join(re.sub(r"[^a-z]+", " ", unicodedata.normalize("NFKD", title).casefold()).split())
+
+
+def slug_of(title: str, page: int) -> str:
+    """A stable name; a title without a letter or digit of ASCII is named by its page."""
+    return re.sub(r"[^a-z0-9]+", "-", unicodedata.normalize("NFKD", title).encode("ascii", "ignore").decode().lower()).strip("-")[:60] or f"page-{page}"
 
 
 def assemble_sections(pages: DataFrame, near: int = 8) -> DataFrame:
@@ -249,7 +174,7 @@ def assemble_sections(pages: DataFrame, near: int = 8) -> DataFrame:
                 found = next((i for i in range(len(held) - 1, -1, -1) if alike(held[i][0], name)), None)
                 if found is None:
                     opening = held[-1][3] + 1 if held and held[-1][2] == page else 0
-                    held.append((name, page, page, opening, slug_of(title)))
+                    held.append((name, page, page, opening, slug_of(title, page)))
                     found = len(held) - 1
                     opens = True
                 else:

@@ -1,41 +1,58 @@
-"""Consensus queries: three noisy readings of each document's first lines, users as owners."""
+"""Consensus queries: three noisy readings of each document, users as owners."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.operators import consensus as C
+from quire.operators import consensus as C, readings as R
 
 from .registry import query, table
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    """A page is a document; its second line is an amount."""
-    doc = table(spark, d, "documents")
-    amount = F.concat((F.col("doc_id") % 9 + 1).cast("string"), F.lit(" cups of fine wheat flour"))
-    return doc.select(F.col("doc_id").alias("page"), "source", F.concat(F.substring_index("text", "\n", 1), F.lit("\n"), amount).alias("text"))
+    """A page is a document, read by the first reader."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("page"), "text", F.lit("r1").alias("reader"))
 
 
 def _readings(spark: SparkSession, d: str) -> DataFrame:
-    """Readers agree on a corrected amount on even pages and differ on pages that 5 divides."""
-    page = F.col("page")
-    reader = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")
-    right = (page % 9 + 2).cast("string")
-    n = F.when(page % 5 == 0, (F.col("k") * 10).cast("string")).when(page % 2 == 0, right).otherwise((page % 9 + 1).cast("string"))
-    rows = _pages(spark, d).select("page", reader)
-    return rows.select("page", F.lit(0).cast("long").alias("crop"), F.concat(F.lit("r"), "k").alias("reader"), F.concat(n, F.lit(" cups of fine wheat flour")).alias("text"))
+    """Three readings of each page, in all lines with a digit: the second adds one to a number on even pages, the third with it on every fourth; all differ on pages that 5 divides."""
+    pages = _pages(spark, d).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    page, k = F.col("page"), F.col("k")
+    more = F.when(page % 5 == 0, k.cast("string")).when(((page % 2 == 0) & (k == 2)) | ((page % 4 == 0) & (k == 3)), "1").otherwise("")
+    lines = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, F.lit(r"\A([^0-9]*[0-9]+)"), F.concat(F.lit("$1"), more)))
+    return pages.select("page", F.lit(0).cast("long").alias("crop"), F.concat(F.lit("r"), k).alias("reader"), F.array_join(lines, "\n").alias("text"))
+
+
+#: Lines with a digit and a letter as the first and second reader have them, with the reading that wins by position.
+LINES = r"""l as (select doc_id as page, unnest(string_split(text, chr(10))) as line, unnest(generate_series(1, len(string_split(text, chr(10))))) as pos from documents),
+w as (select page, pos, line, regexp_replace(line, '^([^0-9]*[0-9]+)', case when page % 5 = 0 or page % 4 = 0 then '\11' else '\1' end) as won, regexp_matches(line, '[0-9]') and regexp_matches(strip_accents(lower(line)), '[a-z]') as counts from l)"""
+CLEAN = r"""regexp_replace(replace(trim(regexp_replace(trim(won), '^`+|`+$', '', 'g')), chr(9), ' | '), '^\s*[-•]\s+', '')"""
 
 
-@query("""select doc_id as page, 0 as crop, case when doc_id % 5 = 0 then '10' when doc_id % 2 = 0 then (doc_id % 9 + 2)::varchar else (doc_id % 9 + 1)::varchar end || ' cups of fine wheat flour' as line,
-case when doc_id % 5 = 0 then 1 else 3 end as support, 3 as voters, doc_id % 5 = 0 as tie from documents""")
+@query(rf"""with {LINES}, c as (select page, {CLEAN} as line from w where counts)
+select page, 0 as crop, case when contains(line, '|') then regexp_replace(regexp_replace(line, '\s*\|\s*', ' | ', 'g'), '^[ |]+|[ |]+$', '', 'g') else line end as line,
+case when page % 5 = 0 then 1 when page % 2 = 0 then 2 else 3 end as support, 3 as voters, page % 5 = 0 as tie from c""")
 def trn03_votes(spark: SparkSession, d: str) -> DataFrame:
-    return C.vote_lines(_readings(spark, d))
+    return R.vote_lines(_readings(spark, d)).select("page", "crop", "line", "support", "voters", "tie")
+
+
+def _patched(spark: SparkSession, d: str, reviewed: bool) -> DataFrame:
+    return R.patch_pages(_pages(spark, d), R.vote_lines(_readings(spark, d)), reviewed)
 
 
-@query("""select doc_id as page, split_part(text, chr(10), 1) || chr(10) || case when doc_id % 2 = 0 and doc_id % 5 > 0 then doc_id % 9 + 2 else doc_id % 9 + 1 end || ' cups of fine wheat flour' as text,
-case when doc_id % 2 = 0 and doc_id % 5 > 0 then 1 else 0 end as changes from documents""")
+PATCHED = rf"""with {LINES}, n as (select page, pos, counts and page % 4 = 0 and page % 5 > 0 as change, line, won from w)
+select page, string_agg(case when change then won else line end, chr(10) order by pos) as text, count(*) filter (change) as changes"""
+
+
+@query(PATCHED + " from n group by page")
 def trn04_patch(spark: SparkSession, d: str) -> DataFrame:
-    return C.patch_pages(_pages(spark, d).select("page", "text"), C.vote_lines(_readings(spark, d)))
+    return _patched(spark, d, False).select("page", "text", "changes")
+
+
+@query(PATCHED + r", count(*) filter (trim(line) <> '') as origins from n group by page")
+def trn05_patch(spark: SparkSession, d: str) -> DataFrame:
+    """Reviewed patches, with the number of lines that have an origin."""
+    return _patched(spark, d, True).select("page", "text", "changes", F.size("origins").alias("origins"))
 
 
 @query()
@@ -61,16 +78,15 @@ def trn11_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with g as (select l_orderkey as t, unnest(generate_series(l_linenumber, l_linenumber + l_partkey % 2)) as r, l_suppkey % 3 as c from lineitem)
 select 'cells overlap' as rule, t || ':' || r || ':' || c as key from g group by t, r, c having count(*) > 1
-union all select 'line owned twice', l_partkey::varchar from lineitem where l_orderkey < 500 group by l_partkey having count(*) > 1
-union all select 'two parents', l_suppkey::varchar from lineitem where l_orderkey < 500 group by l_suppkey having count(distinct l_linenumber) > 1""")
+union all select 'line owned twice', l_partkey::varchar from lineitem group by l_partkey having count(*) > 1
+union all select 'two parents', l_suppkey::varchar from lineitem group by l_suppkey having count(distinct l_linenumber) > 1""")
 def trn15_layout(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem")
     column = F.col("l_suppkey") % 3
     cells = line.select(
         F.col("l_orderkey").alias("table"), F.col("l_linenumber").alias("row_start"), (F.col("l_linenumber") + F.col("l_partkey") % 2 + 1).cast("int").alias("row_end"), column.cast("int").alias("column_start"), (column + 1).cast("int").alias("column_end")
     )
-    few = line.where("l_orderkey < 500")
-    return C.validate_layout(cells, few.select(F.col("l_partkey").alias("line")), few.select(F.col("l_suppkey").alias("block"), F.col("l_linenumber").alias("parent")))
+    return C.validate_layout(cells, line.select(F.col("l_partkey").alias("line")), line.select(F.col("l_suppkey").alias("block"), F.col("l_linenumber").alias("parent")))
 
 
 @query()

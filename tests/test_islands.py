@@ -42,7 +42,7 @@ def scan_sections(rows, near=8):
             name = C.key_of(title)
             found = next((i for i in range(len(held) - 1, -1, -1) if page - held[i][1] <= near and C.alike(held[i][0], name)), None)
             if found is None:
-                slug = re.sub(r"[^a-z0-9]+", "-", unicodedata.normalize("NFKD", title).encode("ascii", "ignore").decode().lower()).strip("-")[:60] or "section"
+                slug = re.sub(r"[^a-z0-9]+", "-", unicodedata.normalize("NFKD", title).encode("ascii", "ignore").decode().lower()).strip("-")[:60] or f"page-{page}"
                 slugs[slug] += 1
                 held.append((name, page, slug if slugs[slug] == 1 else f"{slug}-{slugs[slug]}"))
                 found = len(held) - 1
