@@ -53,14 +53,15 @@ def _idf(n: Column, df: Column) -> Column:
     return F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
 
 
-def score(terms: DataFrame, index: Index, every: bool) -> DataFrame:
+def score(terms: DataFrame, index: Index, every: bool, visible: DataFrame | None = None) -> DataFrame:
     """query_id, doc, score (smaller is better). every: all terms of the query must be in the document.
 
-    Document counts and lengths are those of the whole index, whatever is filtered later.
+    Only visible documents are scored; document counts and lengths are those of the whole index.
     """
     whole = index.stats.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
     wanted = terms.join(index.vocab, "term")
-    hits = wanted.join(index.postings, "term").join(index.stats, "doc").join(F.broadcast(whole))  # one row
+    postings = index.postings if visible is None else index.postings.join(visible.select("doc"), "doc", "left_semi")
+    hits = wanted.join(postings, "term").join(index.stats, "doc").join(F.broadcast(whole))  # one row
     part = _idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     found = hits.groupBy("query_id", "doc").agg((-F.sum(part)).alias("score"), F.count("*").alias("n"), F.max("n_terms").alias("n_terms"))
     return (found.where("n = n_terms") if every else found).select("query_id", "doc", F.round("score", 6).alias("score"))
@@ -87,10 +88,7 @@ def scope(docs: DataFrame, sources: list[str] | None = None, lang: str | None =
 
 def search(queries: DataFrame, index: Index, visible: DataFrame | None, limit: int, offset: int = 0) -> DataFrame:
     """Every word must be found; filters decide visibility only."""
-    hits = score(query_terms(queries), index, every=True)
-    if visible is not None:
-        hits = hits.join(visible.select("doc"), "doc", "left_semi")
-    return page(hits, limit, offset)
+    return page(score(query_terms(queries), index, True, visible), limit, offset)
 
 
 def search_any(queries: DataFrame, index: Index, stop: list[str], limit: int, expansions: DataFrame | None = None) -> DataFrame:
