@@ -104,26 +104,34 @@ def approved_sections(selections: DataFrame, view: DataFrame, eligible: DataFram
     return approved.select("selection", text.alias("text"), pages.alias("pages"))
 
 
-def eligibility(scopes: DataFrame, decisions: DataFrame, uses: DataFrame, rounds: int = 20) -> DataFrame:
+def eligibility(scopes: DataFrame, decisions: DataFrame, uses: DataFrame) -> DataFrame:
     """scope, state: approved if its last decision approves the present digest and all that it needs is approved.
 
-    What isn't approved itself is blocked; then, round by round, what needs a
-    blocked scope is. A cycle of approved scopes stays approved.
+    Eligible are, round by round, the approved scopes whose every need is
+    eligible, until a round adds none: a least fixed point. What waits for
+    something not approved, unknown or, in a cycle, for itself, never gets
+    there and is `support`. Rounds are as many as the longest chain of needs.
     """
     last = decisions.groupBy("scope").agg(F.max_by(F.struct("action", "digest"), "seq").alias("d"))
     own = scopes.join(last, "scope", "left")
     state = (
         F.when(F.col("d").isNull(), "undecided").when(F.col("d.action") != "approve", "revoked").when(F.col("d.digest") != F.col("digest"), "changed").otherwise("approved")
     )
-    rows = own.select("scope", state.alias("state"))
-    blocked = rows.where("state <> 'approved'").select("scope")
-    new = blocked
-    for _ in range(rounds):
-        new = uses.join(new.select(F.col("scope").alias("needs")), "needs").select("scope").distinct().join(blocked, "scope", "left_anti").checkpoint()
+    rows = own.select("scope", state.alias("state")).checkpoint()
+    needs = uses.select("scope", "needs").distinct().join(rows.where("state = 'approved'").select("scope"), "scope").checkpoint()
+    waiting = needs.groupBy("scope").agg(F.count("*").alias("left"))
+    waiting = rows.where("state = 'approved'").select("scope").join(waiting, "scope", "left").select("scope", F.coalesce("left", F.lit(0)).alias("left")).checkpoint()
+    new = waiting.where("left = 0").select("scope")
+    eligible = new
+    while True:
+        met = needs.join(new.select(F.col("scope").alias("needs")), "needs").groupBy("scope").agg(F.count("*").alias("met"))
+        waiting = waiting.where("left > 0").join(met, "scope", "left").select("scope", (F.col("left") - F.coalesce("met", F.lit(0))).alias("left")).checkpoint()
+        new = waiting.where("left = 0").select("scope")
         if new.isEmpty():
             break
-        blocked = blocked.union(new).checkpoint()
-    return rows.join(blocked.withColumn("b", F.lit(True)), "scope", "left").select("scope", F.when((F.col("state") == "approved") & F.col("b"), "support").otherwise(F.col("state")).alias("state"))
+        eligible = eligible.union(new)
+    approved = F.col("state") == "approved"
+    return rows.join(eligible.withColumn("e", F.lit(True)), "scope", "left").select("scope", F.when(approved & F.col("e").isNull(), "support").otherwise(F.col("state")).alias("state"))
 
 
 def validate_candidate(pages: DataFrame, sections: DataFrame, counts: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from quire.functions.text import phrase_form
+
 # --- transcription ---------------------------------------------------------------
 
 
@@ -172,6 +174,33 @@ def publish_gate(sections: DataFrame, decisions: DataFrame, searched: DataFrame)
 # --- evaluation ----------------------------------------------------------------------
 
 
+def present(texts: DataFrame, phrases: DataFrame, n: int = 5) -> DataFrame:
+    """item_id, doc_id: phrases (item_id, phrase) that stand in texts (doc_id, text) between word boundaries, numbers and fractions safe.
+
+    A phrase's first n words, or all of a shorter one, meet the same run of
+    words in the texts; what meets is compared whole. An empty phrase is nowhere.
+    """
+    wanted = phrases.select("item_id", phrase_form(F.col("phrase")).alias("phrase")).where("phrase <> ''")
+    wanted = wanted.withColumn("words", _phrase_words("phrase")).withColumn("n", F.least(F.size("words"), F.lit(n))).where("n > 0")
+    wanted = wanted.select("item_id", "phrase", "n", F.xxhash64(F.slice("words", 1, F.col("n"))).alias("run"))
+    bodies = texts.select("doc_id", phrase_form(F.col("text")).alias("body"))
+    words = bodies.select("doc_id", _phrase_words("body").alias("words"))
+    runs = None
+    for size in sorted(r["n"] for r in wanted.select("n").distinct().collect()):  # 1 to n
+        found = F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.xxhash64(F.slice("words", i, size)))  # noqa: B023
+        one = words.where(F.size("words") >= size).select("doc_id", F.lit(size).alias("n"), F.explode(F.array_distinct(found)).alias("run"))
+        runs = one if runs is None else runs.unionByName(one)
+    if runs is None:
+        return wanted.select("item_id", F.lit(None).cast("long").alias("doc_id")).limit(0)
+    pairs = runs.join(wanted, ["n", "run"]).select("item_id", "doc_id", "phrase").distinct()
+    inside = F.concat(F.lit(r"(?<![\p{L}\p{N}_/])\Q"), F.col("phrase"), F.lit(r"\E(?![\p{L}\p{N}_/])"))
+    return pairs.join(bodies, "doc_id").where(F.regexp_like("body", inside)).select("item_id", "doc_id")
+
+
+def _phrase_words(column: str) -> Column:
+    return F.regexp_extract_all(F.col(column), F.lit(r"([\p{L}\p{N}_/]+)"), 1)
+
+
 def retrieval_metrics(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """hits, total, recall_at_10 and mean reciprocal rank by category, by split and overall.
 

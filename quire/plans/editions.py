@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.operators import editions as E
 from quire.streaming.usage import stream_dedupe
 
-from .registry import query, table
+from .registry import query, shared_folder, table
 from .usage import _run, _stream
 
 
@@ -124,18 +122,20 @@ def rev13_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with recursive last as (select user_id as scope, arg_max(event_type, event_id) as action, arg_max(event_id % 3, event_id) as digest from events group by 1),
-own as (select p_partkey as scope, case when l.scope is null then 'undecided' when action = 'error' then 'revoked' when digest <> p_partkey % 3 then 'changed' else 'approved' end as state from part left join last l on l.scope = p_partkey where p_partkey < 200),
-uses as (select distinct l_partkey as scope, l_suppkey as needs from lineitem where l_partkey < 200 and l_quantity < 3),
-b(scope) as (select scope from own where state <> 'approved' union select uses.scope from b join uses on needs = b.scope)
+own as (select p_partkey as scope, case when l.scope is null then 'undecided' when action = 'error' then 'revoked' when digest <> p_partkey % 3 then 'changed' else 'approved' end as state from part left join last l on l.scope = p_partkey),
+uses as (select p_partkey as scope, p_partkey + 1 as needs from part where p_size > 30 union select p_partkey, p_partkey - 1 from part where p_size % 7 = 0),
+reach(a, b) as (select scope, needs from uses union select a, needs from reach join uses on scope = b),
+b(scope) as (select scope from own where state <> 'approved' union select a from reach where a = b union select needs from uses where needs not in (select scope from own) union select uses.scope from b join uses on needs = b.scope)
 select own.scope, case when state = 'approved' and own.scope in (select scope from b) then 'support' else state end as state from own""")
 def rev08_eligibility(spark: SparkSession, d: str) -> DataFrame:
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
-    scopes = table(spark, d, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("scope"), (F.col("p_partkey") % 3).alias("digest"))
+    """Larger parts need the next one, some the one before: chains, cycles and needs that don't exist."""
+    shared_folder(spark)
+    part = table(spark, d, "part")
+    scopes = part.select(F.col("p_partkey").alias("scope"), (F.col("p_partkey") % 3).alias("digest"))
     action = F.when(F.col("event_type") == "error", "revoke").otherwise("approve")
     decisions = table(spark, d, "events").select(F.col("user_id").alias("scope"), action.alias("action"), (F.col("event_id") % 3).alias("digest"), F.col("event_id").alias("seq"))
-    uses = table(spark, d, "lineitem").where("l_partkey < 200 and l_quantity < 3").select(F.col("l_partkey").alias("scope"), F.col("l_suppkey").alias("needs")).distinct()
-    return E.eligibility(scopes, decisions, uses)
+    uses = part.where("p_size > 30").select("p_partkey", F.col("p_partkey") + 1).union(part.where("p_size % 7 = 0").select("p_partkey", F.col("p_partkey") - 1))
+    return E.eligibility(scopes, decisions, uses.toDF("scope", "needs"))
 
 
 @query("""with p as (select l_orderkey as source, l_linenumber as page from lineitem), w as (select source, max(page) as hi, min(page) as lo, count(distinct page) as n, count(*) as r from p group by 1),

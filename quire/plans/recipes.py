@@ -72,14 +72,16 @@ def rec12_report(spark: SparkSession, d: str) -> DataFrame:
     return R.interpretation_report(entities, table(spark, d, "orders").select(F.col("o_orderkey").alias("edition")), ["A", "N", "R"])
 
 
-@query("""with recursive uses as (select distinct l_partkey as src, l_suppkey as dst from lineitem where l_linenumber = 1 and l_quantity < 8),
-walk(root, node, depth, cycle, path) as (select distinct src, dst, 1, src = dst, [src, dst] from uses where src < 60
-  union all select w.root, u.dst, w.depth + 1, list_contains(w.path, u.dst), list_append(w.path, u.dst) from walk w join uses u on u.src = w.node where not w.cycle and w.depth < 4)
+@query("""with recursive uses as (select p_partkey as src, p_partkey + 1 as dst from part where p_size > 20 union select p_partkey, p_partkey - 2 from part where p_size < 25),
+walk(root, node, depth, cycle, path) as (select distinct src, dst, 1, src = dst, [src, dst] from uses
+  union all select w.root, u.dst, w.depth + 1, list_contains(w.path, u.dst), list_append(w.path, u.dst) from walk w join uses u on u.src = w.node where not w.cycle and w.depth < 8)
 select root, node, min(depth) as depth, bool_or(cycle) as cycle from walk group by root, node""")
 def rec13_closure(spark: SparkSession, d: str) -> DataFrame:
-    """A graph in which a part needs a supplier's number, which is a part again."""
-    uses = table(spark, d, "lineitem").where("l_linenumber = 1 and l_quantity < 8").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
-    return R.supporting_work(uses, uses.where("src < 60").select(F.col("src").alias("root")).distinct(), depth=4)
+    """Large parts need the next one, small ones the one before the last; every part is a root."""
+    part = table(spark, d, "part")
+    uses = part.where("p_size > 20").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1).alias("dst"))
+    uses = uses.union(part.where("p_size < 25").select("p_partkey", F.col("p_partkey") - 2)).distinct()
+    return R.supporting_work(uses, uses.select(F.col("src").alias("root")).distinct(), depth=8)
 
 
 @query("select l_orderkey as recipe, l_partkey as id, l_returnflag as kind, floor((row_number() over (partition by l_orderkey order by l_returnflag, l_linenumber, l_partkey) - 1) / 3) as page from lineitem")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,5 +24,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, set for checkpoints too. A temporary one stands in only on one machine, as in tests."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quire.scratch", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("quire.scratch", found)
+    spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quire.functions.text import phrase_form
 from quire.operators import review as V
 
-from .registry import query, table
+from .registry import query, shared_folder, table
 
 
 @query(r"""select doc_id, lower(regexp_replace(left(text, 200), '[^\p{L}]', '', 'g')) as key, array_to_string(regexp_extract_all(text, '(\d+(?:[./]\d+)?)', 1), ' ') as quantities,
@@ -51,17 +51,17 @@ def trn13_pairs(spark: SparkSession, d: str) -> DataFrame:
     return V.pair_by_order(e.where("event_type = 'view'"), e.where("event_type = 'click'"), "user_id", "event_id")
 
 
-@query("""with b as (select s_suppkey % 5 as page, s_suppkey as box, (s_suppkey % 6) * 8 as l, (s_suppkey % 6) * 8 + 10 as r, (s_suppkey % 4) * 0.02 as t, (s_suppkey % 4) * 0.02 + 0.03 as b from supplier where s_suppkey < 40),
-p as (select l_orderkey * 10 + l_linenumber as line, l_suppkey % 5 as page, l_quantity as x, l_discount as y from lineitem),
+@query("""with b as (select s_suppkey // 8 as page, s_suppkey as box, (s_suppkey % 6) * 8 as l, (s_suppkey % 6) * 8 + 10 as r, (s_suppkey % 4) * 0.02 as t, (s_suppkey % 4) * 0.02 + 0.03 as b from supplier),
+p as (select l_orderkey * 10 + l_linenumber as line, l_suppkey // 8 as page, l_quantity as x, l_discount as y from lineitem),
 h as (select line, count(*) as n, min(box) as box from p join b on p.page = b.page and x >= l and x < r and y >= t::double and y < b::double group by line)
 select p.line, case when n = 1 then box end as box, case when n is null then 'unassigned' when n > 1 then 'ambiguous' else 'assigned' end as state from p left join h on h.line = p.line""".replace(" b from supplier", " bottom from supplier").replace("y < b::double", "y < bottom::double"))
 def trn16_assign(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
     d4 = lambda c: F.expr(c).cast("decimal(6,2)").cast("double")
-    boxes = table(spark, d, "supplier").where("s_suppkey < 40").select(
-        (k % 5).alias("page"), k.alias("box"), (k % 6 * 8).alias("l"), (k % 6 * 8 + 10).alias("r"), d4("s_suppkey % 4 * 0.02").alias("t"), d4("s_suppkey % 4 * 0.02 + 0.03").alias("b")
+    boxes = table(spark, d, "supplier").select(
+        F.floor(k / 8).alias("page"), k.alias("box"), (k % 6 * 8).alias("l"), (k % 6 * 8 + 10).alias("r"), d4("s_suppkey % 4 * 0.02").alias("t"), d4("s_suppkey % 4 * 0.02 + 0.03").alias("b")
     )
-    points = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), (F.col("l_suppkey") % 5).alias("page"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
+    points = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.floor(F.col("l_suppkey") / 8).alias("page"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
     return V.assign_lines(points, boxes)
 
 
@@ -129,15 +129,15 @@ def rev06_revoked(spark: SparkSession, d: str) -> DataFrame:
     return V.revoked(table(spark, d, "events").select(k.alias("id"), k.alias("seq"), F.col("user_id").alias("scope"), action.alias("action"), F.array((k * 7) % 5000).alias("affected")))
 
 
-@query("""with recursive e as (select distinct l_partkey as src, l_suppkey as dst from lineitem where l_linenumber = 1 and l_quantity < 8),
-c(id) as (select p_partkey from part where p_partkey < 40 union select dst from c join e on src = c.id) select distinct id from c""")
+@query("""with recursive e as (select p_partkey - 1 as src, p_partkey as dst from part where p_size > 20 union select p_partkey, p_partkey // 2 from part where p_size = 7),
+c(id) as (select p_partkey from part where p_size = 50 union select dst from c join e on src = c.id) select distinct id from c""")
 def rev07_dependents(spark: SparkSession, d: str) -> DataFrame:
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
-    edges = table(spark, d, "lineitem").where("l_linenumber = 1 and l_quantity < 8").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
-    return V.closure(table(spark, d, "part").where("p_partkey < 40").select(F.col("p_partkey").alias("id")), edges)
+    """Revoked are the parts of the largest size; of two neighbouring parts the second depends on the first if it is larger than 20."""
+    shared_folder(spark)
+    part = table(spark, d, "part")
+    edges = part.where("p_size > 20").select((F.col("p_partkey") - 1).alias("src"), F.col("p_partkey").alias("dst"))
+    edges = edges.union(part.select("p_partkey", (F.col("p_partkey") / 2).cast("long")).where("p_size = 7"))
+    return V.closure(part.where("p_size = 50").select(F.col("p_partkey").alias("id")), edges.toDF("src", "dst"))
 
 
 @query("""with s as (select doc_id as key, source, unnest([doc_id % 50, doc_id % 61]) as page from documents), w as (select doc_id, 'src' || (doc_id % 20) as source, doc_id % 50 as page from labels where toxic = 1),
@@ -180,15 +180,11 @@ def rev12_gate(spark: SparkSession, d: str) -> DataFrame:
     return V.publish_gate(doc.select("key", "text", (F.col("n_chars") > 500).alias("searchable")), decisions, doc.where("doc_id % 9 > 0").select("key"))
 
 
-@query(r"""with n as (select doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as body from documents), b as (select item_id, trim(regexp_replace(lower(text[1:60]), '\s+', ' ', 'g')) as phrase from benchmark where item_id < 8)
+@query(r"""with n as (select doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as body from documents), b as (select item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as phrase from benchmark)
 select item_id, doc_id from b join n on contains(body, phrase) and regexp_matches(' ' || replace(body, phrase, chr(1)) || ' ', '[^\p{L}\p{N}_/]' || chr(1) || '[^\p{L}\p{N}_/]')""")
 def eva01_present(spark: SparkSession, d: str) -> DataFrame:
-    """A few phrases, broadcast, against all documents."""
-    phrases = table(spark, d, "benchmark").where("item_id < 8").select("item_id", phrase_form(F.substring("text", 1, 60)).alias("phrase"))
-    docs = table(spark, d, "documents").select("doc_id", phrase_form(F.col("text")).alias("body"))
-    inside = F.concat(F.lit(r"(?<![\p{L}\p{N}_/])\Q"), F.col("phrase"), F.lit(r"\E(?![\p{L}\p{N}_/])"))
-    hits = docs.join(F.broadcast(phrases), F.contains("body", F.col("phrase")))
-    return hits.where(F.regexp_like("body", inside)).select("item_id", "doc_id")
+    """Every benchmark text, whole, in every document."""
+    return V.present(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("phrase")))
 
 
 @query("""with q as (select user_id as query, 'c' || (user_id % 4) as category, 's' || (user_id % 3) as split, [user_id % 7, user_id % 5] as relevant from events group by user_id),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quire.operators import usage as U
 from quire.streaming import usage as S
 
-from .registry import query, table
+from .registry import query, shared_folder, table
 
 NOW = "timestamp '2024-01-31 00:00:00'"
 
@@ -96,9 +95,7 @@ def _stream(spark: SparkSession, d: str, columns: list[Column]) -> DataFrame:
 
 def _run(stream: DataFrame, mode: str) -> DataFrame:
     spark = stream.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quire-")
-    name = f"q{uuid.uuid4().hex}"
-    return S.available_now(stream, name, mode, f"{shared}/{name}")
+    return S.available_now(stream, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", mode)
 
 
 @query("select strftime(ts, '%Y-%m-%d') as day, count(*) as n from events group by all")

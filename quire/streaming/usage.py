@@ -22,8 +22,13 @@ def stream_sessions(events: DataFrame, key: str, gap: str = "7 days", lateness:
     return grouped.agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ends"), "n")
 
 
-def available_now(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there and return its table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def available_now(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Run a stream over what is there and return the table that it leaves under a new folder: every batch's rows, or the last whole result."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/out/none")
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/{'last' if mode == 'complete' else n}")
+
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out/*")

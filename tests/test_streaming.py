@@ -20,7 +20,7 @@ def run(spark, tmp_path):
             part = rows[len(rows) * i // 5 : len(rows) * (i + 1) // 5]
             spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-        return SU.available_now(build(stream), f"t{abs(hash(str(tmp_path)))}", mode, str(tmp_path / "state"))
+        return SU.available_now(build(stream), str(tmp_path / "run"), mode)
 
     return go
 
