@@ -13,9 +13,12 @@ GLYPHS = {"¼": (1, 4), "½": (1, 2), "¾": (3, 4), "⅓": (1, 3), "⅔": (2, 3)
 
 
 def classify_blocks(blocks: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Adds role: the first profile rule (book, role, rank, class) that names one of a block's classes."""
+    """Adds role: the first profile rule (book, role, rank, class) that names one of a block's classes.
+
+    The rules grow with the number of books, so Spark decides by their size whether to broadcast them.
+    """
     rules = profiles.select("book", "role", "rank", F.col("class").alias("c"))
-    hits = blocks.select("book", "block", F.explode("classes").alias("c")).join(F.broadcast(rules), ["book", "c"])  # a profile has tens of rules
+    hits = blocks.select("book", "block", F.explode("classes").alias("c")).join(rules, ["book", "c"])
     return blocks.join(hits.groupBy("book", "block").agg(F.min_by("role", "rank").alias("role")), ["book", "block"], "left")
 
 
