@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import attribution, bpe, classifier, embeddings, minhash, mixing, quality_rules, reputation, substring, tokenfile
+from . import attribution, bpe, classifier, conversations, embeddings, minhash, mixing, periodic, quality_rules, reputation, substring, tokenfile, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -74,6 +74,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.find_runs(periodic.planted(_table(spark, sf_dir, "documents"))))
+
+
+def op12_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_pages(_table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damaged(rows), everyone=rows)
+
+
 QUERIES = (
     op1_byte_bpe,
     op2_minhash_near_dedup,
@@ -85,6 +99,9 @@ QUERIES = (
     op8_quality_rules,
     op9_host_reputation,
     op10_substring_dedup,
+    op11_periodic_runs,
+    op12_warc_normaliser,
+    op13_conversation_repair,
 )
 
 
@@ -111,7 +128,12 @@ def trigamma_sql(x: str) -> str:
     return f"(1 / {y} + 1 / (2 * {y} * {y}) + 1 / (6 * power({y}, 3)) - 1 / (30 * power({y}, 5)) + 1 / (42 * power({y}, 7)) + {terms})"
 
 
+LETTERS_32 = " || ".join(f"substr('{warc.BASE32}', (v[{k}] >> {s} & 31) + 1, 1)" for k in range(1, 9) for s in (15, 10, 5, 0))
+
 SQL = {
+    "op12_warc_normaliser": f"""with p as (select page_id, coalesce(html, '') as h from pages), d as (select *, sha1(h) as s, max(page_id) over (partition by h) as top, count(*) over (partition by h) as n from p),
+x as (select *, n > 1 and top is not null and page_id is distinct from top as again, [('0x' || substr(s, 5 * k + 1, 5))::bigint for k in generate_series(0, 7)] as v from d)
+select page_id, strlen(h)::bigint as payload_bytes, {LETTERS_32} as payload_digest, if(again, 'revisit', 'response') as record_type, if(again, top, null) as refers_to from x""",
     "op2_minhash_near_dedup": f"""with recursive d as (select doc_id, {WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
 g as (select doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' '))) end) as g from d),
 n as (select doc_id, count(*) as n from g group by doc_id),
