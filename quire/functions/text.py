@@ -14,16 +14,36 @@ FRACTIONS = {
 }
 
 
+def _bare(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+
+
+#: Characters and what canonical decomposition without combining marks makes of them: one character, nothing, or several.
+_CHANGED = {c: b for c in map(chr, range(0x80, 0x30000)) if not 0xD800 <= ord(c) < 0xE000 and (b := _bare(c)) != c}
+_ONE = {c: b for c, b in _CHANGED.items() if len(b) == 1}
+_GONE = [c for c, b in _CHANGED.items() if not b]
+#: Those with several, mostly Hangul, as a class of ranges.
+_SEVERAL = [ord(c) for c, b in _CHANGED.items() if len(b) > 1]
+
+
+def _ranges(points: list[int]) -> str:
+    out, start = [], 0
+    for i in range(1, len(points) + 1):
+        if i == len(points) or points[i] != points[i - 1] + 1:
+            out.append(f"\\x{{{points[start]:x}}}-\\x{{{points[i - 1]:x}}}")
+            start = i
+    return "[" + "".join(out) + "]"
+
+
 @F.pandas_udf(T.StringType())
-def strip_accents(texts: pd.Series) -> pd.Series:
-    """Canonical decomposition without combining marks; ASCII texts pass through."""
+def _decomposed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else _bare(t))
 
-    def bare(text: str | None) -> str | None:
-        if text is None or text.isascii():
-            return text
-        return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
 
-    return texts.map(bare)
+def strip_accents(text: Column) -> Column:
+    """Canonical decomposition without combining marks. A translation in the JVM; only texts with characters that become several go through Python."""
+    simple = F.translate(text, "".join(_ONE) + "".join(_GONE), "".join(_ONE.values()))
+    return F.when(text.rlike(_ranges(_SEVERAL)), _decomposed(F.when(text.rlike(_ranges(_SEVERAL)), text))).otherwise(simple)
 
 
 @F.pandas_udf(T.StringType())

@@ -14,11 +14,12 @@ K1, B = 1.2, 0.75
 
 @dataclass
 class Index:
-    """postings(term, doc, tf), stats(doc, length), vocab(term, df); sections keep title and text."""
+    """postings(term, doc, tf), stats(doc, length), vocab(term, df), and counts(term, doc, tf, n) that they come from; sections keep title and text."""
 
     postings: DataFrame
     stats: DataFrame
     vocab: DataFrame
+    counts: DataFrame
 
 
 def build_index(sections: DataFrame, weights: dict[str, float] | None = None) -> Index:
@@ -34,7 +35,7 @@ def build_index(sections: DataFrame, weights: dict[str, float] | None = None) ->
     postings = tf.groupBy("term", "doc").agg(F.sum("w").alias("tf"), F.count("*").alias("n"))
     stats = postings.groupBy("doc").agg(F.sum("n").alias("length"))
     vocab = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return Index(postings.select("term", "doc", "tf"), stats, vocab)
+    return Index(postings.select("term", "doc", "tf"), stats, vocab, postings)
 
 
 def query_terms(queries: DataFrame, most: int | None = None, stop: list[str] | None = None) -> DataFrame:
@@ -92,12 +93,13 @@ def search(queries: DataFrame, index: Index, visible: DataFrame | None, limit: i
 
 
 def search_any(queries: DataFrame, index: Index, stop: list[str], limit: int, expansions: DataFrame | None = None) -> DataFrame:
-    """Any of a query's first 40 words counts; expansions(term, extra) add terms of the vocabulary."""
+    """Any of a query's first 40 words counts; expansions(term, extra) fill up to 40 terms, a query's own words first."""
     terms = query_terms(queries, most=40, stop=stop).select("query_id", "term")
     if expansions is not None:
-        terms = terms.union(terms.join(expansions, "term").select("query_id", F.col("extra").alias("term"))).distinct()
-        order = W.partitionBy("query_id").orderBy("term")
-        terms = terms.withColumn("k", F.row_number().over(order)).where("k <= 40").drop("k")
+        more = terms.join(expansions, "term").select("query_id", F.col("extra").alias("term"))
+        both = terms.withColumn("own", F.lit(0)).unionByName(more.withColumn("own", F.lit(1))).groupBy("query_id", "term").agg(F.min("own").alias("own"))
+        order = W.partitionBy("query_id").orderBy("own", "term")
+        terms = both.withColumn("k", F.row_number().over(order)).where("k <= 40").select("query_id", "term")
     return page(score(terms.withColumn("n_terms", F.lit(0)), index, every=False), limit)
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.operators import search as S
+from quire.operators import search as S, stored_index as I
 
-from .registry import query, table
+from .registry import SQL, query, shared_folder, table
 
 WORDS = r"regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}_]+')"
 POSTINGS = f"""
@@ -43,6 +45,28 @@ def sea02_index(spark: SparkSession, d: str) -> DataFrame:
     return S.build_index(_sections(spark, d)).postings
 
 
+#: Indexes that this driver has written, by application, folder and fields: the first query on a folder writes it, later ones read it.
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _stored(spark: SparkSession, d: str, titled: bool = False) -> I.StoredIndex:
+    key = spark.sparkContext.applicationId, d, titled
+    if key not in _WRITTEN:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        I.write_index(_titled(spark, d) if titled else _sections(spark, d), path, {"title": 5.0, "text": 1.0} if titled else None)
+        _WRITTEN[key] = path
+    return I.read_index(spark, _WRITTEN[key])
+
+
+@query(f"""with words as (select doc_id as doc, unnest({WORDS}) as term from documents), df as (select term, count(distinct doc) as df from words group by 1), n as (select count(distinct doc) as n from words)
+select term, df, df as postings, round(case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end, 9) as idf from df, n""")
+def sea02_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of the stored index, with the number of postings in their blocks."""
+    index = _stored(spark, d)
+    held = index.blocks.groupBy("bucket", "term").agg(F.sum("n").alias("postings"))
+    return index.terms.join(held, ["bucket", "term"]).select("term", "df", "postings", F.round("idf", 9).alias("idf"))
+
+
 @query(f"""with {POSTINGS},
 visible as (select * from scored s join documents d on d.doc_id = s.doc where n = n_terms and d.lang = 'en'),
 ranked as (select query_id, doc, score, row_number() over (partition by query_id order by score, doc) as pos, count(*) over (partition by query_id) as hits from visible)
@@ -52,6 +76,15 @@ def sea03_search(spark: SparkSession, d: str) -> DataFrame:
     return S.search(_queries(spark, d), S.build_index(docs), S.scope(docs, lang="en"), limit=10).select("query_id", "doc", "score", "pos", "next_offset")
 
 
+@query(None)
+def sea03_stored(spark: SparkSession, d: str) -> DataFrame:
+    """sea03_search on a stored index."""
+    hits = I.search(_queries(spark, d), _stored(spark, d), S.scope(_sections(spark, d), lang="en"), limit=10)
+    return hits.select("query_id", "doc", "score", "pos", "next_offset")
+
+
+SQL["sea03_stored"] = SQL["sea03_search"]
+
 TITLED = r"""
 titled as (select doc_id as doc, split_part(text, chr(10), 1) as title, text from documents),
 words as (select doc, unnest(regexp_extract_all(lower(strip_accents(title)), '[\p{L}\p{N}_]+')) as term, 5.0 as w from titled
@@ -81,6 +114,15 @@ def sea04_search_any(spark: SparkSession, d: str) -> DataFrame:
     return S.search_any(_queries(spark, d), index, ["the", "of", "and"], limit=20).select("query_id", "doc", "score", "pos", "next_offset")
 
 
+@query(None)
+def sea04_stored(spark: SparkSession, d: str) -> DataFrame:
+    """sea04_search_any on a stored index."""
+    return I.search_any(_queries(spark, d), _stored(spark, d, True), ["the", "of", "and"], limit=20).select("query_id", "doc", "score", "pos", "next_offset")
+
+
+SQL["sea04_stored"] = SQL["sea04_search_any"]
+
+
 @query(f"""with {POSTINGS},
 ranked as (select query_id, doc, score, row_number() over (partition by query_id order by score, doc) as pos from scored where n = n_terms),
 held as (select r.*, md5(text) as span from ranked r join documents d on d.doc_id = r.doc where pos <= 50 and length(text) >= 40),
