@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quire.operators import usage as U
-from quire.streaming import usage as S
+from quire.operators import reports as P, usage as U
+from quire.sources.library import read_reports
+from quire.streaming import heartbeats as H, usage as S
 
 from .registry import query, shared_folder, table
 
@@ -186,6 +187,55 @@ def use11_freshness(spark: SparkSession, d: str) -> DataFrame:
     return U.freshness(rows, F.expr("timestamp '2024-01-30 23:00:00'"))
 
 
+#: Episodes of users by the gaps between their events, before the time that the stream's watermark reaches.
+BEATS = """with w as (select epoch_us(max(ts)) // 1000 - 3600000 as until from events), e as (select distinct user_id as source, epoch_us(ts) // 1000 as ms from events, w where ts is not null and user_id is not null and epoch_us(ts) // 1000 < until),
+g as (select source, ms, lag(ms) over (partition by source order by ms) as before, lead(ms) over (partition by source order by ms) as after from e),
+b as (select source, ms, 'observed' as activity from g where before is null or ms - before > 120000 union all select source, ms + 120000, 'overdue' from g, w where coalesce(after - ms > 120000, ms + 120000 < until))
+select source, ms, activity from b"""
+
+
+def _beats(spark: SparkSession, d: str) -> list[Column]:
+    return [F.col("user_id").alias("source"), F.col("ts").cast("timestamp").alias("at")]
+
+
+@query(BEATS)
+def use11_heartbeats(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(*_beats(spark, d))
+    last = e.agg(F.date_trunc("millisecond", F.max("at") - F.expr("interval 1 hour")).alias("until")).first()["until"]
+    return H.heartbeats(e, F.lit(last)).select("source", F.unix_millis("at").alias("ms"), "activity")
+
+
+@query(BEATS)
+def use11_stream_heartbeats(spark: SparkSession, d: str) -> DataFrame:
+    """use11_heartbeats on a stream, by timers."""
+    with H.with_timers(spark):
+        out = _run(H.stream_heartbeats(_stream(spark, d, _beats(spark, d))), "append")
+    return out.select("source", F.unix_millis("at").alias("ms"), "activity")
+
+
+REPORTS = """select sha256(concat_ws(chr(31), source, doc_id::varchar, 'wording', left(text, instr(text || chr(10), chr(10)) - 1), lang)) as report_id, doc_id as page from documents where text is not null and source is not null and lang is not null and doc_id % 3 > 0"""
+
+
+def _reports(spark: SparkSession, d: str) -> tuple[str, Column]:
+    """JSON reports on the first line of each document, those of every third with a wrong id, in a new folder; and what a report's id has to be."""
+    content = P.claim_id(*[F.col(c) for c in ("source", "page", "kind", "quoted", "proposed")])
+    docs = table(spark, d, "documents").where("text is not null and source is not null and lang is not null")
+    rows = docs.select("source", F.col("doc_id").alias("page"), F.lit("wording").alias("kind"), F.substring_index("text", "\n", 1).alias("quoted"), F.col("lang").alias("proposed"), F.timestamp_seconds(F.col("doc_id")).alias("created_at"))
+    path = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
+    rows.withColumn("report_id", F.when(F.col("page") % 3 == 0, "wrong").otherwise(content)).write.json(path)
+    return path, content
+
+
+@query(REPORTS)
+def src06_reports(spark: SparkSession, d: str) -> DataFrame:
+    return read_reports(spark, *_reports(spark, d)).select("report_id", "page")
+
+
+@query(REPORTS)
+def src06_stream_reports(spark: SparkSession, d: str) -> DataFrame:
+    return _run(H.stream_reports(spark, *_reports(spark, d)), "append").select("report_id", "page")
+
+
 @query(f"""with {BOARD} select count(*) filter (membership = 'included') as included, count(*) filter (membership = 'held') as held, count(*) filter (membership = 'conflict') as conflict,
 count(*) filter (membership is null) as undecided, count(*) filter (attention) as attention, sum(aliases) as queue from board""")
 def use12_summary(spark: SparkSession, d: str) -> DataFrame:

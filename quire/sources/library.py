@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+#: Columns of a report's JSON object.
+REPORT = "report_id string, source string, page long, kind string, quoted string, proposed string, created_at timestamp"
+
 
 def read_catalog(books: DataFrame, authors: DataFrame, tags: DataFrame) -> DataFrame:
     """book_id, title, authors, tags: lists in their order; books without any keep empty lists."""
@@ -80,6 +83,5 @@ def write_publication(tables: dict[str, DataFrame], path: str) -> None:
 
 def read_reports(spark: SparkSession, path: str, content_id: Column) -> DataFrame:
     """Reports of JSON files, oldest first; only those whose id is the one that their content gives."""
-    schema = "report_id string, source string, page long, kind string, quoted string, proposed string, created_at timestamp"
-    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)
+    rows = spark.read.schema(REPORT).option("recursiveFileLookup", "true").json(path)
     return rows.where(F.col("report_id") == content_id).orderBy("created_at", "report_id")
