@@ -1,4 +1,4 @@
-"""Recipe interpretation: windows, ingredient lines, uses, closures, packages."""
+"""Recipe interpretation: windows, ingredient lines, uses, packages."""
 
 from __future__ import annotations
 
@@ -136,19 +136,6 @@ def interpretation_report(entities: DataFrame, editions: DataFrame, kinds: list[
     return rows.select("edition", *[F.coalesce(k, F.lit(0)).alias(k) for k in kinds], note.alias("note"))
 
 
-def supporting_work(uses: DataFrame, roots: DataFrame, depth: int = 8) -> DataFrame:
-    """root, node, depth, cycle: what roots need, step by step over uses(src, dst), to a depth; a path stops at a node that it has met."""
-    frontier = roots.select("root", F.col("root").alias("node"), F.array("root").alias("path"))
-    found = None
-    for level in range(1, depth + 1):
-        step = frontier.join(uses, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), "path")
-        step = step.withColumn("cycle", F.array_contains("path", F.col("node")))
-        out = step.select("root", "node", F.lit(level).alias("depth"), "cycle").distinct()
-        found = out if found is None else found.unionByName(out)
-        frontier = step.where("not cycle").select("root", "node", F.concat("path", F.array("node")).alias("path"))
-    return found.groupBy("root", "node").agg(F.min("depth").alias("depth"), F.bool_or("cycle").alias("cycle"))
-
-
 def related_records(entities: DataFrame, page: int = 16) -> DataFrame:
     order = W.partitionBy("recipe").orderBy("kind", "ordinal", "id")
     return entities.withColumn("page", F.floor((F.row_number().over(order) - 1) / page)).select("recipe", "id", "kind", "page")

@@ -126,18 +126,6 @@ def revoked(decisions: DataFrame) -> DataFrame:
     return prior.union(events.select(F.explode("affected").alias("id"))).distinct()
 
 
-def closure(seed: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """id: the seed and all that depends on it over edges(src, dst); each round joins only what is new."""
-    found = seed.select("id").distinct()
-    new = found
-    for _ in range(rounds):
-        new = new.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(found, "id", "left_anti").checkpoint()
-        if new.isEmpty():
-            return found
-        found = found.union(new).checkpoint()
-    raise RuntimeError("the closure did not settle; raise rounds")
-
-
 def section_eligibility(sections: DataFrame, withdrawals: DataFrame) -> DataFrame:
     """key, state, reasons: a section is suppressed by a withdrawal of its decision or of one of its pages."""
     by_decision = sections.join(withdrawals.select("decision", "reason").dropna(subset=["decision"]), "decision").select("key", "reason")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.operators import recipes as R
+from quire.operators import graphs as G, recipes as R
 
-from .registry import query, table
+from .registry import query, shared_folder, table
 
 ROLES = """case when length(text) < 60 then 'title' when n % 5 in (1, 2) then 'ingredient' when n % 5 = 3 then 'instruction' when n % 17 = 0 then 'stop' end"""
 BLOCKS = f"""raw as (select doc_id, source, lines[i] as text, i, length(lines[i]) as n from (select doc_id, source, lines, unnest(generate_series(1, len(lines))) as i from (select doc_id, source, string_split(text, chr(10)) as lines from documents))),
@@ -72,16 +72,40 @@ def rec12_report(spark: SparkSession, d: str) -> DataFrame:
     return R.interpretation_report(entities, table(spark, d, "orders").select(F.col("o_orderkey").alias("edition")), ["A", "N", "R"])
 
 
-@query("""with recursive uses as (select p_partkey as src, p_partkey + 1 as dst from part where p_size > 20 union select p_partkey, p_partkey - 2 from part where p_size < 25),
-walk(root, node, depth, cycle, path) as (select distinct src, dst, 1, src = dst, [src, dst] from uses
-  union all select w.root, u.dst, w.depth + 1, list_contains(w.path, u.dst), list_append(w.path, u.dst) from walk w join uses u on u.src = w.node where not w.cycle and w.depth < 8)
-select root, node, min(depth) as depth, bool_or(cycle) as cycle from walk group by root, node""")
-def rec13_closure(spark: SparkSession, d: str) -> DataFrame:
-    """Large parts need the next one, small ones the one before the last; every part is a root."""
+#: Large parts use the next one, smaller ones the one before the last; sizes divisible by 7 are unclassified, by 5 of a part only, by 11 without a target.
+WORK = """with recursive u as (select p_partkey * 10 + 1 as use, p_partkey as src, p_partkey + 1 as dst, p_size as s, length(p_name) as size from part where p_size > 20
+  union all select p_partkey * 10 + 2, p_partkey, p_partkey - 2, p_size, length(p_name) from part where p_size < 25),
+uses as (select use, src, if(s % 11 = 0, null, dst) as dst, if(s % 7 = 0, null, true) as required, s % 5 > 0 as whole, size from u),
+leads as (select distinct src, dst from uses where required and whole and dst is not null),
+walk(root, node, level) as (select distinct src, src, 1 from uses union select w.root, l.dst, w.level + 1 from walk w join leads l on l.src = w.node where w.level < 6),
+near as (select root, node, min(level) as level from walk group by all),
+reach(root, node, step) as (select distinct dst, dst, 0 from leads union select r.root, l.dst, r.step + 1 from reach r join leads l on l.src = r.node where r.step < 4),
+cyclic as (select distinct src, dst from leads l where exists (select 1 from reach r where r.root = l.dst and r.node = l.src)),
+listed as (select root, use, src, dst, level as depth, row_number() over w as n, sum(size) over w as upto, required is null or dst is null or not whole as unresolved, coalesce(required and whole and dst is not null, false) as leads
+  from near join uses on src = node where level <= 5 window w as (partition by root order by level, src, use)),
+kept as (select *, n <= 12 and upto <= 400 as fits from listed)"""
+
+
+def _work(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    shared_folder(spark)
+    k, s = F.col("p_partkey"), F.col("p_size")
     part = table(spark, d, "part")
-    uses = part.where("p_size > 20").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1).alias("dst"))
-    uses = uses.union(part.where("p_size < 25").select("p_partkey", F.col("p_partkey") - 2)).distinct()
-    return R.supporting_work(uses, uses.select(F.col("src").alias("root")).distinct(), depth=8)
+    use = lambda n, dst: [(k * 10 + n).alias("use"), k.alias("src"), F.when(s % 11 != 0, dst).alias("dst"), F.when(s % 7 != 0, F.lit(True)).alias("required"), (s % 5 > 0).alias("whole"), F.length("p_name").alias("size")]
+    uses = part.where("p_size > 20").select(*use(1, k + 1)).union(part.where("p_size < 25").select(*use(2, k - 2)))
+    return G.supporting_work(uses, uses.select(F.col("src").alias("root")).distinct(), depth=4, limit=12, most_bytes=400)
+
+
+@query(f"""{WORK} select root, use, kept.src, kept.dst, depth, n, unresolved, leads and c.src is not null as cycle from kept left join cyclic c on c.src = kept.src and c.dst = kept.dst where fits""")
+def rec13_closure(spark: SparkSession, d: str) -> DataFrame:
+    """Every part is a root."""
+    return _work(spark, d)[0]
+
+
+@query(f"""{WORK}, deep as (select distinct root from near where level = 6),
+sums as (select root, count(*) filter (fits) as n_uses, count(*) filter (fits and unresolved) as n_unresolved, bool_or(not fits) as over from kept group by root)
+select root, n_uses, n_unresolved, over or root in (select root from deep) as truncated from sums""")
+def rec13_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _work(spark, d)[1]
 
 
 @query("select l_orderkey as recipe, l_partkey as id, l_returnflag as kind, floor((row_number() over (partition by l_orderkey order by l_returnflag, l_linenumber, l_partkey) - 1) / 3) as page from lineitem")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions.text import phrase_form
-from quire.operators import review as V
+from quire.operators import graphs as G, review as V
 
 from .registry import query, shared_folder, table
 
@@ -137,7 +137,23 @@ def rev07_dependents(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     edges = part.where("p_size > 20").select((F.col("p_partkey") - 1).alias("src"), F.col("p_partkey").alias("dst"))
     edges = edges.union(part.select("p_partkey", (F.col("p_partkey") / 2).cast("long")).where("p_size = 7"))
-    return V.closure(part.where("p_size = 50").select(F.col("p_partkey").alias("id")), edges.toDF("src", "dst"))
+    return G.closure(part.where("p_size = 50").select(F.col("p_partkey").alias("id")), edges.toDF("src", "dst"))
+
+
+@query("""with recursive d as (select event_id as id, user_id as scope, event_type as digest, case when event_type = 'view' then 'reject' else 'approve' end as action, event_id % 9 as candidate from events),
+seed as (select d.id from d, (select l_suppkey % 200 as scope, 'error' as digest, l_linenumber as own from lineitem group by all) t where d.scope = t.scope and action = 'approve' and (d.digest = t.digest or d.candidate = t.own)),
+b as (select event_id + 1 as id, event_id as decision from events where event_id % 5 > 0), c(id) as (select id from seed union select b.id from c join b on b.decision = c.id)
+select user_id as source, epoch_us(ts) // 86400000000 as page from events where event_id in (select id from c) and event_type <> 'view' group by all""")
+def rev07_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of decisions that withdrawals hit: events are decisions on their user's scope, of five each depends on the one before; their days are pages."""
+    shared_folder(spark)
+    e, k = table(spark, d, "events"), F.col("event_id")
+    decisions = e.select(k.alias("id"), F.when(F.col("event_type") == "view", "reject").otherwise("approve").alias("action"), F.col("user_id").alias("scope"), F.col("event_type").alias("scope_digest"), (k % 9).alias("candidate"))
+    target = table(spark, d, "lineitem").select((F.col("l_suppkey") % 200).alias("scope"), F.lit("error").alias("scope_digest"), F.col("l_linenumber").cast("long").alias("candidate")).distinct()
+    bindings = e.where(k % 5 > 0).select((k + 1).alias("id"), k.alias("decision"))
+    day = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400)
+    evidence = e.where("event_type <> 'view'").select(k.alias("id"), F.col("user_id").alias("source"), day.alias("page"))
+    return G.affected_pages(G.dependents(decisions, bindings, target), evidence)
 
 
 @query("""with s as (select doc_id as key, source, unnest([doc_id % 50, doc_id % 61]) as page from documents), w as (select doc_id, 'src' || (doc_id % 20) as source, doc_id % 50 as page from labels where toxic = 1),
