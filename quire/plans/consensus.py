@@ -89,7 +89,18 @@ def trn15_layout(spark: SparkSession, d: str) -> DataFrame:
     return C.validate_layout(cells, line.select(F.col("l_partkey").alias("line")), line.select(F.col("l_suppkey").alias("block"), F.col("l_linenumber").alias("parent")))
 
 
-@query()
+TOKENS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')"
+PLACES = "list_filter(generate_series(1, len(hay) - len({0}) + 1), lambda i: len({0}) > 0 and hay[i] = {0}[1] and hay[i:i + len({0}) - 1] = {0})"
+
+
+@query(rf"""with l as (select doc_id as page, unnest(string_split(text, chr(10))) as t, unnest(generate_series(1, len(string_split(text, chr(10))))) - 1 as line from documents),
+n as (select *, regexp_extract(t, '^([^0-9]*)([0-9]+)(.*)$', ['a', 'b', 'c'], 's') as x from l where regexp_matches(t, '[0-9]')),
+r as (select page, line, 'r' || k as reader, case when page % 5 = 0 then x.a || x.b || '0' || k || x.c when page % 2 = 0 then x.a || x.b || '1' || x.c else t end as reading, t as current, x.a || x.b || '1' || x.c as proposed from n, generate_series(1, 3) s(k)),
+h as (select page, line, reader, {TOKENS.format("reading")} as hay, {TOKENS.format("current")} as cur, {TOKENS.format("proposed")} as new from r),
+c as (select *, len(new) >= len(cur) as newer, if(len(new) >= len(cur), new, cur) as one, if(len(new) >= len(cur), cur, new) as two from h),
+p as (select *, {PLACES.format("one")} as spots, {PLACES.format("two")} as other from c)
+select page, line, reader, case when len(spots) > 0 then if(len(list_filter(other, lambda j: len(list_filter(spots, lambda i: i <= j and j < i + len(one))) = 0)) > 0, 'none', if(newer, 'proposed', 'current'))
+  when len(other) > 0 then if(newer, 'current', 'proposed') else 'none' end as vote from p""")
 def rep05_ballots(spark: SparkSession, d: str) -> DataFrame:
     """Every line with a number, as three readers have it: corrected on even pages, differing on pages that 5 divides."""
     lines = table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.col("text").rlike("[0-9]"))
