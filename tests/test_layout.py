@@ -135,6 +135,31 @@ def test_lines_have_one_owner(spark):
     assert owners == {1: 1, 2: 2, 3: 3, 4: 4, 5: None}
 
 
+def test_reasons_and_pictures(spark):
+    lines, blocks = _page(spark, {1: RECIPE[:2] + [(5, 60, 45, 68, "x", "picture")], 2: RECIPE, 3: [(5, 10, 45, 18, "Beans, p. 4", "reference_entry")]})
+    rows, _ = B.propose_boundaries(lines, blocks)
+    assert [r.reasons for r in rows.orderBy("selection").collect()] == [
+        ["fewer than two quantities", "no steps from 1 on"], ["a picture, caption, header or footer, or no single block"], ["heading, quantities and steps from 1 on"], ["marked as a reference"],
+    ]
+    assert [(r.edition, r.block) for r in B.unresolved_pictures(blocks).collect()] == [(1, 3)]
+
+
+def test_titles_of_two_lines_and_markers(spark):
+    title = [(5, 10, 45, 18, "Slow", "title"), (5, 20, 40, 28, "Beans", "title"), (5, 60, 45, 68, "Far below", "title")]
+    rows, _ = _proposed(spark, {1: title})
+    assert rows == [("unclassified", [1, 2]), ("unclassified", [3])]
+    lines, blocks = _page(spark, {1: [*RECIPE[:3], (5, 40, 45, 48, "Soak", "text")]})
+    marked = blocks.withColumn("marker", F.when(F.col("block") == 4, "1."))
+    assert [r.kind for r in B.propose_boundaries(lines, marked)[0].collect()] == ["recipe"]
+    assert [r.kind for r in B.propose_boundaries(lines, blocks)[0].collect()] == ["unclassified"]
+
+
+def test_a_recipe_goes_on_once_a_page(spark):
+    half = [(5, 10, 30, 18, "3. Stir", "text"), (60, 10, 85, 18, "3. Wait", "text")]
+    rows, links = _proposed(spark, {1: RECIPE, 2: half})
+    assert links == [(1, 1, 2, [6])] and rows[1] == ("unclassified", [7])
+
+
 def test_no_pages(spark):
     lines, blocks = _page(spark, {1: RECIPE})
     rows, links = B.propose_boundaries(lines.limit(0), blocks.limit(0))
