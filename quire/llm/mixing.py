@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,16 +44,18 @@ class Mix:
     #: Documents in a block of the flight, and documents that the last block lands.
     block: int = 4000
     landing: int = 12
+    #: A document of more than so many times its source's mean size is a long one, if it is over a thousandth of the target.
+    large: float = 4.0
 
 
 def targets(sizes: DataFrame, p: Mix) -> DataFrame:
-    """source, source_size, target from (source, size), by source.
+    """source, source_size, sized (documents with a word), target from (source, size), by source.
 
     Sources whose share is over their limit are those with the least limit
     per weight: with sources in that order, the first k are at the limit and
     the others share the rest, for the least k that leaves none above.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("sized"))
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1  # one row for each source
     weights = F.array(*[F.lit(float(w)) for w in p.weights])
     named = by_source.withColumn("weight", F.get(weights, F.pmod(rank, F.lit(len(p.weights)))))
@@ -65,7 +68,7 @@ def targets(sizes: DataFrame, p: Mix) -> DataFrame:
     )
     filled = named.withColumn("level", level).withColumn("held", F.col("limit") < F.col("level") * F.col("weight"))
     rest = F.min(F.when(~F.col("held"), F.struct(F.col("limit") / F.col("weight"), F.col("level")))).over(everything)["level"]
-    return filled.select("source", "source_size", F.when(F.col("held"), F.col("limit")).otherwise(rest * F.col("weight")).alias("target"))
+    return filled.select("source", "source_size", "sized", F.when(F.col("held"), F.col("limit")).otherwise(rest * F.col("weight")).alias("target"))
 
 
 def flight(size: np.ndarray, prob: np.ndarray, seed: Sequence[int] = (0,)) -> np.ndarray:
@@ -108,6 +111,7 @@ def _land(size: np.ndarray, prob: np.ndarray) -> np.ndarray:
 
 
 def _fly(table: pa.Table, hold: int, last: bool) -> pa.Table:
+    """Probabilities of a block after its flight. last: it decides all, by a landing of `hold` documents and the two that stay, or without one by draws."""
     size = table.column("size").to_numpy()
     order = np.lexsort((table.column("row").to_numpy(), table.column("mark").to_numpy()))
     prob = table.column("prob").to_numpy().copy()
@@ -117,10 +121,43 @@ def _fly(table: pa.Table, hold: int, last: bool) -> pa.Table:
     prob[moving] = _snap(flight(size[moving], prob[moving], seed))
     if last:
         left = order[(prob[order] > 0) & (prob[order] < 1)]
-        prob[left] = _land(size[left], prob[left])
+        prob[left] = _land(size[left], prob[left]) if hold else np.random.default_rng([*seed, 1]).random(len(left)) < prob[left]
     return table.set_column(table.schema.get_field_index("prob"), "prob", pa.array(prob))
 
 
+FLYING = "source string, mark long, row long, size long, prob double"
+
+
+def _decided(flying: DataFrame, hold: int, p: Mix, scratch: Scratch) -> list[DataFrame]:
+    """Tables of row, source, size and a probability of 0 or 1 for all rows of FLYING."""
+    most = flying.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    done = []
+    while most:
+        blocks = max(1, -(-most // p.block))
+        last = blocks == 1
+        block = F.pmod(F.xxhash64(F.lit(blocks), "mark"), F.lit(blocks))
+        flown = scratch.settle(
+            flying.withColumn("block", block).groupBy("source", "block").applyInArrow(lambda t: _fly(t.drop(["block"]), hold, last), FLYING)
+        )
+        done.append(flown.where("prob = 0 or prob = 1"))
+        if last:
+            break
+        flying = flown.where("prob > 0 and prob < 1")
+        most = min(most, 2 * blocks)
+    return done
+
+
+def _shifted(small: DataFrame, large: DataFrame) -> DataFrame:
+    """The probabilities of the other documents, after long ones took `off` words more than expected (less, below zero)."""
+    off = large.groupBy("source").agg(F.sum("off").alias("off"))
+    room = small.groupBy("source").agg(F.sum(F.col("prob") * F.col("size")).alias("held"), F.sum((1 - F.col("prob")) * F.col("size")).alias("free"))
+    by_source = off.join(room, off["source"].eqNullSafe(room["source"])).select(off["source"].alias("s"), "off", "held", "free")
+    less = F.least(F.col("off") / F.greatest("held", F.lit(1.0)), F.lit(1.0))
+    more = F.least(-F.col("off") / F.greatest("free", F.lit(1.0)), F.lit(1.0))
+    moved = F.when(F.col("off") > 0, F.col("prob") * (1 - less)).when(F.col("off") < 0, F.col("prob") + (1 - F.col("prob")) * more).otherwise(F.col("prob"))
+    return small.join(by_source, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("prob", moved).drop("s", "off", "held", "free")
+
+
 def mix(docs: DataFrame, params: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken, copies: a row per document."""
     p = params
@@ -131,7 +168,7 @@ def mix(docs: DataFrame, params: Mix = Mix(), id_col: str = "doc_id", text_col:
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = goals.withColumn("times", times).withColumn("whole", F.floor("times")).withColumn("prob", F.col("times") - F.col("whole"))
     rows = sizes.join(goal, sizes["source"].eqNullSafe(goal["source"])).select(
-        "doc_id", sizes["source"].alias("source"), "size", "source_size", "target", F.col("whole").alias("whole"), "prob"
+        "doc_id", sizes["source"].alias("source"), "size", "source_size", "sized", "target", F.col("whole").alias("whole"), "prob"
     )
     # Undecided rows only: the hash of an id places it, a row number tells repeated ids apart.
     mark = F.xxhash64(F.lit("mix"), "doc_id", "size")
@@ -139,24 +176,19 @@ def mix(docs: DataFrame, params: Mix = Mix(), id_col: str = "doc_id", text_col:
     fixed = F.col("size") == 0
     rows = rows.withColumn("prob", F.when(fixed, F.lit(0.0)).otherwise(F.col("prob")))
     rows = scratch.settle(rows)
-    schema = "source string, mark long, row long, size long, prob double"
-    flying = rows.where("prob > 0").select("source", "mark", "row", "size", "prob")
-    done: DataFrame | None = None
-    most = rows.where("prob > 0").groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    while most:
-        blocks = max(1, -(-most // p.block))
-        last = blocks == 1
-        block = F.pmod(F.xxhash64(F.lit(blocks), "mark"), F.lit(blocks))
-        flown = scratch.settle(
-            flying.withColumn("block", block).groupBy("source", "block").applyInArrow(lambda t: _fly(t.drop(["block"]), p.landing, last), schema)
-        )
-        settled = flown.where("prob = 0 or prob = 1")
-        done = settled if done is None else done.union(settled)
-        if last:
-            break
-        flying = flown.where("prob > 0 and prob < 1")
-        most = min(most, 2 * blocks)
-    chosen = rows.withColumn("extra", F.lit(0.0)).limit(0).select("row", "extra") if done is None else done.select("row", F.col("prob").alias("extra"))
+    open_ = rows.where("prob > 0").select("source", "mark", "row", "size", "prob", ((F.col("size") * F.col("sized") > p.large * F.col("source_size")) & (F.col("size") * 1000 > F.col("target"))).alias("long"))
+    longs = open_.where("long").drop("long")
+    done = _decided(longs, 0, p, scratch)
+    flying = open_.where("not long").drop("long")
+    if done:
+        drawn = reduce(DataFrame.union, done).select("row", F.col("prob").alias("taken"))
+        off = longs.join(drawn, "row").select("source", ((F.col("taken") - F.col("prob")) * F.col("size")).alias("off"))
+        flying = scratch.settle(_shifted(flying, off))
+        sure = flying.where("prob <= 0 or prob >= 1").withColumn("prob", F.when(F.col("prob") >= 1, 1.0).otherwise(0.0))
+        done.append(sure)
+        flying = flying.where("prob > 0 and prob < 1")
+    done += _decided(flying, p.landing, p, scratch)
+    chosen = reduce(DataFrame.union, done).select("row", F.col("prob").alias("extra")) if done else rows.withColumn("extra", F.lit(0.0)).limit(0).select("row", "extra")
     copies = (F.col("whole") + F.coalesce("extra", F.lit(0.0))).cast("long")
     out = rows.join(chosen, "row", "left").withColumn("copies", F.when(F.col("size") == 0, F.least(copies, F.lit(1))).otherwise(copies))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
