@@ -172,12 +172,21 @@ def _bin(d2: Column) -> Column:
     return F.floor(F.log2(d2 + 1e-6) * 64).cast("int")
 
 
-def _cut(scored: DataFrame, by: list[str], part: float) -> DataFrame:
-    """The smallest bin at or below which a part of each group lies."""
-    counts = scored.groupBy(*by, _bin(F.col("d2")).alias("bin")).agg(F.count("*").alias("n"))
-    up, whole = W.partitionBy(*by).orderBy("bin"), W.partitionBy(*by)
-    run = counts.select(*by, "bin", F.sum("n").over(up).alias("upto"), F.sum("n").over(whole).alias("all"))
-    return run.where(F.col("upto") >= F.col("all") * part).groupBy(*by).agg(F.min("bin").alias("cut"))
+MOMENTS = [(a, b) for i, a in enumerate(NAMES) for b in NAMES[: i + 1]]
+
+
+def _core(scored: DataFrame, by: list[str], part: float) -> DataFrame:
+    """used, means m_a and covariances c_a_b of the closest part of each group: up to the smallest bin at or below which that part lies.
+
+    Counts, sums and products are taken by bin, so one pass gives the cut and the moments below it.
+    """
+    sums = [F.sum(a).alias(f"s_{a}") for a in NAMES] + [F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in MOMENTS]
+    bins = scored.groupBy(*by, _bin(F.col("d2")).alias("bin")).agg(F.count("*").alias("n"), *sums)
+    below, whole = W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*by)
+    held = bins.withColumns({"under": F.coalesce(F.sum("n").over(below), F.lit(0)), "all": F.sum("n").over(whole)}).where(F.col("under") < F.col("all") * part)
+    total = held.groupBy(*by).agg(F.sum("n").alias("used"), *[F.sum(c).alias(c) for c in bins.columns if c[:2] in ("s_", "p_")])
+    mean = lambda a: F.col(f"s_{a}") / F.col("used")
+    return total.select(*by, "used", *[mean(a).alias(f"m_{a}") for a in NAMES], *[(F.col(f"p_{a}_{b}") / F.col("used") - mean(a) * mean(b)).alias(f"c_{a}_{b}") for a, b in MOMENTS])
 
 
 def _starts(z: DataFrame, floors: dict[str, float], p: QualityRules) -> DataFrame:
@@ -202,10 +211,7 @@ def _robust(z: DataFrame, hot: DataFrame | None, floors: dict[str, float], p: Qu
     while True:
         scored = salted_join(z, packed(state), ["grp"], hot, ["f1", "f2"]).select("grp", *NAMES, F.explode("states").alias("s")).select("grp", *NAMES, "s.*")
         scored = _distance(scored, [*by, *NAMES])
-        core = scored.join(F.broadcast(_cut(scored, by, p.core)) if hot is None else _cut(scored, by, p.core), by).where(_bin(F.col("d2")) <= F.col("cut"))
-        means = [F.avg(a).alias(f"m_{a}") for a in NAMES]
-        core = core.groupBy(*by).agg(F.count("*").alias("used"), *means, *_covariances({a: F.col(a) for a in NAMES}))
-        found = _roots(_drawn(core, F.col("used"), factor, p), by, floors)
+        found = _roots(_drawn(_core(scored, by, p.core), F.col("used"), factor, p), by, floors)
         moved = found.join(state.select(*by, "best"), by)
         falls = F.coalesce(F.col("best.logdet") - F.col("logdet"), F.lit(1.0))
         best = F.when(F.col("best").isNull() | (falls > 0), F.struct(*STATE)).otherwise(F.col("best"))
