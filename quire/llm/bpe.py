@@ -26,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .common import tidied
+
 #: Bytes from which a row merges all places of its pair in a round.
 WIDE = 256
 #: Pieces, and words, whose ids a worker remembers; characters of a run of texts.
@@ -252,7 +254,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, by_space: bool = False, id
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long")
+    return rows.mapInArrow(tidied(run), "doc_id long, ids array<int>, n_tokens long")
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str, by_space: bool = False) -> DataFrame:
@@ -265,7 +267,7 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, by_space: bool = False)
             texts = [coder.decode(np.array(x or [], np.int64)).decode(errors="replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidied(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str, by_space: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,4 +288,4 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, by_space: bool = False
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, Words, components, grams, hot_keys, mix, salted_join, text_chunks
+from .common import Scratch, Words, components, grams, hot_keys, mix, salted_join, text_chunks, tidied
 
 
 @dataclass(frozen=True)
@@ -308,7 +308,7 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup(), id_col: st
     scratch = Scratch(spark, "minhash")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = scratch.settle(
-        source.mapInArrow(lambda it: _sketches(it, p), "doc_id long, n_shingles long, low long, high long, regs binary")
+        source.mapInArrow(tidied(lambda it: _sketches(it, p)), "doc_id long, n_shingles long, low long, high long, regs binary")
     )
     usable = sketches.where("doc_id is not null and n_shingles > 0")
     digest = ["low", "high", "n_shingles"]
@@ -326,12 +326,12 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup(), id_col: st
     wanted = distinct.join(candidates, "sid").select("sid", F.col("rep").alias("doc_id"), "low", "high", "regs", "n_shingles")
     # The list of candidates grows with the corpus: a merge join at every size, never a broadcast.
     texts = source.join(wanted.hint("merge"), "doc_id")
-    sets = scratch.settle(texts.mapInArrow(lambda it: _sets(it, p), "sid long, n_shingles long, shingles binary, regs binary"))
+    sets = scratch.settle(texts.mapInArrow(tidied(lambda it: _sets(it, p)), "sid long, n_shingles long, shingles binary, regs binary"))
     side = lambda k, n: sets.select(F.col("sid").alias(k), F.col("shingles").alias(n), F.col("regs").alias(f"regs_{n}"))
     first = scratch.settle(pairs.groupBy("b").agg(F.min("a").alias("a")))
     hot = hot_keys(first, ["a"])
     with_both = salted_join(first.join(side("b", "two"), "b"), side("a", "one"), ["a"], hot, ["b"])
-    links = with_both.mapInArrow(lambda it: _verified(it, p), "a long, b long")
+    links = with_both.mapInArrow(tidied(lambda it: _verified(it, p)), "a long, b long")
     # An id with several texts joins their sets.
     again = usable.groupBy("doc_id").agg(F.min("low").alias("l"), F.max("low").alias("h"), F.min("high").alias("l2"), F.max("high").alias("h2")).where("l <> h or l2 <> h2").select("doc_id")
     bound = usable.join(again, "doc_id").join(distinct.select(*digest, "sid"), digest).select("doc_id", "sid").distinct()

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, Words, grams, hot_keys, mix, salted_join, text_chunks
+from .common import Scratch, Words, grams, hot_keys, mix, salted_join, text_chunks, tidied
 
 
 @dataclass(frozen=True)
@@ -162,7 +162,7 @@ class Found:
 def find(docs: DataFrame, p: Substring, scratch: Scratch, id_col: str, text_col: str) -> Found:
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     outline = scratch.settle(
-        source.mapInArrow(lambda it: _outline(it, p), "doc_id long, n_words long, low long, high long, sha string, anchors array<long>")
+        source.mapInArrow(tidied(lambda it: _outline(it, p)), "doc_id long, n_words long, low long, high long, sha string, anchors array<long>")
     )
     long_ones = outline.where(f"doc_id is not null and n_words >= {p.window}")
     # The smallest id of each word sequence that more than one document has.
@@ -173,7 +173,7 @@ def find(docs: DataFrame, p: Substring, scratch: Scratch, id_col: str, text_col:
     common = scratch.settle(anchors.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("hash"))
     shared = scratch.settle(anchors.join(common, "hash").groupBy(*KEY).agg(F.collect_set("k").alias("shared")))
     texts = scratch.settle(source.join(shared, "doc_id"))
-    windows = scratch.settle(texts.mapInArrow(lambda it: _windows(it, p), "doc_id long, low long, high long, start int, w1 long, w2 long"))
+    windows = scratch.settle(texts.mapInArrow(tidied(lambda it: _windows(it, p)), "doc_id long, low long, high long, start int, w1 long, w2 long"))
     scratch.drop(common, shared)
     marks = ["w1", "w2"]
     smallest = windows.groupBy(*marks).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").drop("hi")
@@ -190,7 +190,7 @@ def substring_duplicates(docs: DataFrame, params: Substring = Substring(), id_co
     found = find(docs, params, scratch, id_col, text_col)
     cut = (
         found.texts.drop("shared").join(found.starts, KEY)
-        .mapInArrow(lambda it: _digests(it, params), "doc_id long, low long, high long, n_removed long, kept_sha256 string")
+        .mapInArrow(tidied(lambda it: _digests(it, params)), "doc_id long, low long, high long, n_removed long, kept_sha256 string")
         .dropDuplicates(KEY)
     )
     nothing = hashlib.sha256(b"").hexdigest()
@@ -237,4 +237,4 @@ def remove_duplicates(docs: DataFrame, params: Substring = Substring(), id_col:
     marks = marks.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("low", "high", "whole", "starts")).alias("__marks"))  # one for each text of an id
     scratch.drop(found.texts)
     joined = docs.join(marks, docs[id_col] == F.col("__id"), "left").drop("__id")
-    return joined.mapInArrow(lambda it: _shorten(it, params, text_col), docs.schema)
+    return joined.mapInArrow(tidied(lambda it: _shorten(it, params, text_col)), docs.schema)
