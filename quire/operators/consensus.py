@@ -11,13 +11,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quire.functions.groups import per_group
 from quire.functions.islands import CHUNK, before, meet, with_islands
 from quire.functions.text import FRACTIONS, nfkc
 from quire.operators.readings import alike
@@ -26,22 +27,6 @@ from quire.operators.readings import alike
 PART = 100_000
 
 
-def per_group(rows: DataFrame, keys: list[str], columns: list[str], fold: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
-    """keys and what fold makes of each group's tuples. Spark groups in the JVM; a batch of small groups goes to Python at once."""
-    packed = rows.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("rows"))
-    form = to_arrow_schema(T.StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for *key, items in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-                out += [(*key, *x) for x in fold([tuple(i.values()) for i in items])]
-            columns = zip(*out) if out else [()] * len(form)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, form)], schema=form)
-
-    return packed.mapInArrow(run, schema)
-
-
 def cluster_boxes(boxes: list[tuple[str, float, float, float, float]], share: float = 0.4, pad: float = 0.02) -> list[tuple[float, ...]]:
     """Regions of (reader, l, t, r, b): boxes that overlap by a share of the smaller one are one region, kept if two readers or more drew it."""
     root = list(range(len(boxes)))
