@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.operators import consensus as C, readings as R
+from quire.operators import consensus as C, readings as R, sections as S
 
 from .registry import query, table
 
@@ -69,6 +69,27 @@ def trn08_sections(spark: SparkSession, d: str) -> DataFrame:
     return C.assemble_sections(doc.select(F.col("source").alias("book"), F.col("doc_id").alias("page"), F.substring_index("text", "\n", 1).alias("title")))
 
 
+def _sections(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents as pages of their source: a block for each line, the first titled by itself; the last of three is a footer, a fifth goes on."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), "lang", "text")
+    lines = docs.select("book", "page", "lang", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    part = F.when((F.col("n") > 0) & (F.col("n") % 3 == 2), "footer").otherwise("text")
+    kind = F.when(F.col("lang") == "de", "chapter").otherwise("passage")
+    blocks = lines.select("book", "page", "n", F.when(F.col("n") == 0, F.col("line")).alias("title"), kind.alias("kind"), part.alias("part"), ((F.col("page") % 5 == 0) & (F.col("n") == 0) | (F.col("n") > 0)).alias("continues"), F.col("line").alias("text"))
+    return S.assemble(docs.select("book", "page"), blocks)
+
+
+@query()
+def trn08_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The sections' order depends on all that came before, which SQL can't express; tests/test_sections.py has a plain scan."""
+    return _sections(spark, d)[1].select("book", "section", "page", "n", "part", F.md5("text").alias("text_md5"))
+
+
+@query()
+def trn08_page_sections(spark: SparkSession, d: str) -> DataFrame:
+    return _sections(spark, d)[2]
+
+
 @query("""select doc_id as page, n_chars % 50 as printed, case when doc_id % 3 = 0 then source else '' end as sections, case when doc_id % 4 = 0 then lang else '' end as open from documents""")
 def trn11_ledger(spark: SparkSession, d: str) -> DataFrame:
     doc = table(spark, d, "documents").withColumn("page", F.col("doc_id"))
