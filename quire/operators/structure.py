@@ -168,15 +168,39 @@ def span_bounds(parts: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFram
     return bounds, rows.where("reason is not null").select("span", "part", "reason")
 
 
-def span_text(bounds: DataFrame, nodes: DataFrame) -> DataFrame:
-    """span, text: text nodes of each part in order, cut at both ends; parts are joined by a line end."""
-    b, n = bounds.alias("b"), nodes.where("text is not null").select("doc", "preorder", "text").alias("n")
-    hit = b.join(n, (F.col("b.doc") == F.col("n.doc")) & F.col("n.preorder").between(F.col("b.start_pre"), F.col("b.end_pre")))
-    low = F.when(F.col("n.preorder") == F.col("b.start_pre"), F.col("start_offset")).otherwise(0)
-    high = F.when(F.col("n.preorder") == F.col("b.end_pre"), F.col("end_offset")).otherwise(F.length("text"))
-    piece = F.substring("text", low + 1, high - low)
-    by_part = hit.groupBy("span", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n.preorder", piece.alias("t")))), lambda x: x["t"]), "").alias("t"))
-    return by_part.groupBy("span").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "t"))), lambda x: x["t"]), "\n").alias("text"))
+def separators(tag: Column) -> Column:
+    """What an element stands for between texts: a line end for a block or a line break, a mark for an image, else nothing."""
+    blocks = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "li", "br", "caption", "figcaption", "div", "section", "article")
+    return F.when(tag.isin("img", "image"), " [uninterpreted image] ").when(tag.isin(*blocks), "\n").otherwise("")
+
+
+def span_text(bounds: DataFrame, nodes: DataFrame, separator: Column | None = None, size: int = 4096) -> DataFrame:
+    """span, text: what lies between the bounds of each part, in order and cut at both ends, with separators for elements; parts are joined by a line end, the whole is trimmed.
+
+    A document's nodes are laid end to end, as places in one long text that is only kept in pieces
+    of `size` characters; a part is a stretch of places. It meets its pieces by their numbers, so
+    its cost is that of its text, wherever it lies, and no join compares places.
+    Parts without text are empty; a span whose bounds are not in nodes has no row.
+    """
+    own = nodes.select("doc", "preorder", F.coalesce("text", F.lit("") if separator is None else F.coalesce(separator, F.lit(""))).alias("piece"))
+    run = W.partitionBy("doc").orderBy("preorder").rowsBetween(W.unboundedPreceding, -1)
+    placed = own.withColumn("at", F.coalesce(F.sum(F.length("piece")).over(run), F.lit(0)))
+    last = F.col("at") + F.length("piece") - 1
+    cut = placed.where("piece <> ''").select("doc", "at", "piece", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor(last / size))).alias("k"))
+    low = F.greatest(F.col("k") * size - F.col("at"), F.lit(0))
+    cut = cut.select("doc", "k", F.col("at") + low, F.substring("piece", (low + 1).cast("int"), (F.least((F.col("k") + 1) * size - F.col("at"), F.length("piece")) - low).cast("int")).alias("t")).toDF("doc", "k", "at", "t")
+    pieces = cut.groupBy("doc", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]), "").alias("body"))
+    place = lambda side: placed.select("doc", F.col("preorder").alias(f"{side}_pre"), F.col("at").alias(f"{side}_at"))
+    ends = bounds.join(place("start"), ["doc", "start_pre"]).join(place("end"), ["doc", "end_pre"])
+    ends = ends.select("span", "part", "doc", (F.col("start_at") + F.col("start_offset")).alias("lo"), (F.col("end_at") + F.col("end_offset")).alias("hi"))
+    stretch = F.when(F.col("hi") > F.col("lo"), F.sequence(F.floor(F.col("lo") / size), F.floor((F.col("hi") - 1) / size))).otherwise(F.array(F.lit(-1).cast("long")))
+    held = ends.withColumn("k", F.explode(stretch)).join(pieces, ["doc", "k"], "left")
+    low = F.greatest(F.col("lo") - F.col("k") * size, F.lit(0))
+    high = F.least(F.col("hi") - F.col("k") * size, F.lit(size))
+    piece = F.coalesce(F.substring("body", (low + 1).cast("int"), (high - low).cast("int")), F.lit(""))
+    by_part = held.groupBy("span", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", piece.alias("t")))), lambda x: x["t"]), "").alias("t"))
+    whole = by_part.groupBy("span").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "t"))), lambda x: x["t"]), "\n").alias("text"))
+    return whole.select("span", F.regexp_replace("text", r"(?U)\A\s+|\s+\z", "").alias("text"))
 
 
 def structure_stats(nodes: DataFrame) -> DataFrame:

@@ -151,3 +151,40 @@ def doc21_validate(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(D.missing_references(lines, "line", "l_orderkey", table(spark, d, "orders"), "o_orderkey", "order"))
         .unionByName(D.gaps(lines, "l_orderkey", "l_linenumber", "lines"))
     )
+
+
+def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of documents as text nodes, each after a block, some after an image; a span of two parts in each document, and one reversed."""
+    lines = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    kinds = F.array(F.struct(F.lit("p").alias("tag"), F.lit(None).cast("string").alias("text")), F.struct(F.when(F.col("i") % 7 == 3, "img").otherwise("span").alias("tag"), F.lit(None).cast("string").alias("text")), F.struct(F.lit(None).cast("string").alias("tag"), F.col("line").alias("text")))
+    nodes = lines.select("doc", "i", F.posexplode(kinds).alias("k", "n")).select("doc", (F.col("i") * 3 + F.col("k")).alias("preorder"), "n.tag", "n.text")
+    nodes = nodes.withColumn("id", F.concat_ws(":", "doc", "preorder"))
+    ends = lines.groupBy("doc").agg(F.max("i").alias("last"), F.max_by(F.length("line"), "i").alias("end_len"), F.min_by(F.length("line"), "i").alias("len"))
+    node = lambda i: F.concat_ws(":", "doc", i * 3 + 2)
+    first, last, middle = F.lit(0), F.col("last"), F.floor(F.col("last") / 2)
+    part = lambda span, n, a, x, b, y: F.struct(F.concat(F.lit(span), F.col("doc")).alias("span"), F.lit(n).alias("part"), node(a).alias("start_node"), x.cast("int").alias("start_offset"), node(b).alias("end_node"), y.cast("int").alias("end_offset"))
+    zero = F.lit(0)
+    parts = ends.select(F.explode(F.array(part("a", 0, first, F.floor(F.col("len") / 3), last, F.col("end_len")), part("a", 1, middle, zero, last, F.floor(F.col("end_len") / 2)), part("r", 0, last, F.col("end_len"), first, zero))).alias("x")).select("x.*")
+    return parts, nodes
+
+
+SPANS = r"""l as (select doc_id as doc, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i, unnest(string_split(text, chr(10))) as line from documents where text is not null),
+p as (select *, chr(10) || case when i % 7 = 3 then ' [uninterpreted image] ' else '' end as before from l),
+o as (select *, coalesce(sum(length(before) + length(line)) over (partition by doc order by i rows between unbounded preceding and 1 preceding), 0) + length(before) as place from p),
+b as (select doc, string_agg(before || line, '' order by i) as body, max(i) as last, arg_max(length(line), i) as end_len, arg_min(length(line), i) as len, arg_max(place, i) as end_place, arg_min(place, i) as first_place from o group by doc),
+m as (select b.*, o.place as middle from b join o on o.doc = b.doc and o.i = b.last // 2)"""
+
+
+@query(rf"""with {SPANS}
+select 'a' || doc as span, md5(regexp_replace(substring(body, (first_place + len // 3 + 1)::bigint, (end_place + end_len - first_place - len // 3)::bigint) || chr(10) || substring(body, (middle + 1)::bigint, (end_place + end_len // 2 - middle)::bigint), '^\s+|\s+$', '', 'g')) as text_md5 from m""")
+def doc16_spans(spark: SparkSession, d: str) -> DataFrame:
+    parts, nodes = _spans(spark, d)
+    bounds, _ = D.span_bounds(parts.where(~F.startswith("span", F.lit("r"))), nodes)
+    return D.span_text(bounds, nodes, D.separators(F.col("tag"))).select("span", F.md5("text").alias("text_md5"))
+
+
+@query(f"with {SPANS} select 'r' || doc as span, 'reversed' as reason from m where last > 0 or end_len > 0")
+def doc15_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Spans that end before they start."""
+    parts, nodes = _spans(spark, d)
+    return D.span_bounds(parts, nodes)[1].select("span", "reason")
