@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from quire.functions.text import phrase_form
+from quire.functions.text import nfkc, phrase_form
 
 # --- transcription ---------------------------------------------------------------
 
@@ -209,6 +209,64 @@ def retrieval_metrics(queries: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
+def scored_form(text: Column) -> Column:
+    """The form in which items are compared: compatible characters, lower case, one dash, one space, no space after a dash."""
+    plain = F.regexp_replace(F.lower(nfkc(F.coalesce(text, F.lit("")))), "[\u2010-\u2015]", "-")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?U)-\s+", "-"), r"(?U)\s+", " "))
+
+
+def match_items(pages: DataFrame, items: DataFrame, excluded: tuple[str, ...] = ("continuation", "ownership"), amounts: tuple[str, ...] = ("ingredient_line", "amount")) -> DataFrame:
+    """book, page, item, field, quantity, before, after, missing: whether each item of the reference is in the page's text as read and as corrected.
+
+    pages(book, page, before, after), items(book, page, item, field, text, ambiguous). An item of several cells, parted by
+    bars, is found on a line that holds all of them; any other in the text as a whole. Items that are
+    ambiguous or of an excluded field are left out. A page that isn't there has no text: its items
+    count, and are wrong. A null text is empty, and an empty item is in every page that is there.
+
+    Items meet their page by an equi-join; a page's forms are made once, before it.
+    """
+    tabs = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("\t"), F.lit(" | "))
+    forms = lambda c: [scored_form(tabs(F.col(c))).alias(f"{c}_all"), F.transform(F.split(tabs(F.col(c)), "\r\n|\r|\n"), lambda x: x).alias(f"{c}_raw")]
+    read = pages.select("book", "page", F.lit(True).alias("there"), *forms("before"), *forms("after"))
+    # Lines are brought to their form as rows: the form has a Python step, which arrays can't take.
+    lines = read.select("book", "page", F.posexplode(F.arrays_zip(F.col("before_raw").alias("b"), F.col("after_raw").alias("a"))).alias("i", "x"))
+    lines = lines.select("book", "page", scored_form(F.col("x.b")).alias("b"), scored_form(F.col("x.a")).alias("a")).groupBy("book", "page").agg(F.collect_set("b").alias("before_lines"), F.collect_set("a").alias("after_lines"))
+    read = read.drop("before_raw", "after_raw").join(lines, ["book", "page"], "left")
+    wanted = items.where(~F.coalesce("ambiguous", F.lit(False)) & ~F.coalesce(F.col("field").isin(*excluded), F.lit(False)))
+    wanted = wanted.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"\Acolumn headers: ", ""))
+    wanted = wanted.select("book", "page", "item", "field", scored_form(F.col("text")).alias("form"), F.split("text", r" \| ").alias("cells"))
+    cells = wanted.where(F.size("cells") > 1).select("book", "page", "item", F.explode("cells").alias("cell")).select("book", "page", "item", scored_form(F.col("cell")).alias("cell"))
+    cells = cells.groupBy("book", "page", "item").agg(F.collect_set("cell").alias("cells"))
+    wanted = wanted.drop("cells").join(cells, ["book", "page", "item"], "left").join(read, ["book", "page"], "left")
+    there = F.coalesce("there", F.lit(False))
+
+    def found(side: str) -> Column:
+        on_line = F.exists(f"{side}_lines", lambda line: F.forall("cells", lambda c: F.contains(line, c)))
+        return there & F.coalesce(F.when(F.col("cells").isNotNull(), on_line).otherwise(F.contains(f"{side}_all", F.col("form"))), F.lit(False))
+
+    return wanted.select("book", "page", "item", "field", F.coalesce(F.col("field").isin(*amounts), F.lit(False)).alias("quantity"), found("before").alias("before"), found("after").alias("after"), (~there).alias("missing"))
+
+
+def item_scores(matched: DataFrame) -> DataFrame:
+    """Per book and in total: pages, missing pages, items right before and after, the same of quantities, fixed and broken ones."""
+    right = lambda c, when=F.lit(True): F.count_if(F.col(c) & when)
+    q = F.col("quantity")
+    return matched.rollup("book").agg(
+        F.countDistinct("book", "page").alias("pages"),
+        F.countDistinct(F.when(F.col("missing"), F.struct("book", "page"))).alias("missing"),
+        F.count("*").alias("items"), right("before").alias("before"), right("after").alias("after"),
+        F.count_if(q).alias("quantities"), right("before", q).alias("quantities_before"), right("after", q).alias("quantities_after"),
+        F.count_if(~F.col("before") & F.col("after")).alias("fixed"), F.count_if(F.col("before") & ~F.col("after")).alias("broke"),
+        F.grouping("book").cast("int").alias("total"),
+    )
+
+
+def transitions(matched: DataFrame) -> DataFrame:
+    """book, page, item, field, change: items that a correction fixed or broke, and those that are still wrong."""
+    change = F.when(F.col("after") & ~F.col("before"), "fixed").when(F.col("before") & ~F.col("after"), "broke").when(~F.col("after"), "miss")
+    return matched.withColumn("change", change).where("change is not null").select("book", "page", "item", "field", "change")
+
+
 def score_items(items: DataFrame) -> DataFrame:
     """Per book and in total: items right before and after, fixed and broken ones, from items(book, item, before, after)."""
     return items.rollup("book").agg(

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.operators import consensus as C, readings as R, sections as S
+from quire.operators import consensus as C, evidence as E, readings as R, sections as S
 
-from .registry import query, table
+from .registry import query, shared_folder, table
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -110,6 +110,67 @@ def trn15_layout(spark: SparkSession, d: str) -> DataFrame:
     return C.validate_layout(cells, line.select(F.col("l_partkey").alias("line")), line.select(F.col("l_suppkey").alias("block"), F.col("l_linenumber").alias("parent")))
 
 
+#: Order lines as lines and blocks of their order's page: boxes on a render of 100 by 100, doubled and moved by the page; blocks lead to the next one or back.
+EVIDENCE = """l as (select l_orderkey as page, l_orderkey * 10 + l_linenumber as line, l_linenumber as n, l_partkey % 95 as x, l_suppkey % 97 as y, l_quantity % 10 as w, l_discount * 15 as confidence,
+  l_partkey, l_suppkey, case when l_linenumber = 4 then l_orderkey * 10 + 5 else l_orderkey * 10 + l_linenumber end as named,
+  case when l_linenumber % 2 = 1 then l_orderkey * 10 + l_linenumber + 1 when l_linenumber = 2 and l_orderkey % 5 = 0 then l_orderkey * 10 + 1 end as child from lineitem)"""
+
+
+def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """pages, lines and blocks of EVIDENCE."""
+    order, n, rows = F.col("l_orderkey"), F.col("l_linenumber"), table(spark, d, "lineitem")
+    x, y, w = (F.col("l_partkey") % 95).cast("double"), (F.col("l_suppkey") % 97).cast("double"), F.col("l_quantity") % 10
+    point = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    size = lambda v: F.struct(F.lit(v).alias("w"), F.lit(v).alias("h"))
+    key = table(spark, d, "orders").select(F.col("o_orderkey").alias("page"))
+    turn = F.when(F.col("page") % 50 == 7, 0.0).otherwise(2.0)
+    maps = F.struct(turn.alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"), F.lit(2.0).alias("d"), (F.col("page") % 3).cast("double").alias("e"), F.lit(0.0).alias("f"))
+    pages = key.select("page", size(100.0).alias("render"), size(200.0).alias("source"), maps.alias("map"))
+    line = order * 10 + n
+    lines = rows.select(order.alias("page"), line.alias("line"), F.array(point(x, y), point(x + w, y), point(x + w, y + 5), point(x, y + 5)).alias("polygon"), (F.col("l_discount") * 15).alias("confidence"))
+    child = F.when(n % 2 == 1, line + 1).when((n == 2) & (order % 5 == 0), line - 1)
+    blocks = rows.select(order.alias("page"), line.alias("block"), F.array(F.when(n == 4, line + 1).otherwise(line)).alias("line_ids"), F.array_compact(F.array(child)).alias("children"))
+    return pages, lines, blocks
+
+
+@query(f"""with {EVIDENCE}, p as (select l.*, page % 3 as e, if(page % 50 = 7, 0, 2) as a from l)
+select 'flat map' as rule, o_orderkey::varchar as key from orders where o_orderkey % 50 = 7
+union select 'outside the render', line::varchar from p where x + w > 100 or y + 5 > 100
+union select 'outside the source', line::varchar from p where greatest(a * x, a * (x + w)) + e > 200.000001 or 2 * (y + 5) > 200.000001
+union select 'no area', line::varchar from p where w = 0 union select 'confidence', line::varchar from p where confidence > 1""")
+def trn15_geometry(spark: SparkSession, d: str) -> DataFrame:
+    pages, lines, _ = _evidence(spark, d)
+    return E.geometry(pages, lines)
+
+
+@query(f"""with recursive {EVIDENCE}, held as (select page, line from l), kids as (select page, line as parent, child from l where child is not null),
+up as (select child as block, min(parent) as parent from kids group by 1), chain(block, above) as (select block, parent from up union select chain.block, up.parent from chain join up on up.block = chain.above)
+select 'line in no block' as rule, line::varchar as key from l where line not in (select named from l)
+union select 'line twice', line::varchar from l group by line having count(*) > 1 union select 'block twice', line::varchar from l group by line having count(*) > 1
+union select distinct 'block names another line', line || ':' || named from l where named not in (select line from l)
+union select distinct 'block names another child', parent || ':' || child from kids where child not in (select line from l)
+union select 'two parents', child::varchar from kids group by child having count(*) > 1
+union select distinct 'cycle', block::varchar from chain where block = above""")
+def trn15_ownership(spark: SparkSession, d: str) -> DataFrame:
+    shared_folder(spark)
+    _, lines, blocks = _evidence(spark, d)
+    return E.ownership(lines, blocks)
+
+
+@query(f"""with {EVIDENCE}, c as (select page as t, line, named, n - 1 as r0, n + l_partkey % 2 as r1, l_suppkey % 3 as c0 from l), g as (select t, unnest(generate_series(r0, r1 - 1)) as r, c0 from c where r1 <= 5)
+select 'outside the grid' as rule, t || ':' || line as key from c where r1 > 5 union select 'cells overlap', t || ':' || r || ':' || c0 from g group by t, r, c0 having count(*) > 1
+union select 'cell twice', line::varchar from c group by line having count(*) > 1 union select 'cell line twice', line::varchar from c group by line having count(*) > 1
+union select 'cell line outside the block', line || ':' || line from c where line <> t * 10 + 1
+union select 'table of no block', o_orderkey::varchar from orders where o_orderkey * 10 + 1 not in (select line from l)""")
+def trn15_grids(spark: SparkSession, d: str) -> DataFrame:
+    _, _, blocks = _evidence(spark, d)
+    key, rows = F.col("o_orderkey"), table(spark, d, "lineitem")
+    tables = table(spark, d, "orders").select(key.alias("table"), key.alias("page"), (key * 10 + 1).alias("block"), F.lit(5).alias("rows"), F.lit(3).alias("columns"))
+    n, column, line = F.col("l_linenumber"), (F.col("l_suppkey") % 3).cast("int"), F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    cells = rows.select(F.col("l_orderkey").alias("table"), line.alias("cell"), (n - 1).alias("row_start"), (n + F.col("l_partkey") % 2).cast("int").alias("row_end"), column.alias("column_start"), (column + 1).alias("column_end"), F.array(line).alias("line_ids"))
+    return E.grids(tables, cells, blocks)
+
+
 TOKENS = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')"
 PLACES = "list_filter(generate_series(1, len(hay) - len({0}) + 1), lambda i: len({0}) > 0 and hay[i] = {0}[1] and hay[i:i + len({0}) - 1] = {0})"
 

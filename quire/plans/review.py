@@ -222,6 +222,40 @@ def eva04_items(spark: SparkSession, d: str) -> DataFrame:
     return V.score_items(table(spark, d, "documents").select(F.col("source").alias("book"), (F.col("doc_id") % 3 > 0).alias("before"), (F.col("n_chars") % 4 > 0).alias("after")))
 
 
+FORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[\x{{2010}}-\x{{2015}}]', '-', 'g'), '-\s+', '-', 'g'), '\s+', ' ', 'g'))"
+#: Items are the first line of each document and, parted by a bar, its first two words and its first line's last one; corrected texts lack what comes before their first line end, on every fourth page.
+ITEMS = f"""p as (select source as book, doc_id as page, text, string_split(text, chr(10))[1] as line, case when doc_id % 4 = 0 then substr(text, instr(text, chr(10)) + 1) else text end as after from documents where text is not null and source is not null),
+i as (select book, page, 1 as item, 'amount' as field, line as t from p union all select book, page, 2, 'heading', split_part(line, ' ', 1) || ' | ' || string_split(line, ' ')[-1] from p),
+m as (select i.*, p.text, p.after, page % 11 <> 3 as there from i join p using (book, page)),
+f as (select *, {FORM.format("replace(text, chr(9), ' | ')")} as fb, {FORM.format("replace(after, chr(9), ' | ')")} as fa, list_transform(string_split(t, ' | '), lambda c: {FORM.format("c")}) as cells,
+  list_transform(string_split(replace(text, chr(9), ' | '), chr(10)), lambda x: {FORM.format("x")}) as lb, list_transform(string_split(replace(after, chr(9), ' | '), chr(10)), lambda x: {FORM.format("x")}) as la from m),
+s as (select book, page, item, field, field = 'amount' as quantity, not there as missing,
+  there and if(len(cells) > 1, len(list_filter(lb, lambda x: len(list_filter(cells, lambda c: not contains(x, c))) = 0)) > 0, contains(fb, {FORM.format("t")})) as before,
+  there and if(len(cells) > 1, len(list_filter(la, lambda x: len(list_filter(cells, lambda c: not contains(x, c))) = 0)) > 0, contains(fa, {FORM.format("t")})) as after from f)"""
+
+
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("text is not null and source is not null").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), "text")
+    after = F.when(F.col("page") % 4 == 0, F.expr("substr(text, instr(text, '\\n') + 1)")).otherwise(F.col("text"))
+    pages = docs.where("page % 11 <> 3").select("book", "page", F.col("text").alias("before"), after.alias("after"))
+    line = F.substring_index("text", "\n", 1)
+    two = F.struct(F.lit(2).alias("item"), F.lit("heading").alias("field"), F.concat(F.substring_index(line, " ", 1), F.lit(" | "), F.substring_index(line, " ", -1)).alias("text"))
+    items = docs.select("book", "page", F.explode(F.array(F.struct(F.lit(1).alias("item"), F.lit("amount").alias("field"), line.alias("text")), two)).alias("x")).select("book", "page", "x.*", F.lit(False).alias("ambiguous"))
+    return V.match_items(pages, items)
+
+
+@query(f"""with {ITEMS} select book, count(distinct (book, page)) as pages, count(distinct (book, page)) filter (missing) as missing, count(*) as items, count(*) filter (before) as before, count(*) filter (after) as after,
+count(*) filter (quantity) as quantities, count(*) filter (quantity and before) as quantities_before, count(*) filter (quantity and after) as quantities_after,
+count(*) filter (not before and after) as fixed, count(*) filter (before and not after) as broke, grouping(book)::int as total from s group by rollup (book)""")
+def eva04_scores(spark: SparkSession, d: str) -> DataFrame:
+    return V.item_scores(_matched(spark, d))
+
+
+@query(f"with {ITEMS} select book, page, item, field, case when after then 'fixed' when before then 'broke' else 'miss' end as change from s where not after or not before")
+def eva04_transitions(spark: SparkSession, d: str) -> DataFrame:
+    return V.transitions(_matched(spark, d))
+
+
 PRICES = "(values ('A', 0.25, 0.025, 2.0), ('N', 0.5, 0.05, 4.0), ('R', 1.0, 0.1, 8.0))"
 
 
