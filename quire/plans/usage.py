@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire.operators import reports as P, usage as U
-from quire.sources.library import read_reports
+from quire.sources.library import read_publication, read_reports, write_publication
 from quire.streaming import heartbeats as H, usage as S
 
 from .registry import query, shared_folder, table
@@ -292,3 +292,13 @@ def use17_chain(spark: SparkSession, d: str) -> DataFrame:
     last = F.lag("id").over(W.partitionBy("user_id").orderBy("event_id"))
     log = e.withColumn("predecessor", F.when(F.col("event_id") % 4 != 0, last)).withColumn("content", F.col("event_type"))
     return U.check_chain(log, "user_id", "event_id")
+
+
+@query("""select doc_id, source, md5(text) as text_md5 from documents where lang = 'en' and text is not null and source in ('src1', 'src2')""")
+def snk01_search_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Two sources' search rows of a publication of the documents; English texts are searchable."""
+    docs = table(spark, d, "documents")
+    search = docs.select("doc_id", "source", F.md5("text").alias("text_md5"), ((F.col("lang") == "en") & F.col("text").isNotNull()).alias("searchable"))
+    path = f"{shared_folder(spark)}/publication-{uuid.uuid4().hex}"
+    write_publication({"sections": docs.select("doc_id", "source", "text"), "search": search}, path)
+    return read_publication(spark, path, "search", ["src1", "src2"]).drop("searchable")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 #: Columns of a report's JSON object.
 REPORT = "report_id string, source string, page long, kind string, quoted string, proposed string, created_at timestamp"
@@ -75,10 +75,74 @@ def dump_digest(rows: DataFrame, by: str, order: str, columns: list[str]) -> Dat
     return rows.groupBy(by).agg(digest.alias("digest"), F.count("*").alias("n"))
 
 
-def write_publication(tables: dict[str, DataFrame], path: str) -> None:
-    """Every table once under a new path; a publication that is there is never overwritten."""
+MANIFEST = "name string, rows long, digest long, keyed boolean, buckets int"
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int")
+
+
+def _row_digest(columns: list[str]) -> Column:
+    """A digest of a row; null and absent values differ from empty ones."""
+    return F.xxhash64(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}))
+
+
+def _contents(columns: list[str]) -> list[Column]:
+    """Rows, and a digest that their order doesn't change: what repeats counts as often as it does."""
+    return [F.count("*").alias("rows"), F.coalesce(F.sum(F.pmod(_row_digest(columns), F.lit(1 << 31))), F.lit(0).cast("long")).alias("digest")]
+
+
+def write_publication(tables: dict[str, DataFrame], path: str, buckets: int = 16, search: str = "search") -> None:
+    """Write every table once under a new path; its manifest, one file, comes last, and nothing is readable before.
+
+    Tables with a source are partitioned by its bucket, so a reader of some sources opens their buckets only.
+    Of the table `search`, rows whose `searchable` isn't true are left out. Rows and digests for the manifest
+    are counted while the tables are written. A path that has anything is never written to again:
+    a publication that failed half-way stays unreadable, and the next one takes another path.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    held = []
     for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+        if name == search and "searchable" in df.columns:
+            df = df.where("searchable")
+        columns, seen, keyed = df.columns, Observation(), "source" in df.columns
+        out = df.observe(seen, *_contents(columns))
+        if keyed:
+            out.withColumn("bucket", _bucket(buckets)).write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/{name}")
+        else:
+            out.write.mode("errorifexists").parquet(f"{path}/{name}")
+        held.append((name, seen.get["rows"], seen.get["digest"], keyed, buckets))
+    spark.createDataFrame(held, MANIFEST).coalesce(1).write.mode("errorifexists").parquet(f"{path}/_manifest")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of a whole publication; an error without one."""
+    return spark.read.parquet(f"{path}/_manifest")
+
+
+def read_publication(spark: SparkSession, path: str, name: str, sources: list[str] | None = None) -> DataFrame:
+    """A table of a whole publication, of some sources if they are named."""
+    entry = read_manifest(spark, path).where(F.col("name") == name).first()
+    if entry is None:
+        raise KeyError(f"the publication has no {name}")
+    rows = spark.read.parquet(f"{path}/{name}")
+    if not entry["keyed"]:
+        return rows
+    if sources is not None:
+        wanted = spark.createDataFrame([(s,) for s in sources], "source string").select(_bucket(entry["buckets"]).alias("b"))
+        rows = rows.where(F.col("bucket").isin(*{r["b"] for r in wanted.collect()}) & F.col("source").isin(*sources))
+    return rows.drop("bucket")
+
+
+def changed_tables(spark: SparkSession, path: str) -> list[str]:
+    """Names of tables that no longer have the rows of the manifest."""
+    out = []
+    for entry in read_manifest(spark, path).collect():  # one row for each table
+        rows = read_publication(spark, path, entry["name"])
+        now = rows.agg(*_contents(rows.columns)).first()
+        if (now["rows"], now["digest"]) != (entry["rows"], entry["digest"]):
+            out.append(entry["name"])
+    return out
 
 
 def read_reports(spark: SparkSession, path: str, content_id: Column) -> DataFrame:

@@ -61,12 +61,42 @@ def test_reports(spark, tmp_path):
     assert [r.report_id for r in L.read_reports(spark, str(tmp_path), content).collect()] == [right]
 
 
+def _publish(spark, path, **more):
+    search = spark.createDataFrame([("a", 1, True), ("b", 2, False), ("b", 3, None), ("c", 4, True), (None, 5, True)], "source string, section long, searchable boolean")
+    L.write_publication({"sections": spark.range(3), "search": search, **more}, path)
+
+
 def test_publication_is_written_once(spark, tmp_path):
-    tables = {"sections": spark.range(3), "images": spark.range(2)}
-    L.write_publication(tables, str(tmp_path / "p"))
-    assert spark.read.parquet(str(tmp_path / "p/sections")).count() == 3
+    path = str(tmp_path / "p")
+    _publish(spark, path)
+    assert L.read_publication(spark, path, "sections").count() == 3
+    # Only what may be searched is there.
+    assert sorted(r.section for r in L.read_publication(spark, path, "search").collect()) == [1, 4, 5]
     with pytest.raises(AnalysisException):
-        L.write_publication(tables, str(tmp_path / "p"))
+        _publish(spark, path)
+    with pytest.raises(KeyError):
+        L.read_publication(spark, path, "other")
+    assert L.changed_tables(spark, path) == []
+    spark.range(1).write.mode("append").parquet(f"{path}/sections")
+    assert L.changed_tables(spark, path) == ["sections"]
+
+
+def test_a_read_of_some_sources_opens_their_buckets(spark, tmp_path):
+    path = str(tmp_path / "p")
+    _publish(spark, path)
+    rows = L.read_publication(spark, path, "search", ["a", "c"])
+    assert sorted(r.section for r in rows.collect()) == [1, 4]
+    assert "PartitionFilters: [" in rows._jdf.queryExecution().executedPlan().toString().replace("[]", "")
+
+
+def test_a_half_written_publication_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "p")
+    broken = spark.range(2).select(F.raise_error(F.lit("lost")).cast("string").alias("source"))
+    with pytest.raises(Exception, match="lost"):
+        _publish(spark, path, images=broken)
+    for read in (L.read_manifest, lambda s, p: L.read_publication(s, p, "sections")):
+        with pytest.raises(AnalysisException):
+            read(spark, path)
 
 
 def test_roundtrip(spark):
