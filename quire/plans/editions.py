@@ -93,11 +93,11 @@ def eva06_cells(spark: SparkSession, d: str) -> DataFrame:
     return E.cell_text(words, cells)
 
 
-@query(r"""with b as (select doc_id, lang as kind, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as body, trim(regexp_replace(lower(case when doc_id % 4 = 0 then 'something else altogether' when doc_id % 4 = 1 then left(text, 25) || ' and more' else substring(text, 1, 40) end), '\s+', ' ', 'g')) as phrase from documents)
+@query(r"""with b as (select doc_id, lang as kind, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as body, trim(regexp_replace(lower(case when doc_id % 4 = 0 then 'something else altogether' when doc_id % 4 = 1 then text || ' and more' else text end), '\s+', ' ', 'g')) as phrase from documents)
 select kind, count(*) as parts, count(*) filter (contains(body, phrase)) as exact, count(*) filter (contains(body, array_to_string(string_split(phrase, ' ')[1:3], ' '))) as anchored from b group by kind""")
 def eva10_reading(spark: SparkSession, d: str) -> DataFrame:
     doc = table(spark, d, "documents")
-    expected = F.when(F.col("doc_id") % 4 == 0, "something else altogether").when(F.col("doc_id") % 4 == 1, F.concat(F.substring("text", 1, 25), F.lit(" and more"))).otherwise(F.substring("text", 1, 40))
+    expected = F.when(F.col("doc_id") % 4 == 0, "something else altogether").when(F.col("doc_id") % 4 == 1, F.concat("text", F.lit(" and more"))).otherwise(F.col("text"))
     return E.reading_summary(doc.select(F.col("doc_id").alias("key"), F.col("lang").alias("kind"), expected.alias("expected")), doc.select(F.col("doc_id").alias("key"), "text"))
 
 

@@ -13,10 +13,10 @@ JOIN = lambda c: F.array_join(c, ",")
 ID = "sha256(concat_ws(chr(31), {}))"
 
 
-@query("""with a as (select p_partkey as book_id, array_to_string(list(l_suppkey::varchar order by l_orderkey, l_linenumber), ',') as authors from lineitem join part on p_partkey = l_partkey where l_quantity < 5 group by 1)
+@query("""with a as (select p_partkey as book_id, array_to_string(list(l_suppkey::varchar order by l_orderkey, l_linenumber, l_suppkey::varchar), ',') as authors from lineitem join part on p_partkey = l_partkey group by 1)
 select p_partkey as book_id, p_name as title, coalesce(authors, '') as authors, p_brand || ',' || p_type as tags from part left join a on book_id = p_partkey""")
 def src01_catalog(spark: SparkSession, d: str) -> DataFrame:
-    part, line = table(spark, d, "part"), table(spark, d, "lineitem").where("l_quantity < 5")
+    part, line = table(spark, d, "part"), table(spark, d, "lineitem")
     authors = line.select(F.col("l_partkey").alias("book_id"), F.struct("l_orderkey", "l_linenumber").alias("ord"), F.col("l_suppkey").cast("string").alias("name"))
     tags = part.select(F.col("p_partkey").alias("book_id"), F.posexplode(F.array("p_brand", "p_type")).alias("ord", "name"))
     rows = L.read_catalog(part.select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("title")), authors, tags)
@@ -241,11 +241,11 @@ def pub03_retention(spark: SparkSession, d: str) -> DataFrame:
     return R.retention_plan(publications, inventory, inventory)[1]
 
 
-@query("""with o as (select source, doc_id as section, md5(left(text, 20)) as locator from documents), n as (select source, doc_id + 1 as section, md5(left(text, 20)) as locator from documents where doc_id % 6 > 0),
+@query("""with o as (select source, doc_id as section, md5(text) as locator from documents), n as (select source, doc_id + 1 as section, md5(text) as locator from documents where doc_id % 6 > 0),
 uo as (select source, locator, min(section) as section from o group by all having count(*) = 1), un as (select source, locator, min(section) as target from n group by all having count(*) = 1)
 select o.section as place, target, case when target is null then 'unavailable' else 'moved' end as state from o left join uo on uo.source = o.source and uo.section = o.section left join un on un.source = o.source and un.locator = uo.locator""")
 def pub04_migrate(spark: SparkSession, d: str) -> DataFrame:
-    doc = table(spark, d, "documents").select("source", F.col("doc_id").alias("section"), F.md5(F.substring("text", 1, 20)).alias("locator"))
+    doc = table(spark, d, "documents").select("source", F.col("doc_id").alias("section"), F.md5("text").alias("locator"))
     new = doc.where("section % 6 > 0").withColumn("section", F.col("section") + 1)
     return R.migrate_locations(doc.select("source", "section", F.col("section").alias("place")), doc, new)
 

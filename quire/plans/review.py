@@ -10,11 +10,11 @@ from quire.operators import graphs as G, review as V
 from .registry import query, shared_folder, table
 
 
-@query(r"""select doc_id, lower(regexp_replace(left(text, 200), '[^\p{L}]', '', 'g')) as key, array_to_string(regexp_extract_all(text, '(\d+(?:[./]\d+)?)', 1), ' ') as quantities,
+@query(r"""select doc_id, lower(regexp_replace(text, '[^\p{L}]', '', 'g')) as key, array_to_string(regexp_extract_all(text, '(\d+(?:[./]\d+)?)', 1), ' ') as quantities,
 trim(regexp_replace(regexp_replace(split_part(text, chr(10), 1), '^\s*[•*·-]\s+', ''), '\t+', ' | ', 'g')) as line from documents""")
 def trn01_forms(spark: SparkSession, d: str) -> DataFrame:
     doc = table(spark, d, "documents")
-    return doc.select("doc_id", V.wording_key(F.substring("text", 1, 200)).alias("key"), F.array_join(V.quantities(F.col("text")), " ").alias("quantities"), V.clean_line(F.substring_index("text", "\n", 1)).alias("line"))
+    return doc.select("doc_id", V.wording_key(F.col("text")).alias("key"), F.array_join(V.quantities(F.col("text")), " ").alias("quantities"), V.clean_line(F.substring_index("text", "\n", 1)).alias("line"))
 
 
 @query("""with l as (select l_orderkey as key, l_linenumber as first, l_linenumber as last, 5 as lines from lineitem),

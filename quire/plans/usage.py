@@ -141,11 +141,11 @@ def use07_stages(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select collector, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as retained_from, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as last_observed_at, count(*) as n
-from (select ts, 'a' as collector from events where user_id % 2 = 0 union all select ts, 'b' from events where user_id % 3 = 0) group by collector""")
+from (select ts, case when user_id % 2 = 0 then 'a' else 'b' end as collector from events) group by collector""")
 def src08_collectors(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumnRenamed("ts", "at")
-    one = e.where("user_id % 2 = 0").withColumn("collector", F.lit("a"))
-    two = e.where("user_id % 3 = 0").drop("props").withColumn("collector", F.lit("b"))
+    one = e.where("coalesce(user_id % 2 = 0, false)").withColumn("collector", F.lit("a"))
+    two = e.where("not coalesce(user_id % 2 = 0, false)").drop("props").withColumn("collector", F.lit("b"))
     status = U.union_collectors([one, two])[1]
     return status.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("retained_from", "last_observed_at")})
 
