@@ -137,6 +137,45 @@ def search_fuzzy(queries: DataFrame, index: Index, targets: DataFrame, limit: in
     return by_target.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
 
 
+def search_relaxed(
+    queries: DataFrame, index: Index, units: DataFrame, limit: int, offset: int = 0, enough: int = 100, edits: int = 2, editions: list | None = None, kinds: list | None = None, candidates: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """(hits, facets): typo-tolerant hits that have all words of a query, or fewer of its last words if these are too few.
+
+    units: doc, target, edition, kind, state; only those of the editions and kinds, and no candidates unless they are asked for.
+    hits: query_id, doc, target, words, gain, pos, next_offset. facets: query_id, facet, value, n.
+
+    A document has the first k words of a query if each of them, or a word within the edits, is in it. A
+    query keeps as many of its first words as leave `enough` targets, else the first alone. Hits with more of the words
+    come first, then those with the larger sum of weight * (1 - edits / length), then the smaller document; each
+    target has its best one. Facets count targets of all hits, not of the page. How many words are
+    kept is read off one count of targets by k, so no query is searched twice.
+    """
+    shown = units if candidates else units.where(F.coalesce(F.col("state") != "candidate", F.lit(True)))
+    for column, wanted in (("edition", editions), ("kind", kinds)):
+        if wanted is not None:
+            shown = shown.where(F.col(column).isin(*wanted))
+    words = queries.select("query_id", F.posexplode(F.array_distinct(tokens(F.col("query")))).alias("place", "term"))
+    near = fuzzy_terms(words, index.vocab, edits).join(words, ["query_id", "term"])
+    found = near.join(index.postings.withColumnRenamed("term", "match"), "match").join(shown.select("doc"), "doc", "left_semi")
+    best = found.groupBy("query_id", "doc", "place").agg(F.max(F.col("gain") * F.col("tf")).alias("gain"))
+    # Places 0, 1, .. without a hole: a place's number among those found is the place itself.
+    run = best.withColumn("n", F.row_number().over(W.partitionBy("query_id", "doc").orderBy("place")) - 1).where(F.col("n") == F.col("place"))
+    scored = run.groupBy("query_id", "doc").agg(F.count("*").alias("words"), F.round(F.sum("gain"), 6).alias("gain")).join(shown.select("doc", "target", "edition", "kind"), "doc")
+    order = [F.desc("words"), F.desc("gain"), "doc"]
+    one = first_of(scored, ["query_id", "target"], order)
+    counts = one.groupBy("query_id", "words").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(W.partitionBy("query_id").orderBy(F.desc("words"))))
+    least = upto.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("upto") >= enough, F.col("words"))), F.lit(1)).alias("least"))
+    hits = one.join(least, "query_id").where(F.col("words") >= F.col("least"))
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in ("edition", "kind")]))
+    facets = hits.select("query_id", values.alias("f")).groupBy("query_id", "f.facet", "f.value").agg(F.count("*").alias("n"))
+    ranked = hits.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("pos").between(offset + 1, offset + limit + 1))
+    more = F.max("pos").over(W.partitionBy("query_id")) > offset + limit
+    paged = ranked.withColumn("next_offset", F.when(more, F.lit(offset + limit))).where(F.col("pos") <= offset + limit)
+    return paged.select("query_id", "doc", "target", "words", "gain", "pos", "next_offset"), facets
+
+
 def search_catalog(books: DataFrame, needle: str) -> DataFrame:
     """Case-insensitive part of title, author or tag; books of one source are aliases of one row."""
     low = F.lit(needle.lower())
