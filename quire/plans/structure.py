@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions.html import capture_nodes
-from quire.operators import structure as D
+from quire.operators import model as M, structure as D
 
 from .registry import query, table
 
@@ -188,3 +188,25 @@ def doc15_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Spans that end before they start."""
     parts, nodes = _spans(spark, d)
     return D.span_bounds(parts, nodes)[1].select("span", "reason")
+
+
+@query("""with l as (select l_orderkey as doc, concat_ws('.', l_orderkey, l_linenumber, l_partkey) as id, l_linenumber as pre, 'o' || l_orderkey as parent from lineitem),
+k as (select doc, list(id order by pre, id) as kids, count(*) as fin from l group by 1), o as (select o_orderkey as doc, 'o' || o_orderkey as id, coalesce(kids, []) as kids, coalesce(fin, 0) as fin from orders left join k on doc = o_orderkey),
+n as (select doc, id, 0 as pre, null as parent from o union all select * from l), m as (select l.*, o.kids, o.fin, lag(pre) over (partition by l.doc order by pre, l.id) as last from l join o on o.id = l.parent)
+select 'places' as rule, doc::varchar as key from n group by doc having min(pre) <> 0 or max(pre) <> count(*) - 1 or count(distinct pre) <> count(*)
+union select 'roots', doc::varchar from n group by doc having count(*) filter (parent is null) <> 1
+union select 'node twice', id from n group by id having count(*) > 1
+union select 'parent', id from l where parent not in (select id from o)
+union select 'outside its parent', id from m where pre <= 0 or pre > fin
+union select 'siblings', id from m where pre <> coalesce(last, 0) + 1
+union select 'parent names another', id from m where kids[pre] is distinct from id
+union select 'child names another', 'o' || doc || ':' || c.id from (select doc, unnest(kids) as id, generate_subscripts(kids, 1) as pre from k) c where not exists (select 1 from l where l.doc = c.doc and l.id = c.id and l.pre = c.pre)""")
+def doc21_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as roots of their lines; a line's number is its place."""
+    order, n = F.col("l_orderkey"), F.col("l_linenumber")
+    name = F.concat(F.lit("o"), order)
+    lines = table(spark, d, "lineitem").select(order.alias("doc"), F.concat_ws(".", order, n, "l_partkey").alias("id"), n.alias("preorder"), n.alias("subtree_end"), name.alias("parent"), (n - 1).alias("ordinal"), F.lit("text").alias("kind"), F.array().cast("array<string>").alias("children"))
+    kids = lines.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("preorder", "id"))), lambda x: x["id"]).alias("children"))
+    roots = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc")).join(kids, "doc", "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
+    roots = roots.select("doc", F.concat(F.lit("o"), "doc").alias("id"), F.lit(0).alias("preorder"), F.size("children").alias("subtree_end"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("int").alias("ordinal"), F.lit("element").alias("kind"), "children")
+    return M.check_trees(lines.unionByName(roots))
