@@ -10,7 +10,8 @@ places from left to right, which gives the same ids: a merge makes no pair of
 lower rank, so these places would come next one after another.
 
 Defined results: a null text encodes to no ids and decodes to no bytes; a
-null id keeps its row; repeated rows give equal rows. Other columns are not
+null id keeps its row; repeated rows give equal rows; texts of any length are
+encoded whole. An empty table gives an empty table. Other columns are not
 read.
 """
 
