@@ -13,8 +13,9 @@ A token whose bytes end inside a character covers that character too; the
 shares of a document's tokens sum to their number under every rule.
 
 Sections are the lines of the text; a line's "\\n" belongs to it. Defined
-results: a null or empty text has no sections; repeated rows give equal rows.
-Other columns are not read.
+results: a null or empty text has no sections; repeated rows give equal rows;
+a null id keeps its rows; texts of any length are encoded whole. An empty table
+gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations

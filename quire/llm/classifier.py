@@ -14,7 +14,9 @@ Labels, language, source and id are no inputs.
 Defined results: a null or empty text is scored as one place of padding; a
 label that is null trains nothing, nor does an id whose labels differ; without
 usable labels of both kinds every score is the share of label 1, or 0.5;
-repeated rows give equal rows.
+repeated rows give equal rows; a null id is scored like others; texts of any
+length are scored whole. An empty table gives an empty table. Columns other
+than the id and the text are not read.
 """
 
 from __future__ import annotations

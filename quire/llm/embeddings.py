@@ -20,7 +20,8 @@ spread; where all directions are alike only the halves part (see README).
 Defined results: vectors that are null, zero, or hold null or non-finite
 components link with nothing; a shorter vector counts as filled with zeros; a
 null id keeps its row, links with nothing and is kept; rows that repeat an id
-count as one vector each. Other columns are not read.
+count as one vector each. An empty table gives an empty table. Other columns
+are not read.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ bucket is lost.
 Defined results: a null or wordless text has an empty set and links with
 nothing; fewer words than n make one shingle; a null id keeps its row, links
 with nothing and is kept; rows that repeat an id are one document that links
-by each of its texts. Other columns are not read.
+by each of its texts; texts of any length are read whole. An empty table
+gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ same rows give the same subset however they are partitioned.
 Defined results: a null text has no words (so it fails the base rules); a
 null language or source is a group of its own; a group without a document
 that passes the base rules has null distances; rows that repeat an id are
-judged each on its own text. Other columns are not read.
+judged each on its own text; a null id keeps its row; texts of any length are
+read whole. An empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations

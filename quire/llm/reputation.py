@@ -22,7 +22,8 @@ Hosts of one label are their own domain.
 Defined results: a null url, or one without "://", has an empty host and path,
 fits no rule and is judged as the host "" is; a page without a label counts
 nothing; a host without labelled pages has its parent's posterior; several
-labels of one page count once each. Other columns are not read.
+labels of one page count once each; a null page id keeps its row. An empty
+table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations

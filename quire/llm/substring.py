@@ -17,7 +17,8 @@ where they meet their minimum; nothing is paired. Window hashes have 128 bits.
 Defined results: a null text has no words; documents under `window` words
 lose nothing; a null id keeps its row and loses nothing; rows that repeat an
 id are judged each on its own text, and none of them against another, since
-an id isn't smaller than itself. Other columns are not read by
+an id isn't smaller than itself; texts of any length are read whole. An empty
+table gives an empty table. Other columns are not read by
 `substring_duplicates`, and kept by `remove_duplicates`.
 """
 

@@ -17,7 +17,9 @@ offsets. Shards are disjoint ascending ranges of document ids and blocks of a
 shard ascend too, so that order is the order of the ids.
 
 Defined results: a null text holds only the end id; rows that repeat an id
-stand next to each other; a null id comes first. Other columns are not read.
+stand next to each other; a null id comes first; texts of any length are
+encoded whole. An empty table gives no files and an empty table. Other columns
+are not read.
 """
 
 from __future__ import annotations
