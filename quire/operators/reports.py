@@ -18,18 +18,37 @@ def claim_id(*fields: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(f.cast("string"), F.lit("\x00")) for f in fields]), 256)
 
 
+#: Fixed value: the least side of a box, as a part of the page.
+LEAST_SIDE = 0.02
+
+
+def box_reason(region: Column) -> Column:
+    """Why a box (left, top, right, bottom, as parts of the page) is refused; null for a sound one and for none."""
+    side = lambda i: F.get(region, F.lit(i))
+    along = lambda a, b: (side(a) >= 0) & (side(a) < side(b)) & (side(b) <= 1)
+    sound = F.coalesce((F.size(region) == 4) & along(0, 2) & along(1, 3), F.lit(False))
+    small = (side(2) - side(0) < LEAST_SIDE) | (side(3) - side(1) < LEAST_SIDE)
+    return F.when(region.isNull(), None).when(~sound, "no box").when(small, "box too small")
+
+
 def intake_reports(raw: DataFrame, sections: DataFrame, most: int = 500) -> DataFrame:
-    """Adds report_id and reason (null: accepted) to reports(source, page, kind, quoted, proposed).
+    """Adds report_id and reason (null: accepted) to reports(source, page, kind, quoted, proposed) and, if they have one, region.
 
-    A quote has to occur in a text of its source and page; keys join first.
+    A quote has to occur in a text of its source and page; keys join first. A region is a box on the page, to
+    four places a part of the claim; a report without one claims the whole page.
     """
     rows = raw.withColumns({c: squash(F.coalesce(c, F.lit(""))) for c in ("quoted", "proposed")})
-    rows = rows.withColumn("report_id", claim_id(*[F.col(c) for c in ("source", "page", "kind", "quoted", "proposed")]))
+    claim = [F.col(c) for c in ("source", "page", "kind", "quoted", "proposed")]
+    if "region" in raw.columns:
+        claim.append(F.array_join(F.transform("region", lambda v: F.format_number(v, 4)), ","))
+    rows = rows.withColumn("report_id", claim_id(*claim))
     texts = sections.select("source", "page", squash(F.col("text")).alias("body"))
     found = rows.join(texts, ["source", "page"], "left").groupBy(*rows.columns).agg(F.coalesce(F.bool_or(F.contains("body", F.col("quoted"))), F.lit(False)).alias("seen"))
     reason = (
         F.when(F.col("quoted") == "", "no quote").when(F.length("quoted") > most, "too long").when(F.col("quoted") == F.col("proposed"), "no change").when(~F.col("seen"), "quote not found")
     )
+    if "region" in raw.columns:
+        reason = F.coalesce(box_reason(F.col("region")), reason)
     return found.withColumn("reason", reason).drop("seen")
 
 

@@ -83,6 +83,17 @@ def rep01_intake(spark: SparkSession, d: str) -> DataFrame:
     return R.intake_reports(raw, doc.select("source", page, "text"), most=25)
 
 
+@query("""with b as (select l_orderkey * 1000000 + l_partkey as k, l_linenumber as n, (l_suppkey % 90) / 90.0 as x, (l_partkey % 95) / 90.0 as y, l_quantity / 100 as w from lineitem),
+r as (select *, case when not (x >= 0 and x < x + w and x + w <= 1 and y >= 0 and y < y + w and y + w <= 1) then 'no box' when x + w - x < 0.02 or y + w - y < 0.02 then 'box too small' end as reason from b where n > 1)
+select reason, count(*) as n from r group by reason union all select 'none', count(*) from b where n = 1""")
+def rep01_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as boxes by their reason; the first of an order has none."""
+    x, y, w = (F.col("l_suppkey") % 90) / F.lit(90.0), (F.col("l_partkey") % 95) / F.lit(90.0), F.col("l_quantity") / 100
+    rows = table(spark, d, "lineitem").select(F.when(F.col("l_linenumber") > 1, F.array(x, y, x + w, y + w)).alias("region"))
+    reason = F.when(F.col("region").isNull(), "none").otherwise(R.box_reason(F.col("region")))
+    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
 @query("select user_id as report_id, event_id as seq, value from (select *, row_number() over (partition by user_id order by ts, event_id) as k from events) where k = 1")
 def rep02_dedupe(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select(F.col("user_id").alias("report_id"), F.col("event_id").alias("seq"), F.col("ts").alias("created_at"), "value")
