@@ -40,8 +40,9 @@ def _decomposed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else _bare(t))
 
 
-def strip_accents(text: Column) -> Column:
+def strip_accents(text: Column | str) -> Column:
     """Canonical decomposition without combining marks. A translation in the JVM; only texts with characters that become several go through Python."""
+    text = F.col(text) if isinstance(text, str) else text
     simple = F.translate(text, "".join(_ONE) + "".join(_GONE), "".join(_ONE.values()))
     return F.when(text.rlike(_ranges(_SEVERAL)), _decomposed(F.when(text.rlike(_ranges(_SEVERAL)), text))).otherwise(simple)
 
