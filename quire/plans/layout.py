@@ -9,17 +9,18 @@ from quire.operators import boundaries as B, layout as L, structure as D
 
 from .registry import query, table
 
-PLAIN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))"""
+#: Text of HTML; as browsers read it, a name's semicolon may be absent, as where a heading was cut.
+PLAIN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#x27;?', '''', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))"""
 SPACED = "replace(t, '<br>', ' ')"
 #: The pages' bodies are a nav of items, a loose text, a heading, paragraphs and a loose footer; a paragraph with an open bold holds all that follow.
 BODY = r"""b as (select page_id, regexp_extract(html, '<nav>(.*?)</nav>', 1, 's') as nav, regexp_extract(html, '<div class="ad">(.*?)</div>', 1, 's') as ad, regexp_extract(html, '<h1>(.*?)</h1>', 1, 's') as head,
   regexp_extract(html, '</h1>(.*?)</article>', 1, 's') as rest, regexp_extract(html, '<footer>(.*?)</footer>', 1, 's') as foot from pages),
 c as (select *, case when contains(rest, '<p><b>') then split_part(rest, '<p><b>', 1) else rest end as ps, case when contains(rest, '<p><b>') then [substr(rest, strpos(rest, '<p><b>'))] else [] end as bold from b),
-d as (select page_id, unnest(list_concat(list_transform(regexp_extract_all(nav, '<li>(.*?)</li>', 1, 's'), lambda x: {'tag': 'li', 't': x}), [{'tag': 'text', 't': ad}, {'tag': 'h1', 't': head}],
-  list_transform(regexp_extract_all(ps, '<p>(.*?)</p>', 1, 's'), lambda x: {'tag': 'p', 't': x}), list_transform(bold, lambda x: {'tag': 'p', 't': x}), [{'tag': 'text', 't': foot}]), recursive := true) from c)"""
+d as (select page_id, e.tag as tag, e.t as t, place from (select page_id, unnest(parts) as e, generate_subscripts(parts, 1) as place from (select page_id, list_concat(list_transform(regexp_extract_all(nav, '<li>(.*?)</li>', 1, 's'), lambda x: {'tag': 'li', 't': x}), [{'tag': 'text', 't': ad}, {'tag': 'h1', 't': head}],
+  list_transform(regexp_extract_all(ps, '<p>(.*?)</p>', 1, 's'), lambda x: {'tag': 'p', 't': x}), list_transform(bold, lambda x: {'tag': 'p', 't': x}), [{'tag': 'text', 't': foot}]) as parts from c)))"""
 
 
-@query(rf"""with {BODY}, e as (select page_id as doc, tag, {PLAIN.format('t')} as text, row_number() over () as o from d),
+@query(rf"""with {BODY}, e as (select page_id as doc, tag, {PLAIN.format('t')} as text, place as o from d),
 f as (select * from e where tag <> 'text' or text <> '') select doc, row_number() over (partition by doc order by o) - 1 as i, tag, text from f""")
 def doc03_leaves(spark: SparkSession, d: str) -> DataFrame:
     return L.leaf_blocks(capture_nodes(table(spark, d, "pages"))).select("doc", "i", "tag", "text")
@@ -40,7 +41,7 @@ def doc08_navigation(spark: SparkSession, d: str) -> DataFrame:
     return D.resolve_links(entries, paths.where(F.length("document") % 2 == 0), nothing).select("doc", "ordinal", "kind", "label", "target", "state")
 
 
-@query(rf"""with {BODY}, e as (select page_id as doc, row_number() over () as o, tag, {PLAIN.format(SPACED)} as text from d),
+@query(rf"""with {BODY}, e as (select page_id as doc, place as o, tag, {PLAIN.format(SPACED)} as text from d),
 f as (select * from e where tag <> 'text' and text <> '') select doc, row_number() over (partition by doc order by o) as k, tag,
 case tag when 'li' then 'authored-inline-ingredient' when 'h1' then 'authored-inline-title,name' else '' end as classes, text from f""")
 def rec02_profile(spark: SparkSession, d: str) -> DataFrame:
