@@ -18,7 +18,7 @@ def both(spark, folder, name, view):
     return sorted(map(tuple, ours.collect()), key=repr), sorted(theirs, key=repr)
 
 
-@pytest.mark.parametrize("name", ["doc03_leaves"])
+@pytest.mark.parametrize("name", ["doc03_leaves", "rec02_profile"])
 def test_cut_character_names(spark, tmp_path, name):
     heads = ["Salt &amp; pepper", "Salt &amp", "A &lt; b &gt", "Cut &am"]
     spark.createDataFrame([(i, HTML.format(h)) for i, h in enumerate(heads)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
