@@ -250,8 +250,9 @@ b as (select session, owner, seen, case when ended then 'ended' when o.generatio
 r as (select *, row_number() over (partition by owner, base order by seen desc, session desc) as k from b)
 select session, owner, case when base = 'live' and k > 2 then 'capped' else base end as status from r""")
 def use14_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """An owner's generation is the largest value, halves to the even number, modulo 3."""
     e = table(spark, d, "events")
-    owners = e.groupBy(F.col("user_id").alias("owner")).agg((F.round(F.max("value")).cast("int") % 3).alias("generation"))
+    owners = e.groupBy(F.col("user_id").alias("owner")).agg((F.rint(F.max("value")).cast("int") % 3).alias("generation"))
     k = F.get_json_object("props", "$.k").cast("int")
     rows = e.select(
         F.col("event_id").alias("session"), F.col("user_id").alias("owner"), (k % 3).alias("generation"), (F.col("ts") - F.expr("interval 20 days")).alias("started"),

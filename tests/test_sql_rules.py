@@ -25,3 +25,12 @@ def test_cut_character_names(spark, tmp_path, name):
     ours, theirs = both(spark, tmp_path, name, "pages")
     assert ours == theirs
     assert [r[-1] for r in ours if "h1" in r] == ["Salt & pepper", "Salt &", "A < b >", "Cut &am"]
+
+
+def test_generation_rounds_halves_to_even(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 30)
+    rows = [(1, 1, at, "view", 2.5, '{"k": 2}'), (2, 2, at, "view", 3.5, '{"k": 4}'), (3, 3, at, "view", 0.5, '{"k": 1}')]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    ours, theirs = both(spark, tmp_path, "use14_sessions", "events")
+    assert ours == theirs
+    assert [r[-1] for r in ours] == ["live", "live", "superseded"]
