@@ -25,15 +25,15 @@ class Index:
 def build_index(sections: DataFrame, weights: dict[str, float] | None = None) -> Index:
     """From sections(doc, <fields>): tf is the weighted sum over the fields; length counts all tokens.
 
-    Terms are counted per document before anything is shuffled.
+    Texts are shuffled once, by document: what follows by document, counts, lengths or hits, stays where it is.
     """
     weights = weights or {"text": 1.0}
-    tf = length = None
-    for field, weight in weights.items():
-        words = sections.select("doc", F.explode(tokens(F.col(field))).alias("term"), F.lit(float(weight)).alias("w"))
-        tf = words if tf is None else tf.unionByName(words)
+    weighed = lambda field, w: F.transform(tokens(F.col(field)), lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
+    none = F.array().cast("array<struct<term:string,w:double>>")
+    words = F.concat(*[F.coalesce(weighed(field, w), none) for field, w in weights.items()])
+    tf = sections.repartition("doc").select("doc", F.explode(words).alias("x")).select("doc", "x.term", "x.w")
     postings = tf.groupBy("term", "doc").agg(F.sum("w").alias("tf"), F.count("*").alias("n"))
-    stats = postings.groupBy("doc").agg(F.sum("n").alias("length"))
+    stats = tf.groupBy("doc").agg(F.count("*").alias("length"))
     vocab = postings.groupBy("term").agg(F.count("*").alias("df"))
     return Index(postings.select("term", "doc", "tf"), stats, vocab, postings)
 
@@ -58,11 +58,19 @@ def score(terms: DataFrame, index: Index, every: bool, visible: DataFrame | None
     """query_id, doc, score (smaller is better). every: all terms of the query must be in the document.
 
     Only visible documents are scored; document counts and lengths are those of the whole index.
+    Queries are few beside the index: their words go to all tasks, postings of other words are
+    never shuffled, and a document's hits are summed where its postings are. If every
+    term counts, only documents that have the rarest word of some query are looked at.
     """
     whole = index.stats.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
-    wanted = terms.join(index.vocab, "term")
-    postings = index.postings if visible is None else index.postings.join(visible.select("doc"), "doc", "left_semi")
-    hits = wanted.join(postings, "term").join(index.stats, "doc").join(F.broadcast(whole))  # one row
+    held = index.postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    wanted = terms.join(held.groupBy("term").agg(F.count("*").alias("df")), "term")
+    postings = held if visible is None else held.join(visible.select("doc"), "doc", "left_semi")
+    if every:
+        rare = wanted.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term")).select("term").distinct()
+        likely = postings.join(F.broadcast(rare), "term", "left_semi").select("doc").distinct()
+        postings = postings.join(likely, "doc", "left_semi")
+    hits = postings.join(index.stats, "doc").join(F.broadcast(wanted), "term").join(F.broadcast(whole))  # one row
     part = _idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     found = hits.groupBy("query_id", "doc").agg((-F.sum(part)).alias("score"), F.count("*").alias("n"), F.max("n_terms").alias("n_terms"))
     return (found.where("n = n_terms") if every else found).select("query_id", "doc", F.round("score", 6).alias("score"))
@@ -111,16 +119,27 @@ def passages(hits: DataFrame, texts: DataFrame, limit: int, least: int = 40) ->
     return one.withColumn("passage", F.row_number().over(order)).where(F.col("passage") <= limit).select("query_id", "doc", "span", "score", "passage")
 
 
-def fuzzy_terms(terms: DataFrame, vocab: DataFrame, edits: int = 2) -> DataFrame:
-    """query_id, term, match, gain: vocabulary words within the edits, of those that share the first letter.
+def near_words(terms: DataFrame, vocab: DataFrame, edits: int = 2) -> DataFrame:
+    """term, match, gain: for each distinct term the vocabulary words within the edits, of those that share the first letter.
 
     Length is blocked by explicit values, so the join is an equi-join on letter and length.
     """
-    left = terms.select("query_id", "term", F.substring("term", 1, 1).alias("head"), F.explode(F.sequence(F.length("term") - edits, F.length("term") + edits)).alias("size"))
+    left = terms.select("term").distinct().select("term", F.substring("term", 1, 1).alias("head"), F.explode(F.sequence(F.length("term") - edits, F.length("term") + edits)).alias("size"))
     right = vocab.select(F.col("term").alias("match"), F.substring("term", 1, 1).alias("head"), F.length("term").alias("size"))
     apart = F.levenshtein("term", "match", edits)
     near = left.join(right, ["head", "size"]).withColumn("apart", apart).where("apart >= 0")
-    return near.select("query_id", "term", "match", (1 - F.col("apart") / F.greatest(F.length("term"), F.lit(1))).alias("gain"))
+    return near.select("term", "match", (1 - F.col("apart") / F.greatest(F.length("term"), F.lit(1))).alias("gain"))
+
+
+def _best_gains(terms: DataFrame, index: Index, edits: int, shown: DataFrame | None = None) -> DataFrame:
+    """doc, term, gain: the best weight * (1 - edits / length) of a term in a document, once for all queries that have the term.
+
+    The words near the terms go to all tasks; postings stay where their document is.
+    """
+    near = near_words(terms, index.vocab, edits)
+    postings = index.postings if shown is None else index.postings.join(shown.select("doc"), "doc", "left_semi")
+    hits = postings.withColumnRenamed("term", "match").join(F.broadcast(near), "match")
+    return hits.groupBy("doc", "term").agg(F.max(F.col("gain") * F.col("tf")).alias("gain"))
 
 
 def search_fuzzy(queries: DataFrame, index: Index, targets: DataFrame, limit: int, edits: int = 2) -> DataFrame:
@@ -128,10 +147,8 @@ def search_fuzzy(queries: DataFrame, index: Index, targets: DataFrame, limit: in
 
     Ties go to the smaller target. Terms without any match are dropped.
     """
-    near = fuzzy_terms(query_terms(queries), index.vocab, edits)
-    hits = near.join(index.postings.withColumnRenamed("term", "match"), "match")
-    best = hits.groupBy("query_id", "doc", "term").agg(F.max(F.col("gain") * F.col("tf")).alias("gain"))
-    by_doc = best.groupBy("query_id", "doc").agg(F.sum("gain").alias("gain"))
+    words = query_terms(queries).select("query_id", "term")
+    by_doc = _best_gains(words, index, edits).join(F.broadcast(words), "term").groupBy("query_id", "doc").agg(F.sum("gain").alias("gain"))
     by_target = by_doc.join(targets, "doc").groupBy("query_id", "target").agg(F.round(F.max("gain"), 6).alias("gain"))
     order = W.partitionBy("query_id").orderBy(F.desc("gain"), "target")
     return by_target.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
@@ -156,9 +173,7 @@ def search_relaxed(
         if wanted is not None:
             shown = shown.where(F.col(column).isin(*wanted))
     words = queries.select("query_id", F.posexplode(F.array_distinct(tokens(F.col("query")))).alias("place", "term"))
-    near = fuzzy_terms(words, index.vocab, edits).join(words, ["query_id", "term"])
-    found = near.join(index.postings.withColumnRenamed("term", "match"), "match").join(shown.select("doc"), "doc", "left_semi")
-    best = found.groupBy("query_id", "doc", "place").agg(F.max(F.col("gain") * F.col("tf")).alias("gain"))
+    best = _best_gains(words, index, edits, shown).join(F.broadcast(words), "term").select("query_id", "doc", "place", "gain")
     # Places 0, 1, .. without a hole: a place's number among those found is the place itself.
     run = best.withColumn("n", F.row_number().over(W.partitionBy("query_id", "doc").orderBy("place")) - 1).where(F.col("n") == F.col("place"))
     scored = run.groupBy("query_id", "doc").agg(F.count("*").alias("words"), F.round(F.sum("gain"), 6).alias("gain")).join(shown.select("doc", "target", "edition", "kind"), "doc")
