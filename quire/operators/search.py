@@ -199,10 +199,15 @@ def search_catalog(books: DataFrame, needle: str) -> DataFrame:
     return found.orderBy("title", "source_id")
 
 
-def attach_aliases(hits: DataFrame, books: DataFrame) -> DataFrame:
-    """Every catalog record of a hit's source."""
-    by_source = books.groupBy("source_id").agg(F.array_sort(F.collect_set("book_id")).alias("aliases"))
-    return hits.join(by_source, "source_id", "left")
+def attach_aliases(hits: DataFrame, books: DataFrame, separator: str | None = None, parts: int = 200) -> DataFrame:
+    """Every catalog record of a hit's source, as an array or, with a separator, as a text that is made once for each source.
+
+    A long list is in the row of each hit, so the result may be much larger than both tables. Hits of
+    a source lie together in one of the parts, where a column's dictionary holds each list once.
+    """
+    records = F.array_sort(F.collect_set("book_id"))
+    by_source = books.groupBy("source_id").agg((records if separator is None else F.array_join(records, separator)).alias("aliases"))
+    return hits.repartition(parts, "source_id").join(by_source, "source_id", "left")
 
 
 def first_of(rows: DataFrame, by: list[str], order: list) -> DataFrame:

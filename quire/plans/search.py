@@ -234,7 +234,7 @@ def sea10_aliases(spark: SparkSession, d: str) -> DataFrame:
     books = _books(spark, d)
     lines = table(spark, d, "lineitem").join(books, F.col("l_partkey") == F.col("book_id"))
     hits = lines.select(F.col("l_orderkey").alias("hit"), F.col("l_linenumber").alias("line"), "source_id")
-    return S.attach_aliases(hits, books).withColumn("aliases", F.array_join("aliases", ","))
+    return S.attach_aliases(hits, books, ",")
 
 
 @query("""select event_id, user_id, event_type, value from (select *, row_number() over (partition by user_id, event_type order by value desc, event_id) as k from events) where k = 1""")
