@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions.text import tokens
@@ -154,6 +157,59 @@ def search_fuzzy(queries: DataFrame, index: Index, targets: DataFrame, limit: in
     return by_target.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
 
 
+def _first_words(found: DataFrame, queries: DataFrame, enough: int) -> DataFrame:
+    """query_id, words, gain and found's columns: in documents(doc, target, .., gains array of (term, gain)) the first words of each query.
+
+    Queries, few beside the index, go to all tasks. A document meets all of them while it is at hand, so pairs of a query
+    and a document are never sorted or shuffled. A task leaves out what can't be a hit: all but a target's best document, and
+    those with fewer words than `enough` targets of the task have.
+    """
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("words")).where("size(words) > 0").toArrow()
+    ids, words = asked.column("query_id").combine_chunks(), asked.column("words").to_pylist()
+    firsts: dict[str, list[int]] = {}
+    for i, w in enumerate(words):
+        firsts.setdefault(w[0], []).append(i)
+    kept = [c for c in found.columns if c != "gains"]
+    schema = found.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), F.lit(0).alias("words"), F.lit(0.0).alias("gain"), *kept).schema
+
+    def met(docs: pa.RecordBatch) -> pa.Table:
+        query, row, count, gain = [], [], [], []
+        for at, entries in enumerate(docs.column("gains").to_pylist()):
+            gains = {e["term"]: e["gain"] for e in entries}
+            for first in firsts.keys() & gains.keys():
+                for q in firsts[first]:
+                    n, total = 0, 0.0
+                    for word in words[q]:
+                        if word not in gains:
+                            break
+                        n, total = n + 1, total + gains[word]
+                    query.append(q), row.append(at), count.append(n), gain.append(total)
+        gain = pa.array((pd.Series(gain, dtype=float) * 1e6 + 0.5) // 1 / 1e6, pa.float64())
+        held = docs.select(kept).take(pa.array(row, pa.int64()))
+        return pa.table([ids.take(pa.array(query, pa.int64())), pa.array(count, pa.int32()), gain, *held.columns], names=["query_id", "words", "gain", *kept])
+
+    def best(rows: pa.Table) -> pa.Table:
+        frame = rows.to_pandas(types_mapper=pd.ArrowDtype).sort_values(["query_id", "words", "gain", "doc"], ascending=[True, False, False, True])
+        frame = frame.drop_duplicates(["query_id", "target"])
+        least = frame[frame.groupby("query_id", dropna=False).cumcount() == enough - 1].set_index("query_id")["words"]
+        least = frame["query_id"].map(least).fillna(1)
+        return pa.Table.from_pandas(frame[(frame["words"] >= least).to_numpy(bool)], rows.schema, preserve_index=False)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = None
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                new = met(batch.slice(start, 500))
+                rows = best(new if rows is None else pa.concat_tables([rows, new]))
+                if rows.num_rows > 200_000:
+                    yield from rows.combine_chunks().to_batches()
+                    rows = None
+        if rows is not None:
+            yield from rows.combine_chunks().to_batches()
+
+    return found.mapInArrow(fold, schema)
+
+
 def search_relaxed(
     queries: DataFrame, index: Index, units: DataFrame, limit: int, offset: int = 0, enough: int = 100, edits: int = 2, editions: list | None = None, kinds: list | None = None, candidates: bool = True
 ) -> tuple[DataFrame, DataFrame]:
@@ -172,11 +228,9 @@ def search_relaxed(
     for column, wanted in (("edition", editions), ("kind", kinds)):
         if wanted is not None:
             shown = shown.where(F.col(column).isin(*wanted))
-    words = queries.select("query_id", F.posexplode(F.array_distinct(tokens(F.col("query")))).alias("place", "term"))
-    best = _best_gains(words, index, edits, shown).join(F.broadcast(words), "term").select("query_id", "doc", "place", "gain")
-    # Places 0, 1, .. without a hole: a place's number among those found is the place itself.
-    run = best.withColumn("n", F.row_number().over(W.partitionBy("query_id", "doc").orderBy("place")) - 1).where(F.col("n") == F.col("place"))
-    scored = run.groupBy("query_id", "doc").agg(F.count("*").alias("words"), F.round(F.sum("gain"), 6).alias("gain")).join(shown.select("doc", "target", "edition", "kind"), "doc")
+    words = queries.select(F.explode(tokens(F.col("query"))).alias("term"))
+    gains = _best_gains(words, index, edits, shown).groupBy("doc").agg(F.collect_list(F.struct("term", "gain")).alias("gains"))
+    scored = _first_words(gains.join(shown.select("doc", "target", "edition", "kind"), "doc"), queries, enough)
     order = [F.desc("words"), F.desc("gain"), "doc"]
     one = first_of(scored, ["query_id", "target"], order)
     counts = one.groupBy("query_id", "words").agg(F.count("*").alias("n"))
