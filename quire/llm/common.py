@@ -199,17 +199,26 @@ def grams(hashes: np.ndarray, n: int, base: str = "gram") -> np.ndarray:
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(id, label): the smallest id that each id in edges (a, b) reaches.
 
-    Each round takes the least label among the neighbours and then follows
-    labels one step further, so a chain shrinks by more than half. Labels
-    stay distributed; only the count of changed ones comes to the driver.
-    An id with very many neighbours is salted.
+    An id with one neighbour takes no part in the rounds and gets its
+    neighbour's label in the end, so a star, however large, is one pass: rounds
+    label the others among themselves, then each of their components takes the
+    least of its ids and their neighbours. Each round takes the least label among
+    the neighbours and then follows labels one step further, so a chain
+    shrinks by more than half. Labels stay distributed; only the count of
+    changed ones comes to the driver. An id with very many neighbours is salted.
     """
     both = scratch.settle(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
-    labels = scratch.settle(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")))
-    hot = hot_keys(both, ["b"])
+    ids = scratch.settle(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("low"), F.count("*").alias("n"), F.min("b").alias("next")))
+    ends = ids.where("n = 1").select("id", "low", "next")
+    outer = ends.select(F.col("id").alias("a"), F.col("next").alias("b"))
+    inner = both.join(outer, ["a", "b"], "left_anti").join(outer.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    inner, hubs = scratch.settle(inner), ids.where("n > 1").select("id", "low")
+    first = inner.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near"))
+    labels = scratch.settle(hubs.join(first, "id", "left").select("id", F.least("id", "near").alias("label")))
+    hot = hot_keys(inner, ["b"])
     for _ in range(rounds):
-        near = salted_join(both, labels.select(F.col("id").alias("b"), "label"), ["b"], hot, ["a"]).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", F.least("label", "near").alias("mid"), F.col("label").alias("old"))
+        near = salted_join(inner, labels.select(F.col("id").alias("b"), "label"), ["b"], hot, ["a"]).groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        step = labels.join(near, "id", "left").select("id", F.least("label", "near").alias("mid"), F.col("label").alias("old"))
         jump = step.join(labels.select(F.col("id").alias("mid"), F.col("label").alias("far")), "mid", "left")
         moved, seen = jump.select("id", F.least("mid", F.coalesce("far", "mid")).alias("label"), "old"), Observation()
         moved = scratch.settle(moved.observe(seen, F.count_if(F.col("label") != F.col("old")).alias("changed")))
@@ -219,5 +228,10 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
             break
     else:
         raise RuntimeError("components did not settle; raise rounds")
-    scratch.drop(both)
-    return labels.select("id", "label")
+    tops = labels.join(hubs, "id").groupBy("label").agg(F.min("low").alias("top"))
+    named = scratch.settle(salted_join(labels, tops, ["label"], hot_keys(labels, ["label"]), ["id"]).select("id", F.col("top").alias("label")))
+    known = named.select(F.col("id").alias("next"), F.col("label").alias("far"))
+    given = salted_join(ends, known, ["next"], hot_keys(ends, ["next"]), ["id"], "left").select("id", F.coalesce("far", "low").alias("label"))
+    found = scratch.settle(given.union(named))
+    scratch.drop(both, ids, inner, labels, named)
+    return found
