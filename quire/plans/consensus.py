@@ -20,7 +20,7 @@ def _readings(spark: SparkSession, d: str) -> DataFrame:
     page, k = F.col("page"), F.col("k")
     more = F.when(page % 5 == 0, k.cast("string")).when(((page % 2 == 0) & (k == 2)) | ((page % 4 == 0) & (k == 3)), "1").otherwise("")
     lines = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, F.lit(r"\A([^0-9]*[0-9]+)"), F.concat(F.lit("$1"), more)))
-    return pages.select("page", F.lit(0).cast("long").alias("crop"), F.concat(F.lit("r"), k).alias("reader"), F.array_join(lines, "\n").alias("text"))
+    return pages.select("page", F.lit(0).cast("long").alias("crop"), F.concat(F.lit("r"), k).alias("reader"), F.when(F.col("text").rlike("[0-9]"), F.array_join(lines, "\n")).otherwise(F.col("text")).alias("text"))
 
 
 #: Lines with a digit and a letter as the first and second reader have them, with the reading that wins by position.
@@ -37,7 +37,9 @@ def trn03_votes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _patched(spark: SparkSession, d: str, reviewed: bool) -> DataFrame:
-    return R.patch_pages(_pages(spark, d), R.vote_lines(_readings(spark, d)), reviewed)
+    shared_folder(spark)
+    # Votes are few beside the text that they come from, and a patch asks for them several times.
+    return R.patch_pages(_pages(spark, d), R.vote_lines(_readings(spark, d)).checkpoint(), reviewed)
 
 
 PATCHED = rf"""with {LINES}, n as (select page, pos, counts and page % 4 = 0 and page % 5 > 0 as change, line, won from w)
