@@ -260,25 +260,33 @@ def budget_pages(nodes: DataFrame, most_bytes: int = 16_000, most_nodes: int = 1
 
 def mark_unresolved(texts: DataFrame, marks: DataFrame) -> DataFrame:
     """key, text: each mark (key, id, code, fragment) replaces its line: the exact one, else the first that holds it; else it is appended."""
+    held = marks.groupBy(F.col("key").alias("of")).agg(F.collect_list(F.struct("id", "code", "fragment")).alias("marks"))
+    rows = texts.select("key", "text").join(held, F.col("key").eqNullSafe(F.col("of")), "left").drop("of")
+    form = to_arrow_schema(T.StructType.fromDDL("key long, text string"))
+
+    def marked(text: str | None, signs: list[dict]) -> str:
+        lines = (text or "").split("\n")
+        for row in sorted(signs, key=lambda x: x["id"]):
+            sign, fragment = f"[unresolved {row['id']}: {row['code']}]", row["fragment"]
+            exact = next((i for i, x in enumerate(lines) if x == fragment), None)
+            inside = next((i for i, x in enumerate(lines) if fragment and fragment in x and "[unresolved" not in x), None) if exact is None else None
+            if exact is not None:
+                lines[exact] = sign
+            elif inside is not None:
+                lines[inside] = lines[inside].replace(fragment, sign, 1)
+            else:
+                lines.append(sign)
+        return "\n".join(lines)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # A slice at a time, so that its texts are few in memory.
+            for at in range(0, batch.num_rows, 500):
+                keys, bodies, signs = batch.slice(at, 500).columns
+                done = [marked(text, found or []) for text, found in zip(bodies.to_pylist(), signs.to_pylist())]
+                yield pa.RecordBatch.from_arrays([keys, pa.array(done, pa.string())], schema=form)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for key, text in zip(left["key"], left["text"]):
-            lines = (text or "").split("\n")
-            for row in right.sort_values("id").itertuples():
-                sign = f"[unresolved {row.id}: {row.code}]"
-                exact = [i for i, x in enumerate(lines) if x == row.fragment]
-                inside = [i for i, x in enumerate(lines) if row.fragment and row.fragment in x and "[unresolved" not in x]
-                if exact:
-                    lines[exact[0]] = sign
-                elif inside:
-                    lines[inside[0]] = lines[inside[0]].replace(row.fragment, sign, 1)
-                else:
-                    lines.append(sign)
-            out.append((key, "\n".join(lines)))
-        return pd.DataFrame(out, columns=["key", "text"])
-
-    return texts.groupBy("key").cogroup(marks.groupBy("key")).applyInPandas(run, "key long, text string")
+    return rows.mapInArrow(run, "key long, text string")
 
 
 def validate_layout(cells: DataFrame, lines: DataFrame, blocks: DataFrame) -> DataFrame:
