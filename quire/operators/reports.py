@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.functions.islands import with_islands
 from quire.functions.text import squash
@@ -233,18 +233,27 @@ def apply_in_order(texts: DataFrame, ledger: DataFrame) -> DataFrame:
     Per correction: applied if its text occurs once, stale if it doesn't,
     ambiguous if it does more than once. A unit's ledger is folded alone.
     """
+    held = ledger.groupBy(F.col("unit").alias("of")).agg(F.collect_list(F.struct("decided_at", "id", "from_text", "to_text")).alias("ledger"))
+    rows = texts.select("unit", "text").join(held, F.col("unit").eqNullSafe(F.col("of")), "left").drop("of")
+    schema = "unit long, id long, outcome string, text string"
+    form = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def fold(unit: int, text: str | None, corrections: list[dict]) -> list[tuple]:
         out = []
-        for unit, text in zip(left["unit"], left["text"]):
-            for row in right.sort_values(["decided_at", "id"]).itertuples():
-                n = text.count(row.from_text) if row.from_text else 0
-                state = {0: "stale", 1: "applied"}.get(n, "ambiguous")
-                if n == 1:
-                    text = text.replace(row.from_text, row.to_text)
-                out.append((unit, row.id, state, None))
-            out.append((unit, None, "text", text))
-        return pd.DataFrame(out, columns=["unit", "id", "outcome", "text"])
-
-    return texts.groupBy("unit").cogroup(ledger.groupBy("unit")).applyInPandas(fold, "unit long, id long, outcome string, text string")
+        for row in sorted(corrections, key=lambda x: [(v is None, v) for v in (x["decided_at"], x["id"])]):
+            n = text.count(row["from_text"]) if text and row["from_text"] else 0
+            if n == 1:
+                text = text.replace(row["from_text"], row["to_text"])
+            out.append((unit, row["id"], {0: "stale", 1: "applied"}.get(n, "ambiguous"), None))
+        return [*out, (unit, None, "text", text)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # A slice at a time, so that its texts are few in memory.
+            for at in range(0, batch.num_rows, 500):
+                units = zip(*(c.to_pylist() for c in batch.slice(at, 500).columns))
+                out = [x for unit, text, corrections in units for x in fold(unit, text, corrections or [])]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(form)], schema=form)
+
+    return rows.mapInArrow(run, schema)
 
