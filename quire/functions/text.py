@@ -54,15 +54,10 @@ def _compatible(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
 
-#: Characters that compatibility composition leaves as they are, alone and beside each other: a class of single ones, then of ranges.
-_KEPT = "".join(f"\\x{{{c:x}}}" for c in range(0x100) if unicodedata.normalize("NFKC", chr(c)) == chr(c)) + "\\x{100}-\\x{131}\\x{2012}-\\x{2016}\\x{2018}-\\x{2023}"
-
-
 def nfkc(text: Column | str) -> Column:
-    """Compatibility composition. Only texts with a character that it may change go through Python."""
+    """Compatibility composition. Only texts with a character of several bytes go through Python."""
     text = F.col(text) if isinstance(text, str) else text
-    other = (F.octet_length(text) > F.char_length(text)) & text.rlike(f"[^{_KEPT}]")
-    return F.coalesce(_compatible(F.when(other, text)), text)
+    return F.coalesce(_compatible(F.when(F.octet_length(text) > F.char_length(text), text)), text)
 
 
 def squash(text: Column) -> Column:
