@@ -4,25 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions.text import tokens
 
 #: BM25 constants of the full-text engine whose ranking is kept.
 K1, B = 1.2, 0.75
+#: Most rows of query words that come to the driver and go to all tasks.
+HELD = 100_000
 
 
 @dataclass
 class Index:
-    """postings(term, doc, tf), stats(doc, length), vocab(term, df), and counts(term, doc, tf, n) that they come from; sections keep title and text."""
+    """postings(term, doc, tf), stats(doc, length), vocab(term, df), and counts(term, doc, tf, n) that they come from; sections keep title and text.
+
+    words: doc and an array of tokens for each field, with the fields' weights.
+    """
 
     postings: DataFrame
     stats: DataFrame
     vocab: DataFrame
     counts: DataFrame
+    words: DataFrame
+    weights: list[float]
 
 
 def build_index(sections: DataFrame, weights: dict[str, float] | None = None) -> Index:
@@ -38,7 +48,8 @@ def build_index(sections: DataFrame, weights: dict[str, float] | None = None) ->
     postings = tf.groupBy("term", "doc").agg(F.sum("w").alias("tf"), F.count("*").alias("n"))
     stats = tf.groupBy("doc").agg(F.count("*").alias("length"))
     vocab = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return Index(postings.select("term", "doc", "tf"), stats, vocab, postings)
+    fields = sections.repartition("doc").select("doc", *[F.coalesce(tokens(F.col(f)), F.array().cast("array<string>")).alias(f"words_{f}") for f in weights])
+    return Index(postings.select("term", "doc", "tf"), stats, vocab, postings, fields, [float(w) for w in weights.values()])
 
 
 def query_terms(queries: DataFrame, most: int | None = None, stop: list[str] | None = None) -> DataFrame:
@@ -57,13 +68,10 @@ def _idf(n: Column, df: Column) -> Column:
     return F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
 
 
-def score(terms: DataFrame, index: Index, every: bool, visible: DataFrame | None = None) -> DataFrame:
-    """query_id, doc, score (smaller is better). every: all terms of the query must be in the document.
+def _score_pairs(terms: DataFrame, index: Index, every: bool, visible: DataFrame | None = None) -> DataFrame:
+    """As score, with a row for each query, document and word: for more query words than HELD.
 
-    Only visible documents are scored; document counts and lengths are those of the whole index.
-    Queries are few beside the index: their words go to all tasks, postings of other words are
-    never shuffled, and a document's hits are summed where its postings are. If every
-    term counts, only documents that have the rarest word of some query are looked at.
+    If every term counts, only documents that have the rarest word of some query are looked at.
     """
     whole = index.stats.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
     held = index.postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
@@ -79,6 +87,195 @@ def score(terms: DataFrame, index: Index, every: bool, visible: DataFrame | None
     return (found.where("n = n_terms") if every else found).select("query_id", "doc", F.round("score", 6).alias("score"))
 
 
+@dataclass
+class Asked:
+    """Words and queries as numbers: a query's words, their weights in it and how many it needs; words[i] is word i."""
+
+    ids: pa.Array
+    words: list[str]
+    word: np.ndarray
+    query: np.ndarray
+    need: np.ndarray
+    idf: np.ndarray
+    df: np.ndarray
+    every: bool
+
+    @classmethod
+    def of(cls, terms: pa.Table, every: bool) -> "Asked":
+        """From rows of query_id, term, n_terms; idf and df are set by `weigh`."""
+        codes = pc.dictionary_encode(terms.column("query_id").combine_chunks(), null_encoding="encode")
+        words = sorted(set(terms.column("term").to_pylist()))
+        word = pc.index_in(terms.column("term"), pa.array(words, pa.string())).to_numpy()
+        query = codes.indices.to_numpy(zero_copy_only=False)
+        need = np.zeros(len(codes.dictionary), np.int64)
+        np.maximum.at(need, query, terms.column("n_terms").to_numpy())
+        return cls(codes.dictionary, words, word.astype(np.int64), query.astype(np.int64), need, np.zeros(len(words)), np.zeros(len(words), np.int64), every)
+
+    def weigh(self, found: pa.Table) -> "Asked":
+        """With found(word, df, idf)."""
+        at = found.column("word").to_numpy()
+        self.idf[at], self.df[at] = found.column("idf").to_numpy(), found.column("df").to_numpy()
+        return self
+
+    @cached_property
+    def parts(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Queries in parts of 128: their numbers, the words that are in the index, and a weight for each word and query."""
+        out = []
+        for first in range(0, len(self.need), 128):
+            at = (self.query >= first) & (self.query < first + 128) & (self.df[self.word] > 0)
+            words, row = np.unique(self.word[at], return_inverse=True)
+            weight = np.zeros((len(words), min(128, len(self.need) - first)))
+            np.add.at(weight, (row, self.query[at] - first), self.idf[self.word[at]])
+            out.append((np.arange(first, first + weight.shape[1]), words, weight))
+        return out
+
+    @cached_property
+    def each(self) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Queries whose words are all in the index: number, rarest word, words and their weights."""
+        order = np.argsort(self.query, kind="stable")
+        cuts = np.searchsorted(self.query[order], np.arange(len(self.need) + 1))
+        out = []
+        for q in range(len(self.need)):
+            words = self.word[order[cuts[q] : cuts[q + 1]]]
+            if len(words) and len(words) == self.need[q] and (self.df[words] > 0).all():
+                out.append((q, int(words[np.argmin(self.df[words])]), words, self.idf[words]))
+        return out
+
+    def scores(self, x: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, query, score) of the hits in x, a row of impacts by word, whose score in millionths is no less than the query's least."""
+        rows, queries, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if self.every:
+            for q, rare, words, weight in self.each:
+                row = np.flatnonzero(x[:, rare])
+                if len(row):
+                    own = x[np.ix_(row, words)]
+                    row, score = row[(own > 0).all(1)], own[(own > 0).all(1)] @ weight
+                    good = millionths(score) >= least[q]
+                    rows.append(row[good]), queries.append(np.full(good.sum(), q)), found.append(score[good])
+        else:
+            for numbers, words, weight in self.parts:
+                score = x[:, words] @ weight
+                row, q = np.nonzero((score > 0) & (millionths(score) >= least[numbers]))
+                rows.append(row), queries.append(numbers[q]), found.append(score[row, q])
+        return np.concatenate(rows), np.concatenate(queries), np.concatenate(found)
+
+    def best(self, parts: Iterator[tuple[pa.Array, np.ndarray]], most: int | None, least: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """query_id, doc, score over (documents, impacts): all hits of a task or the `most` best of each query.
+
+        least, by query, rises to the last of the best, so that its reader may leave out what can't be among them.
+        """
+        least = np.full(len(self.need), -np.inf) if least is None else least
+        held, n = [], 0
+        for docs, x in parts:
+            row, query, score = self.scores(x, least)
+            if len(row):
+                held.append(pa.table([pa.array(query), docs.take(pa.array(row)), pa.array(score), pa.array(-millionths(score))], names=["query", "doc", "score", "rank"]))
+                n += len(row)
+            if most is None or n > 2 * most * len(self.need) + 1000:
+                held = self._kept(held, most, least) if most is not None else held
+                if most is None and held:
+                    yield self._named(held)
+                    held = []
+                n = sum(len(t) for t in held)
+        if held:
+            yield self._named(self._kept(held, most, least) if most is not None else held)
+
+    def _kept(self, held: list[pa.Table], most: int, least: np.ndarray) -> list[pa.Table]:
+        rows = pa.concat_tables(held).sort_by([("query", "ascending"), ("rank", "ascending"), ("doc", "ascending")])
+        query, rank = rows.column("query").to_numpy(), rows.column("rank").to_numpy()
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = place == most - 1
+        least[query[last]] = -rank[last]
+        return [rows.filter(pa.array(place < most))]
+
+    def _named(self, held: list[pa.Table]) -> pa.RecordBatch:
+        rows = pa.concat_tables(held).combine_chunks()
+        query, doc, score = (rows.column(c).combine_chunks() for c in ("query", "doc", "score"))
+        return pa.RecordBatch.from_arrays([self.ids.take(query), doc, pc.negate(score)], names=["query_id", "doc", "score"])
+
+
+def millionths(score: np.ndarray) -> np.ndarray:
+    return np.floor(score * 1e6 + 0.5)
+
+
+def _asked_counts(index: Index, words: list[str]) -> DataFrame:
+    """doc, length, terms, tfs: a document's number of tokens, and the numbers and weighted counts of the words asked for.
+
+    Tokens are told apart while a document is at hand, so only a row for each document is written and read again.
+    """
+    weights, n_words = index.weights, len(words)
+    known, step = pa.array(words, pa.string()), max(1, min(500, 2_000_000 // n_words))
+    schema = index.words.select("doc", F.lit(0).cast("long").alias("length"), F.array().cast("array<int>").alias("terms"), F.array().cast("array<double>").alias("tfs")).schema
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            length, found = np.zeros(n, np.int64), []
+            for column in batch.columns[1:]:
+                offsets = column.offsets.to_numpy()
+                at = pc.index_in(column.values.slice(offsets[0], offsets[-1] - offsets[0]), known).fill_null(-1).to_numpy()
+                found.append((offsets - offsets[0], at))
+                length += np.diff(offsets)
+            for first in range(0, n, step):
+                to = min(n, first + step)
+                tf = np.zeros((to - first) * n_words)
+                for weight, (offsets, at) in zip(weights, found):
+                    own = at[offsets[first] : offsets[to]].astype(np.int64)
+                    key = np.repeat(np.arange(to - first) * n_words, np.diff(offsets[first : to + 1])) + own
+                    tf += weight * np.bincount(key[own >= 0], minlength=len(tf))
+                key = np.flatnonzero(tf)
+                bounds = pa.array(np.searchsorted(key, np.arange(to - first + 1) * n_words), pa.int32())
+                terms = pa.ListArray.from_arrays(bounds, pa.array(key % n_words, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, to - first), pa.array(length[first:to]), terms, pa.ListArray.from_arrays(bounds, pa.array(tf[key]))], names=["doc", "length", "terms", "tfs"])
+
+    rows = index.words.mapInArrow(counted, schema).where("length > 0")
+    # Rows that repeat a document are one; texts have been dealt by document, so hardly anything moves.
+    lists = F.collect_list(F.struct("terms", "tfs")).alias("x")
+    rows = rows.groupBy("doc").agg(F.sum("length").alias("length"), lists)
+    return rows.select("doc", "length", F.flatten("x.terms").alias("terms"), F.flatten("x.tfs").alias("tfs"))
+
+
+def score(terms: DataFrame, index: Index, every: bool, visible: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """query_id, doc, score (smaller is better). every: all terms of the query must be in the document.
+
+    Only visible documents are scored; document counts and lengths are those of the whole index.
+    Queries are few beside the index: their words go to all tasks, and a document meets all
+    queries while it is at hand. No row of a query, document and word is made, and with
+    `most` a task gives no more than a query's best hits, at least as many as that.
+    """
+    asked = terms.select("query_id", "term", "n_terms").limit(HELD + 1).toArrow()
+    if asked.num_rows > HELD:
+        return _score_pairs(terms, index, every, visible)
+    out = terms.select("query_id").limit(0).crossJoin(index.words.select("doc").limit(0)).select("query_id", "doc", F.lit(0.0).alias("score"))
+    if not asked.num_rows:
+        return out
+    asked = Asked.of(asked, every)
+    spark, held = terms.sparkSession, _asked_counts(index, asked.words)
+    if spark.sparkContext.getCheckpointDir():
+        held = held.checkpoint()  # texts are tokenized once
+    whole = held.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length")).first()
+    df = held.select(F.explode(F.array_distinct("terms")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    asked.weigh(df.select("word", "df", _idf(F.lit(whole["n_docs"]), F.col("df")).alias("idf")).toArrow())
+    rows = held.where("doc is not null and size(terms) > 0")
+    rows = rows if visible is None else rows.join(visible.select("doc"), "doc", "left_semi")
+    average, n_words = whole["avg_length"], len(asked.words)
+    step = max(1, min(500, 2_000_000 // n_words))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            words, tf = batch.column("terms").flatten().to_numpy(), batch.column("tfs").flatten().to_numpy()
+            sizes, length = np.diff(batch.column("terms").offsets.to_numpy()), batch.column("length").to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            count = np.zeros((batch.num_rows, n_words))
+            np.add.at(count, (row, words), tf)
+            tf = count[row, words]
+            count[row, words] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / average))
+            yield batch.column("doc"), count
+
+    hits = rows.select("doc", "length", "terms", "tfs").mapInArrow(lambda batches: asked.best(parts(batches), most), out.schema)
+    return hits.select("query_id", "doc", F.round("score", 6).alias("score"))
+
+
 def page(hits: DataFrame, limit: int, offset: int = 0, by: str = "query_id") -> DataFrame:
     """A page of each query's hits: pos from 1 and next_offset, null at the end."""
     order = W.partitionBy(by).orderBy("score", "doc")
@@ -100,7 +297,7 @@ def scope(docs: DataFrame, sources: list[str] | None = None, lang: str | None =
 
 def search(queries: DataFrame, index: Index, visible: DataFrame | None, limit: int, offset: int = 0) -> DataFrame:
     """Every word must be found; filters decide visibility only."""
-    return page(score(query_terms(queries), index, True, visible), limit, offset)
+    return page(score(query_terms(queries), index, True, visible, offset + limit + 1), limit, offset)
 
 
 def search_any(queries: DataFrame, index: Index, stop: list[str], limit: int, expansions: DataFrame | None = None) -> DataFrame:
@@ -111,7 +308,7 @@ def search_any(queries: DataFrame, index: Index, stop: list[str], limit: int, ex
         both = terms.withColumn("own", F.lit(0)).unionByName(more.withColumn("own", F.lit(1))).groupBy("query_id", "term").agg(F.min("own").alias("own"))
         order = W.partitionBy("query_id").orderBy("own", "term")
         terms = both.withColumn("k", F.row_number().over(order)).where("k <= 40").select("query_id", "term")
-    return page(score(terms.withColumn("n_terms", F.lit(0)), index, every=False), limit)
+    return page(score(terms.withColumn("n_terms", F.lit(0)), index, every=False, most=limit + 1), limit)
 
 
 def passages(hits: DataFrame, texts: DataFrame, limit: int, least: int = 40) -> DataFrame:
