@@ -18,16 +18,17 @@ found and counts for no statistic; an empty table gives an index that finds noth
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from quire.operators.search import B, K1, _idf, build_index, page, query_terms
+from quire.operators.search import B, HELD, K1, Asked, _idf, build_index, millionths, page, query_terms
 
 TERMS = "term string, df long, idf double, bucket int"
 BLOCKS = "term string, run long, n int, top double, docs array<long>, impacts array<double>, bucket int"
-#: Most rows of query words that come to the driver and stand in the plan.
-HELD = 100_000
 
 
 @dataclass(frozen=True)
@@ -40,11 +41,12 @@ class Layout:
 
 @dataclass
 class StoredIndex:
-    """terms(bucket, term, df, idf) and blocks(bucket, term, run, n, top, docs, impacts)."""
+    """terms(bucket, term, df, idf), blocks(bucket, term, run, n, top, docs, impacts) and docs(doc, length, run)."""
 
     terms: DataFrame
     blocks: DataFrame
     layout: Layout
+    docs: DataFrame
 
 
 def _bucket(p: Layout):
@@ -79,7 +81,7 @@ def write_index(sections: DataFrame, path: str, weights: dict[str, float] | None
 def read_index(spark: SparkSession, path: str) -> StoredIndex:
     size = spark.read.parquet(f"{path}/whole").first()
     terms, blocks = spark.read.schema(TERMS).parquet(f"{path}/terms"), spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    return StoredIndex(terms, blocks, Layout(size["buckets"], size["block"], size["ahead"]))
+    return StoredIndex(terms, blocks, Layout(size["buckets"], size["block"], size["ahead"]), spark.read.schema("doc long, length long, run long").parquet(f"{path}/docs"))
 
 
 def _opened(runs: DataFrame, wanted: DataFrame, blocks: DataFrame, every: bool) -> DataFrame:
@@ -97,24 +99,96 @@ def bounded_runs(wanted: DataFrame, blocks: DataFrame, every: bool) -> DataFrame
     return (runs.where("n = n_terms") if every else runs).select("query_id", "run", "bound")
 
 
-def _held(rows: DataFrame, most: int = HELD) -> tuple[DataFrame, int | None]:
-    """The rows as a local relation and their number if they are at most `most`; else the rows as they are."""
-    found = rows.limit(most + 1).toArrow()
-    return (rows.sparkSession.createDataFrame(found, rows.schema), found.num_rows) if found.num_rows <= most else (rows, None)
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each run, of rows that are sorted by run."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        run = rows.column("run").to_numpy()
+        cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist()]
+        for i, j in zip(cuts, cuts[1:]):
+            yield rows.slice(i, j - i)
+        held = rows.slice(cuts[-1]) if len(run) else held
+    if held is not None:
+        yield held
+
+
+def bounds(tops: np.ndarray, asked: Asked) -> np.ndarray:
+    """The largest score in millionths that each query can have in a run with these impacts at most; below zero where it can't have a hit."""
+    most = np.full(len(asked.need), -1.0)
+    if asked.every:
+        for q, _, words, weight in asked.each:
+            if (tops[words] > 0).all():
+                most[q] = millionths(tops[words] @ weight)
+    else:
+        for numbers, words, weight in asked.parts:
+            score = tops[words] @ weight
+            most[numbers] = np.where(score > 0, millionths(score), -1)
+    return most
+
+
+def _opened_runs(batches: Iterator[pa.RecordBatch], asked: Asked, least: np.ndarray, some: bool) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(documents, impacts by word) of the runs in which a query may still have a hit. some: a row of word -1 lists the documents that may be shown."""
+    for rows in _runs(batches):
+        rows = rows.combine_chunks()
+        word, top = rows.column("word").to_numpy(), rows.column("top").to_numpy()
+        real = word >= 0
+        if some and real.all():
+            continue
+        tops = np.zeros(len(asked.words))
+        tops[word[real]] = top[real]
+        if not (bounds(tops, asked) >= np.maximum(least - 1, 0)).any():
+            continue
+        lists = rows.column("docs").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        docs, impacts = lists.flatten().to_numpy(), rows.column("impacts").combine_chunks().flatten().to_numpy()
+        of = np.repeat(word, sizes)
+        shown = np.unique(docs[of < 0] if some else docs)
+        docs, of = docs[of >= 0], of[of >= 0]
+        place = np.minimum(np.searchsorted(shown, docs), len(shown) - 1)
+        good = shown[place] == docs
+        x = np.zeros((len(shown), len(asked.words)))
+        x[place[good], of[good]] = impacts[good]
+        for first in range(0, len(shown), 500):
+            yield pa.array(shown[first : first + 500]), x[first : first + 500]
 
 
 def top_hits(terms: DataFrame, index: StoredIndex, every: bool, most: int, visible: DataFrame | None = None) -> DataFrame:
     """query_id, doc, score: at least the `most` best visible hits of each query, and no wrong ones. terms: query_id, term, n_terms.
 
-    The words of up to HELD rows are looked up once and then part of the plan; a larger batch of queries stays distributed.
+    The words of up to HELD rows are looked up once and go to all tasks; a larger batch of queries stays distributed.
     """
-    p = index.layout
-    terms, n = _held(terms.withColumn("bucket", _bucket(p)))
-    known, blocks = index.terms, index.blocks
-    if n is not None:
-        used = sorted(set(terms.toArrow().column("bucket").to_pylist()))  # partitions to read: at most p.buckets numbers
-        known, blocks = known.where(F.col("bucket").isin(used)), blocks.where(F.col("bucket").isin(used))
-    wanted = _held(terms.join(known, ["bucket", "term"]).select("query_id", "bucket", "term", "n_terms", "idf"))[0]
+    p, spark = index.layout, terms.sparkSession
+    asked = terms.select("query_id", "term", "n_terms").limit(HELD + 1).toArrow()
+    if asked.num_rows > HELD:
+        return _joined_hits(terms, index, every, most, visible)
+    out = terms.select("query_id", F.lit(0).cast("long").alias("doc"), F.lit(0.0).alias("score"))
+    if not asked.num_rows:
+        return out.limit(0)
+    asked = Asked.of(asked, every)
+    words = spark.createDataFrame(list(enumerate(asked.words)), "word int, term string").withColumn("bucket", _bucket(p))
+    used = sorted({r["bucket"] for r in words.select("bucket").distinct().collect()})  # partitions to read: at most p.buckets numbers
+    known, blocks = index.terms.where(F.col("bucket").isin(used)), index.blocks.where(F.col("bucket").isin(used))
+    asked.weigh(known.join(F.broadcast(words), ["bucket", "term"]).select("word", "df", "idf").toArrow())
+    # Words of no query move neither lists nor heads.
+    rows = blocks.join(F.broadcast(words), ["bucket", "term"]).select("run", "word", "top", "docs", "impacts")
+    if visible is not None:
+        shown = index.docs.join(visible.select("doc"), "doc", "left_semi").groupBy("run").agg(F.collect_list("doc").alias("docs"))
+        rows = rows.unionByName(shown.select("run", F.lit(-1).alias("word"), F.lit(0.0).alias("top"), "docs", F.array().cast("array<double>").alias("impacts")))
+    some = visible is not None
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.full(len(asked.need), -np.inf)
+        return asked.best(_opened_runs(batches, asked, least, some), most, least)
+
+    hits = rows.repartition("run").sortWithinPartitions("run").mapInArrow(found, out.schema)
+    return hits.select("query_id", "doc", F.round("score", 6).alias("score"))
+
+
+def _joined_hits(terms: DataFrame, index: StoredIndex, every: bool, most: int, visible: DataFrame | None) -> DataFrame:
+    """As top_hits, by joins."""
+    p, blocks = index.layout, index.blocks
+    wanted = terms.withColumn("bucket", _bucket(p)).join(index.terms, ["bucket", "term"]).select("query_id", "bucket", "term", "n_terms", "idf")
     shown = lambda hits: hits if visible is None else hits.join(visible.select("doc"), "doc", "left_semi").select("query_id", "doc", "score")
     ranked = bounded_runs(wanted, blocks, every).withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy("bound", "run")))
     first = shown(_opened(ranked.where(F.col("k") <= p.ahead), wanted, blocks, every))

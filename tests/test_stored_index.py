@@ -92,3 +92,17 @@ def test_accents(spark):
     texts = ["".join(chr(rng.randrange(*rng.choice(places))) for _ in range(20)) for _ in range(400)] + [None, "", "abc", "한글 Été"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.strip_accents(F.col("t")).alias("bare")).collect()
     assert all(r["bare"] == (None if r["t"] is None else T._bare(r["t"])) for r in got)
+
+
+def test_a_posting_moves_once_for_all_queries(spark, sections, queries, tmp_path):
+    index, fresh = stored(spark, sections, tmp_path, buckets=4, block=16), S.build_index(sections)
+    for every in (True, False):
+        terms = S.query_terms(queries)
+        hits = I.top_hits(terms, index, every, 3, sections.where("doc % 2 = 0"))
+        assert "Join [query_id" not in hits._jdf.queryExecution().executedPlan().toString()
+        slow = sorted((r["query_id"], r["score"], r["doc"]) for r in S._score_pairs(terms, fresh, every, sections.where("doc % 2 = 0")).collect())
+        got = sorted((r["query_id"], r["score"], r["doc"]) for r in hits.collect())
+        first = lambda rows: [r for i, r in enumerate(rows) if i < 3 or rows[i - 3][0] != r[0]]
+        assert first(got) == first(slow)
+        joined = sorted((r["query_id"], r["score"], r["doc"]) for r in I._joined_hits(terms, index, every, 3, sections.where("doc % 2 = 0")).collect())
+        assert first(joined) == first(slow)
