@@ -6,14 +6,17 @@ posting lies its impact, the part of BM25 that doesn't depend on the query, and
 with each block the largest of them. Blocks are partitioned by a hash of the
 term and sorted by term, so a search reads the partitions of its terms.
 
-A search first reads the heads of its terms' blocks only: for each run of
-documents the heads say whether all terms are there and how large a score can
-be. The most promising runs of a query are opened first; a run whose bound is
-below the last score that the page needs is never opened.
+Documents are dealt by ranges of their ids, so the blocks of a run are made
+where its texts are. A search deals the blocks of its words by run: a run meets
+all queries in one task, and a posting moves once for however many queries. The
+heads of a run's blocks say how large a score can be there; a run whose bound is
+below the last of the best scores that its task has for a query is not opened
+for it. More query words than HELD are joined instead: heads first, then the
+most promising runs of each query, then those whose bound the last score leaves.
 
 Defined results: those of `search.search` and `search.search_any` on the same
 sections. A query without words finds nothing; a document without words is not
-found and counts for no statistic; an empty table gives an index that finds nothing.
+found and counts for no statistic, nor does one without id; an empty table gives an index that finds nothing.
 """
 
 from __future__ import annotations
@@ -25,9 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from quire.operators.search import B, HELD, K1, Asked, _idf, build_index, millionths, page, query_terms
+from quire.functions.text import tokens
+from quire.operators.search import B, HELD, K1, Asked, _idf, millionths, page, query_terms
 
 TERMS = "term string, df long, idf double, bucket int"
+RUNS = "term string, run long, docs array<long>, tfs array<double>, lengths array<long>"
 BLOCKS = "term string, run long, n int, top double, docs array<long>, impacts array<double>, bucket int"
 
 
@@ -53,28 +58,84 @@ def _bucket(p: Layout):
     return F.pmod(F.xxhash64("term"), F.lit(p.buckets)).cast("int").alias("bucket")
 
 
+def _run_blocks(batches: Iterator[pa.RecordBatch], weights: list[float], block: int, first: int) -> Iterator[pa.RecordBatch]:
+    """term, run, docs, tfs, lengths of each word of a run of documents, and a row without term for each run, over rows in the order of doc.
+
+    Runs are numbered from `first`. Rows that repeat a document are one, and one without words is in no run.
+    """
+
+    def blocks(rows: pa.RecordBatch, doc: np.ndarray, start: int) -> pa.RecordBatch:
+        number = np.concatenate([[0], np.cumsum(doc[1:] != doc[:-1])])
+        n = int(number[-1]) + 1
+        ids = doc[np.searchsorted(number, np.arange(n))]
+        values, owner, weight, length = [], [], [], np.zeros(n, np.int64)
+        for w, column in zip(weights, rows.columns[1:]):
+            sizes = np.diff(column.offsets.to_numpy())
+            values.append(column.flatten()), owner.append(np.repeat(number, sizes)), weight.append(np.full(sizes.sum(), w))
+            np.add.at(length, number, sizes)
+        coded = pa.concat_arrays(values).dictionary_encode()
+        key, place = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.concatenate(owner), return_inverse=True)
+        tf, code, at = np.bincount(place, np.concatenate(weight), len(key)), key // n, key % n
+        run = at // block
+        cuts = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (run[1:] != run[:-1])]))
+        whole = np.arange(0, n, block)
+        terms = pa.concat_arrays([coded.dictionary.take(pa.array(code[cuts])), pa.nulls(len(whole), pa.string())])
+        offsets = pa.array(np.concatenate([cuts, len(at) + whole, [len(at) + n]]), pa.int32())
+        lists = [np.concatenate(x) for x in ((ids[at], ids), (tf, np.zeros(n)), (length[at], length))]
+        runs = pa.array(start + np.concatenate([run[cuts], whole // block]))
+        return pa.RecordBatch.from_arrays([terms, runs, *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in lists)], names=["term", "run", "docs", "tfs", "lengths"])
+
+    held = None
+    for batch in batches:
+        full = sum(np.diff(c.offsets.to_numpy()) for c in batch.columns[1:]) > 0
+        rows = pa.Table.from_batches([batch.filter(pa.array(full))])
+        rows = (rows if held is None else pa.concat_tables([held, rows])).combine_chunks()
+        if not rows.num_rows:
+            continue
+        doc = rows.column(0).to_numpy()
+        number = np.concatenate([[0], np.cumsum(doc[1:] != doc[:-1])])
+        # The last document may go on, so its run stays open.
+        done = int(number[-1]) // block
+        cut = int(np.searchsorted(number, done * block))
+        if cut:
+            yield blocks(rows.slice(0, cut).to_batches()[0], doc[:cut], first)
+        first, held = first + done, rows.slice(cut)
+    if held is not None and held.num_rows:
+        yield blocks(held.combine_chunks().to_batches()[0], held.column(0).to_numpy(), first)
+
+
 def write_index(sections: DataFrame, path: str, weights: dict[str, float] | None = None, layout: Layout = Layout()) -> None:
-    """Write the index of sections(doc long, <fields>) to a new folder. The table `whole` comes last: without it there is no index."""
+    """Write the index of sections(doc long, <fields>) to a new folder. The table `whole` comes last: without it there is no index.
+
+    Texts are dealt by ranges of documents, so the blocks of a run are made where its texts are and only whole blocks move to their terms.
+    """
     spark, p = sections.sparkSession, layout
-    build_index(sections, weights).counts.write.parquet(f"{path}/counts")
-    counts = spark.read.parquet(f"{path}/counts")
+    weights = weights or {"text": 1.0}
     # Documents in the order of their ids; a run is a stretch of them.
-    lengths = counts.groupBy("doc").agg(F.sum("n").alias("length"))
-    lengths.repartitionByRange("doc").sortWithinPartitions("doc").select(
-        "doc", "length", F.floor(F.monotonically_increasing_id() / p.block).alias("run")
-    ).write.parquet(f"{path}/docs")
-    docs = spark.read.parquet(f"{path}/docs")
-    whole = docs.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"), F.lit(p.buckets).alias("buckets"), F.lit(p.block).alias("block"), F.lit(p.ahead).alias("ahead"))
+    dealt = sections.where("doc is not null").select("doc", *weights).repartitionByRange("doc").sortWithinPartitions("doc")
+    words = dealt.select("doc", *[F.coalesce(tokens(F.col(f)), F.array().cast("array<string>")).alias(f"words_{i}") for i, f in enumerate(weights)])
+
+    def run_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        yield from _run_blocks(batches, [float(w) for w in weights.values()], p.block, TaskContext.get().partitionId() << 32)
+
+    words.mapInArrow(run_blocks, RUNS).write.parquet(f"{path}/runs")
+    runs = spark.read.schema(RUNS).parquet(f"{path}/runs")
+    docs = runs.where("term is null").select("run", F.explode(F.arrays_zip("docs", "lengths")).alias("d"))
+    docs.select("d.docs", "d.lengths", "run").toDF("doc", "length", "run").write.parquet(f"{path}/docs")
+    whole = spark.read.parquet(f"{path}/docs").agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"), F.lit(p.buckets).alias("buckets"), F.lit(p.block).alias("block"), F.lit(p.ahead).alias("ahead"))
     size = whole.first()
-    terms = counts.groupBy("term").agg(F.count("*").alias("df"))
+    held = runs.where("term is not null")
+    terms = held.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
     terms = terms.select(_bucket(p), "term", "df", _idf(F.lit(size["n_docs"]), F.col("df")).alias("idf"))
     terms.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
-    share = F.col("length") / F.lit(size["avg_length"] or 1.0)
-    impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * share))
-    placed = counts.join(docs, "doc").select("term", "run", F.struct("doc", impact.alias("impact")).alias("p"))
-    blocks = placed.groupBy("term", "run").agg(F.sort_array(F.collect_list("p")).alias("p"), F.max("p.impact").alias("top"))
-    blocks = blocks.select(_bucket(p), "term", "run", F.size("p").alias("n"), "top", F.col("p.doc").alias("docs"), F.col("p.impact").alias("impacts"))
-    blocks.repartitionByRange("bucket", "term", "run").sortWithinPartitions("bucket", "term", "run").write.partitionBy("bucket").parquet(f"{path}/blocks")
+    impact = lambda tf, length: tf * (K1 + 1) / (tf + K1 * (1 - B + B * (length / F.lit(size["avg_length"] or 1.0))))
+    # A block moves as it is; impacts are worked out where it is written.
+    placed = held.withColumn("bucket", _bucket(p)).repartitionByRange("bucket", "term", "run").sortWithinPartitions("bucket", "term", "run")
+    impacts = placed.select("bucket", "term", "run", "docs", F.zip_with("tfs", "lengths", impact).alias("impacts"))
+    blocks = impacts.select("bucket", "term", "run", F.size("docs").alias("n"), F.array_max("impacts").alias("top"), "docs", "impacts")
+    blocks.write.partitionBy("bucket").parquet(f"{path}/blocks")
     whole.write.parquet(f"{path}/whole")
 
 

@@ -3,6 +3,7 @@
 import random
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -106,3 +107,16 @@ def test_a_posting_moves_once_for_all_queries(spark, sections, queries, tmp_path
         assert first(got) == first(slow)
         joined = sorted((r["query_id"], r["score"], r["doc"]) for r in I._joined_hits(terms, index, every, 3, sections.where("doc % 2 = 0")).collect())
         assert first(joined) == first(slow)
+
+
+def test_blocks_of_runs_over_batches():
+    rows = [(1, ["a", "b"], ["a"]), (2, [], []), (3, [], ["b", "b"]), (3, ["c"], []), (4, ["a"], ["a"]), (9, ["c"], []), (9, [], ["c", "a"])]
+    kind = pa.list_(pa.string())
+    whole = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], kind)], names=["doc", "words_0", "words_1"])
+    want = {
+        (7, "a"): [(1, 6.0, 3)], (7, "b"): [(1, 5.0, 3), (3, 2.0, 3)], (7, "c"): [(3, 5.0, 3)], (7, None): [(1, 0.0, 3), (3, 0.0, 3)],
+        (8, "a"): [(4, 6.0, 2), (9, 1.0, 3)], (8, "c"): [(9, 6.0, 3)], (8, None): [(4, 0.0, 2), (9, 0.0, 3)],
+    }
+    for step in (1, 2, 3, 7):
+        found = [r for b in I._run_blocks((whole.slice(i, step) for i in range(0, 7, step)), [5.0, 1.0], 2, 7) for r in b.to_pylist()]
+        assert {(r["run"], r["term"]): list(zip(r["docs"], r["tfs"], r["lengths"])) for r in found} == want and len(found) == len(want)
