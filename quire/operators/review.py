@@ -68,12 +68,17 @@ def assign_lines(points: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def ocr_triage(words: DataFrame, least: float = 60.0) -> DataFrame:
-    """page, text, mean_confidence weighted by length, reasons, from words(page, line, pos, word, confidence)."""
-    lines = words.groupBy("page", "line").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"), F.sum(F.col("confidence") * F.length("word")).alias("c"), F.sum(F.length("word")).alias("n"))
-    pages = lines.groupBy("page").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("t")))), lambda x: x["t"]), "\n").alias("text"),
-        F.round(F.sum("c") / F.sum("n"), 6).alias("mean_confidence"),
-    )
+    """page, text, mean_confidence weighted by length, reasons, from words(page, line, pos, word, confidence); line and pos are below 2^47.
+
+    A word moves once, to its page, as one string: its line and place as digits that sort as they do, then itself. Null words come last in their line.
+    """
+    digits = lambda c: F.lpad(F.hex(F.coalesce(F.col(c).cast("long"), F.lit(-(2**47))) + F.lit(2**47)), 12, "0")
+    entry = F.concat(digits("line"), F.when(F.col("word").isNull(), "1").otherwise("0"), digits("pos"), F.coalesce("word", F.lit("")))
+    rows = words.groupBy("page").agg(F.array_sort(F.collect_list(entry)).alias("w"), F.sum(F.col("confidence") * F.length("word")).alias("c"), F.sum(F.length("word")).alias("n"))
+    line = lambda x: F.substring(x, 1, 12)
+    after = lambda x, i: F.when(i == 0, "").when(line(x) != line(F.get("w", i - 1)), "\n").when(F.substring(x, 13, 1) == "1", "").otherwise(" ")
+    text = F.array_join(F.transform("w", lambda x, i: F.concat(after(x, i), F.substring(x, 26, 2**31 - 1))), "")
+    pages = rows.select("page", text.alias("text"), F.round(F.col("c") / F.col("n"), 6).alias("mean_confidence"))
     reasons = F.array_compact(F.array(F.when(F.col("mean_confidence") < least, F.lit("low confidence")), F.when(F.length("text") < 200, F.lit("short")), F.when(F.col("text").rlike(r"\d"), F.lit("numbers"))))
     return pages.withColumn("reasons", F.array_join(reasons, ","))
 
