@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from quire.functions.text import tokens
 
@@ -18,18 +17,21 @@ from quire.functions.text import tokens
 K1, B = 1.2, 0.75
 #: Most rows of query words that come to the driver and go to all tasks.
 HELD = 100_000
+#: Most words whose counts in a part of the documents are laid out in full; of more words only those that are there are sorted.
+DENSE = 10_000
 
 
 @dataclass
 class Index:
     """postings(term, doc, tf), stats(doc, length), vocab(term, df), and counts(term, doc, tf, n) that they come from; sections keep title and text.
 
-    words: doc and an array of tokens for each field, with the fields' weights.
+    words: doc and an array of tokens for each field, with the fields' weights. terms: the distinct tokens.
     """
 
     postings: DataFrame
     stats: DataFrame
     vocab: DataFrame
+    terms: DataFrame
     counts: DataFrame
     words: DataFrame
     weights: list[float]
@@ -49,7 +51,14 @@ def build_index(sections: DataFrame, weights: dict[str, float] | None = None) ->
     stats = tf.groupBy("doc").agg(F.count("*").alias("length"))
     vocab = postings.groupBy("term").agg(F.count("*").alias("df"))
     fields = sections.repartition("doc").select("doc", *[F.coalesce(tokens(F.col(f)), F.array().cast("array<string>")).alias(f"words_{f}") for f in weights])
-    return Index(postings.select("term", "doc", "tf"), stats, vocab, postings, fields, [float(w) for w in weights.values()])
+    # All fields' tokens of a batch of documents are told apart before any row is made of them.
+    lists = sections.select(*[tokens(F.col(f)).alias(f"words_{f}") for f in weights]).mapInArrow(_distinct_tokens, "term string")
+    return Index(postings.select("term", "doc", "tf"), stats, vocab, lists.distinct(), postings, fields, [float(w) for w in weights.values()])
+
+
+def _distinct_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pc.unique(pa.concat_arrays([column.flatten() for column in batch.columns]))], names=["term"])
 
 
 def query_terms(queries: DataFrame, most: int | None = None, stop: list[str] | None = None) -> DataFrame:
@@ -207,6 +216,15 @@ def _asked_counts(index: Index, words: list[str]) -> DataFrame:
     known, step = pa.array(words, pa.string()), max(1, min(500, 2_000_000 // n_words))
     schema = index.words.select("doc", F.lit(0).cast("long").alias("length"), F.array().cast("array<int>").alias("terms"), F.array().cast("array<double>").alias("tfs")).schema
 
+    def dense(keys: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+        tf = sum(weight * np.bincount(key, minlength=size) for weight, key in zip(weights, keys))
+        return (key := np.flatnonzero(tf)), tf[key]
+
+    def sparse(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        found, place = np.unique(np.concatenate(keys), return_inverse=True)
+        parts = np.split(place, np.cumsum([len(key) for key in keys])[:-1])
+        return found, sum(weight * np.bincount(part, minlength=len(found)) for weight, part in zip(weights, parts))
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
@@ -216,17 +234,16 @@ def _asked_counts(index: Index, words: list[str]) -> DataFrame:
                 at = pc.index_in(column.values.slice(offsets[0], offsets[-1] - offsets[0]), known).fill_null(-1).to_numpy()
                 found.append((offsets - offsets[0], at))
                 length += np.diff(offsets)
-            for first in range(0, n, step):
-                to = min(n, first + step)
-                tf = np.zeros((to - first) * n_words)
-                for weight, (offsets, at) in zip(weights, found):
+            for first in range(0, n, step if n_words <= DENSE else 500):
+                to = min(n, first + (step if n_words <= DENSE else 500))
+                keys = []
+                for offsets, at in found:
                     own = at[offsets[first] : offsets[to]].astype(np.int64)
-                    key = np.repeat(np.arange(to - first) * n_words, np.diff(offsets[first : to + 1])) + own
-                    tf += weight * np.bincount(key[own >= 0], minlength=len(tf))
-                key = np.flatnonzero(tf)
+                    keys.append((np.repeat(np.arange(to - first) * n_words, np.diff(offsets[first : to + 1])) + own)[own >= 0])
+                key, tf = dense(keys, (to - first) * n_words) if n_words <= DENSE else sparse(keys)
                 bounds = pa.array(np.searchsorted(key, np.arange(to - first + 1) * n_words), pa.int32())
                 terms = pa.ListArray.from_arrays(bounds, pa.array(key % n_words, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, to - first), pa.array(length[first:to]), terms, pa.ListArray.from_arrays(bounds, pa.array(tf[key]))], names=["doc", "length", "terms", "tfs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, to - first), pa.array(length[first:to]), terms, pa.ListArray.from_arrays(bounds, pa.array(tf))], names=["doc", "length", "terms", "tfs"])
 
     rows = index.words.mapInArrow(counted, schema).where("length > 0")
     # Rows that repeat a document are one; texts have been dealt by document, so hardly anything moves.
@@ -319,90 +336,181 @@ def passages(hits: DataFrame, texts: DataFrame, limit: int, least: int = 40) ->
     return one.withColumn("passage", F.row_number().over(order)).where(F.col("passage") <= limit).select("query_id", "doc", "span", "score", "passage")
 
 
+def _letters(word: str) -> Column:
+    """The letters and digits of a word as bits. An edit changes two of them at most."""
+    bits = [F.when(F.contains(F.col(word), F.lit(c)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")]
+    return reduce(lambda x, y: x.bitwiseOR(y), bits)
+
+
 def near_words(terms: DataFrame, vocab: DataFrame, edits: int = 2) -> DataFrame:
     """term, match, gain: for each distinct term the vocabulary words within the edits, of those that share the first letter.
 
-    Length is blocked by explicit values, so the join is an equi-join on letter and length.
+    Length is blocked by explicit values, so the join is an equi-join on letter and length. Words
+    whose letters differ too much are left out before edits are counted.
     """
-    left = terms.select("term").distinct().select("term", F.substring("term", 1, 1).alias("head"), F.explode(F.sequence(F.length("term") - edits, F.length("term") + edits)).alias("size"))
-    right = vocab.select(F.col("term").alias("match"), F.substring("term", 1, 1).alias("head"), F.length("term").alias("size"))
-    apart = F.levenshtein("term", "match", edits)
-    near = left.join(right, ["head", "size"]).withColumn("apart", apart).where("apart >= 0")
+    left = terms.select("term").distinct().select("term", F.substring("term", 1, 1).alias("head"), _letters("term").alias("bits"), F.explode(F.sequence(F.length("term") - edits, F.length("term") + edits)).alias("size"))
+    right = vocab.select(F.col("term").alias("match"), F.substring("term", 1, 1).alias("head"), F.length("term").alias("size"), _letters("term").alias("own"))
+    apart = F.when(F.bit_count(F.col("bits").bitwiseXOR(F.col("own"))) <= 2 * edits, F.levenshtein("term", "match", edits)).otherwise(F.lit(-1))
+    near = right.join(F.broadcast(left), ["head", "size"]).withColumn("apart", apart).where("apart >= 0")
     return near.select("term", "match", (1 - F.col("apart") / F.greatest(F.length("term"), F.lit(1))).alias("gain"))
 
 
-def _best_gains(terms: DataFrame, index: Index, edits: int, shown: DataFrame | None = None) -> DataFrame:
-    """doc, term, gain: the best weight * (1 - edits / length) of a term in a document, once for all queries that have the term.
+@dataclass
+class Near:
+    """Words of the index near the terms asked for, as numbers: words[i] is near the terms term[cut[i]:cut[i + 1]], with their gains."""
 
-    The words near the terms go to all tasks; postings stay where their document is.
-    """
-    near = near_words(terms, index.vocab, edits)
-    postings = index.postings if shown is None else index.postings.join(shown.select("doc"), "doc", "left_semi")
-    hits = postings.withColumnRenamed("term", "match").join(F.broadcast(near), "match")
-    return hits.groupBy("doc", "term").agg(F.max(F.col("gain") * F.col("tf")).alias("gain"))
+    terms: list[str]
+    words: list[str]
+    cut: np.ndarray
+    term: np.ndarray
+    gain: np.ndarray
+
+    @classmethod
+    def of(cls, terms: list[str], near: pa.Table) -> "Near":
+        """From rows of term, match, gain."""
+        near = near.sort_by("match")
+        words = pc.unique(near.column("match"))
+        cut = np.searchsorted(pc.index_in(near.column("match"), words).to_numpy(), np.arange(len(words) + 1))
+        return cls(terms, words.to_pylist(), cut, pc.index_in(near.column("term"), pa.array(terms, pa.string())).to_numpy(), near.column("gain").to_numpy())
+
+    def gains(self, counts: pa.RecordBatch) -> np.ndarray:
+        """Documents by terms: the best weight * gain of a term in documents(terms, tfs), which hold numbers of words; minus infinity without any."""
+        word, tf = counts.column("terms").flatten().to_numpy(), counts.column("tfs").flatten().to_numpy()
+        row = np.repeat(np.arange(counts.num_rows), np.diff(counts.column("terms").offsets.to_numpy()))
+        key = row * len(self.words) + word
+        if (np.diff(key) <= 0).any():  # rows that repeat a document have been put together
+            key, place = np.unique(key, return_inverse=True)
+            row, word, tf = key // len(self.words), key % len(self.words), np.bincount(place, tf)
+        n = self.cut[word + 1] - self.cut[word]
+        at = np.arange(n.sum()) + np.repeat(self.cut[word] - np.cumsum(n) + n, n)
+        out = np.full(counts.num_rows * len(self.terms), -np.inf)
+        np.maximum.at(out, np.repeat(row, n) * len(self.terms) + self.term[at], self.gain[at] * np.repeat(tf, n))
+        return out.reshape(counts.num_rows, len(self.terms))
+
+
+def _near(words: list[list[str]], index: Index, edits: int) -> Near:
+    """What is near the words of the queries; like these it goes to all tasks."""
+    terms = sorted({w for own in words for w in own})
+    asked = index.terms.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    return Near.of(terms, near_words(asked, index.terms, edits).toArrow())
+
+
+def _asked_words(queries: DataFrame) -> tuple[pa.Array, list[list[str]]]:
+    """The ids and the distinct words of the queries that have any."""
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("words")).where("size(words) > 0").toArrow()
+    return asked.column("query_id").combine_chunks(), asked.column("words").to_pylist()
 
 
 def search_fuzzy(queries: DataFrame, index: Index, targets: DataFrame, limit: int, edits: int = 2) -> DataFrame:
     """Weighted typo-tolerant hits, one per target: the sum over terms of the best weight * (1 - edits / length).
 
-    Ties go to the smaller target. Terms without any match are dropped.
+    Ties go to the smaller target. Terms without any match are dropped. A document meets all
+    queries while it is at hand, and a task gives only the best targets of each, so no row of a
+    query and a document is made.
     """
-    words = query_terms(queries).select("query_id", "term")
-    by_doc = _best_gains(words, index, edits).join(F.broadcast(words), "term").groupBy("query_id", "doc").agg(F.sum("gain").alias("gain"))
-    by_target = by_doc.join(targets, "doc").groupBy("query_id", "target").agg(F.round(F.max("gain"), 6).alias("gain"))
+    ids, words = _asked_words(queries)
+    out = targets.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "target", F.lit(0.0).alias("gain")).limit(0)
+    near = _near(words, index, edits) if words else None
+    if near and near.words:
+        number = {t: i for i, t in enumerate(near.terms)}
+        pairs = np.array(sorted((number[w], q) for q, own in enumerate(words) for w in own))
+        cut, query = np.searchsorted(pairs[:, 0], np.arange(len(number) + 1)), pairs[:, 1]
+        n_queries, step = len(words), max(1, 2_000_000 // max(len(number), len(words)))
+
+        def met(docs: pa.RecordBatch, least: np.ndarray) -> pa.Table:
+            gains = near.gains(docs)
+            row, term = np.nonzero(gains > -np.inf)
+            n = cut[term + 1] - cut[term]
+            key = np.repeat(row * n_queries, n) + query[np.arange(n.sum()) + np.repeat(cut[term] - np.cumsum(n) + n, n)]
+            total = millionths(np.bincount(key, np.repeat(gains[row, term], n), docs.num_rows * n_queries))
+            total[np.bincount(key, minlength=len(total)) == 0] = -np.inf
+            row, q = np.nonzero((total := total.reshape(docs.num_rows, n_queries)) >= np.maximum(least, -1e300))
+            return pa.table([pa.array(q), docs.column("target").take(pa.array(row)), pa.array(total[row, q])], names=["query", "target", "gain"])
+
+        def kept(rows: pa.Table, least: np.ndarray) -> pa.Table:
+            rows = rows.group_by(["query", "target"]).aggregate([("gain", "max")]).rename_columns({"gain_max": "gain"})
+            rows = rows.take(pc.sort_indices(rows, sort_keys=[("query", "ascending"), ("gain", "descending"), ("target", "ascending")], null_placement="at_start"))
+            q = rows.column("query").to_numpy()
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            least[q[place == limit - 1]] = rows.column("gain").to_numpy()[place == limit - 1]
+            return rows.filter(pa.array(place < limit)).select(["query", "target", "gain"])
+
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, least = None, np.full(n_queries, -np.inf)
+            for docs in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+                rows = met(docs, least)
+                held = kept(rows if held is None else pa.concat_tables([held, rows]), least)
+            if held is not None and held.num_rows:
+                columns = (held.column(c).combine_chunks() for c in ("query", "target", "gain"))
+                q, target, gain = columns
+                yield pa.RecordBatch.from_arrays([ids.take(q), target, pc.divide(gain, 1e6)], names=["query_id", "target", "gain"])
+
+        rows = _asked_counts(index, near.words).where("size(terms) > 0").join(targets.select("doc", "target"), "doc")
+        out = rows.select("target", "terms", "tfs").mapInArrow(fold, out.schema)
+    by_target = out.groupBy("query_id", "target").agg(F.max("gain").alias("gain"))
     order = W.partitionBy("query_id").orderBy(F.desc("gain"), "target")
     return by_target.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
 
 
-def _first_words(found: DataFrame, queries: DataFrame, enough: int) -> DataFrame:
-    """query_id, words, gain and found's columns: in documents(doc, target, .., gains array of (term, gain)) the first words of each query.
+def _first_words(found: DataFrame, ids: pa.Array, words: list[list[str]], near: Near, enough: int, kind: T.DataType) -> DataFrame:
+    """query_id, words, gain and found's columns: in documents(doc, target, .., terms, tfs) the first words of each query.
 
     Queries, few beside the index, go to all tasks. A document meets all of them while it is at hand, so pairs of a query
     and a document are never sorted or shuffled. A task leaves out what can't be a hit: all but a target's best document, and
     those with fewer words than `enough` targets of the task have.
     """
-    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("words")).where("size(words) > 0").toArrow()
-    ids, words = asked.column("query_id").combine_chunks(), asked.column("words").to_pylist()
-    firsts: dict[str, list[int]] = {}
-    for i, w in enumerate(words):
-        firsts.setdefault(w[0], []).append(i)
-    kept = [c for c in found.columns if c != "gains"]
-    schema = found.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), F.lit(0).alias("words"), F.lit(0.0).alias("gain"), *kept).schema
-
-    def met(docs: pa.RecordBatch) -> pa.Table:
-        query, row, count, gain = [], [], [], []
-        for at, entries in enumerate(docs.column("gains").to_pylist()):
-            gains = {e["term"]: e["gain"] for e in entries}
-            for first in firsts.keys() & gains.keys():
-                for q in firsts[first]:
-                    n, total = 0, 0.0
-                    for word in words[q]:
-                        if word not in gains:
-                            break
-                        n, total = n + 1, total + gains[word]
-                    query.append(q), row.append(at), count.append(n), gain.append(total)
-        gain = pa.array((pd.Series(gain, dtype=float) * 1e6 + 0.5) // 1 / 1e6, pa.float64())
-        held = docs.select(kept).take(pa.array(row, pa.int64()))
-        return pa.table([ids.take(pa.array(query, pa.int64())), pa.array(count, pa.int32()), gain, *held.columns], names=["query_id", "words", "gain", *kept])
-
-    def best(rows: pa.Table) -> pa.Table:
-        frame = rows.to_pandas(types_mapper=pd.ArrowDtype).sort_values(["query_id", "words", "gain", "doc"], ascending=[True, False, False, True])
-        frame = frame.drop_duplicates(["query_id", "target"])
-        least = frame[frame.groupby("query_id", dropna=False).cumcount() == enough - 1].set_index("query_id")["words"]
-        least = frame["query_id"].map(least).fillna(1)
-        return pa.Table.from_pandas(frame[(frame["words"] >= least).to_numpy(bool)], rows.schema, preserve_index=False)
+    number = {t: i for i, t in enumerate(near.terms)}
+    asked = [[number[w] for w in own] for own in words]
+    kept = [c for c in found.columns if c not in ("terms", "tfs")]
+    schema = found.select(F.lit(None).cast(kind).alias("query_id"), F.lit(0).alias("words"), F.lit(0.0).alias("gain"), *kept).schema
+    step = max(1, 2_000_000 // len(number))
+
+    def met(docs: pa.RecordBatch, least: np.ndarray) -> pa.Table:
+        """query, words, gain and the columns of documents that have at least as many first words as a query's least."""
+        gains = near.gains(docs)
+        there = gains > -np.inf
+        query, rows, count, gain = [], [], [], []
+        for q, own in enumerate(asked):
+            row = np.flatnonzero(there[:, own[0]])
+            n, total = np.ones(len(row), np.int32), gains[row, own[0]]
+            on = np.arange(len(row))
+            for word in own[1:]:
+                on = on[there[row[on], word]]
+                if not len(on):
+                    break
+                n[on] += 1
+                total[on] += gains[row[on], word]
+            good = n >= least[q]
+            query.append(np.full(good.sum(), q)), rows.append(row[good]), count.append(n[good]), gain.append(total[good])
+        held = docs.select(kept).take(pa.array(np.concatenate(rows)))
+        return pa.table([pa.array(np.concatenate(query)), pa.array(np.concatenate(count)), pa.array(millionths(np.concatenate(gain)) / 1e6), *held.columns], names=["query", "words", "gain", *kept])
+
+    def best(rows: pa.Table, least: np.ndarray) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("query", "ascending"), ("words", "descending"), ("gain", "descending"), ("doc", "ascending")], null_placement="at_start"))
+        first = pa.table([rows.column("query"), rows.column("target"), pa.array(np.arange(rows.num_rows))], names=["query", "target", "at"]).group_by(["query", "target"]).aggregate([("at", "min")])
+        rows = rows.take(pa.array(np.sort(first.column("at_min").to_numpy())))
+        q, n = rows.column("query").to_numpy(), rows.column("words").to_numpy()
+        last = np.arange(len(q)) - np.searchsorted(q, q) == enough - 1
+        least[q[last]] = np.maximum(least[q[last]], n[last])
+        return rows.filter(pa.array(n >= least[q]))
+
+    def named(rows: pa.Table) -> list[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        return rows.set_column(0, "query_id", ids.take(rows.column("query").combine_chunks())).to_batches() if rows.num_rows else []
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = None
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                new = met(batch.slice(start, 500))
-                rows = best(new if rows is None else pa.concat_tables([rows, new]))
-                if rows.num_rows > 200_000:
-                    yield from rows.combine_chunks().to_batches()
-                    rows = None
-        if rows is not None:
-            yield from rows.combine_chunks().to_batches()
+        held, n, least = [], 0, np.ones(len(asked), np.int64)
+        for docs in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            held.append(met(docs, least))
+            n += held[-1].num_rows
+            if n > 50_000:
+                held = [best(pa.concat_tables(held), least)]
+                n = held[0].num_rows
+                if n > 25_000:
+                    yield from named(held[0])
+                    held, n = [], 0
+        if held:
+            yield from named(best(pa.concat_tables(held), least))
 
     return found.mapInArrow(fold, schema)
 
@@ -425,9 +533,14 @@ def search_relaxed(
     for column, wanted in (("edition", editions), ("kind", kinds)):
         if wanted is not None:
             shown = shown.where(F.col(column).isin(*wanted))
-    words = queries.select(F.explode(tokens(F.col("query"))).alias("term"))
-    gains = _best_gains(words, index, edits, shown).groupBy("doc").agg(F.collect_list(F.struct("term", "gain")).alias("gains"))
-    scored = _first_words(gains.join(shown.select("doc", "target", "edition", "kind"), "doc"), queries, enough)
+    ids, words = _asked_words(queries)
+    kind = queries.schema["query_id"].dataType
+    near = _near(words, index, edits) if words else None
+    if near and near.words:
+        counts = _asked_counts(index, near.words).where("size(terms) > 0").select("doc", "terms", "tfs")
+        scored = _first_words(counts.join(shown.select("doc", "target", "edition", "kind"), "doc").select("doc", "target", "edition", "kind", "terms", "tfs"), ids, words, near, enough, kind)
+    else:
+        scored = shown.select(F.lit(None).cast(kind).alias("query_id"), F.lit(0).alias("words"), F.lit(0.0).alias("gain"), "doc", "target", "edition", "kind").limit(0)
     order = [F.desc("words"), F.desc("gain"), "doc"]
     one = first_of(scored, ["query_id", "target"], order)
     counts = one.groupBy("query_id", "words").agg(F.count("*").alias("n"))
