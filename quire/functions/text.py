@@ -41,12 +41,13 @@ def _decomposed(texts: pd.Series) -> pd.Series:
 
 
 def strip_accents(text: Column | str) -> Column:
-    """Canonical decomposition without combining marks. A translation in the JVM; only texts with characters that become several go through Python."""
+    """Canonical decomposition without combining marks. A translation in the JVM; only texts with characters that become several go through Python, and those without a character of several bytes stay as they are."""
     text = F.col(text) if isinstance(text, str) else text
+    plain = F.octet_length(text) == F.char_length(text)
     simple = F.translate(text, "".join(_ONE) + "".join(_GONE), "".join(_ONE.values()))
     # A class of many ranges is slow for each character; one range tells first whether any can be meant.
-    several = text.rlike(f"[\\x{{{min(_SEVERAL):x}}}-\\x{{10ffff}}]") & text.rlike(_ranges(_SEVERAL))
-    return F.when(several, _decomposed(F.when(several, text))).otherwise(simple)
+    several = ~plain & text.rlike(f"[\\x{{{min(_SEVERAL):x}}}-\\x{{10ffff}}]") & text.rlike(_ranges(_SEVERAL))
+    return F.when(plain, text).when(several, _decomposed(F.when(several, text))).otherwise(simple)
 
 
 @F.pandas_udf(T.StringType())

@@ -527,7 +527,7 @@ def search_relaxed(
     query keeps as many of its first words as leave `enough` targets, else the first alone. Hits with more of the words
     come first, then those with the larger sum of weight * (1 - edits / length), then the smaller document; each
     target has its best one. Facets count targets of all hits, not of the page. How many words are
-    kept is read off one count of targets by k, so no query is searched twice.
+    kept is read off the hit at place `enough`, so no query is searched twice.
     """
     shown = units if candidates else units.where(F.coalesce(F.col("state") != "candidate", F.lit(True)))
     for column, wanted in (("edition", editions), ("kind", kinds)):
@@ -543,13 +543,12 @@ def search_relaxed(
         scored = shown.select(F.lit(None).cast(kind).alias("query_id"), F.lit(0).alias("words"), F.lit(0.0).alias("gain"), "doc", "target", "edition", "kind").limit(0)
     order = [F.desc("words"), F.desc("gain"), "doc"]
     one = first_of(scored, ["query_id", "target"], order)
-    counts = one.groupBy("query_id", "words").agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(W.partitionBy("query_id").orderBy(F.desc("words"))))
-    least = upto.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("upto") >= enough, F.col("words"))), F.lit(1)).alias("least"))
-    hits = one.join(least, "query_id").where(F.col("words") >= F.col("least"))
+    ranked = one.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
+    least = F.max(F.when(F.col("pos") == max(enough, 1), F.col("words"))).over(W.partitionBy("query_id"))
+    hits = ranked.withColumn("least", least).where(F.col("words") >= F.coalesce("least", F.lit(1)))
     values = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in ("edition", "kind")]))
     facets = hits.select("query_id", values.alias("f")).groupBy("query_id", "f.facet", "f.value").agg(F.count("*").alias("n"))
-    ranked = hits.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("pos").between(offset + 1, offset + limit + 1))
+    ranked = hits.where(F.col("pos").between(offset + 1, offset + limit + 1))
     more = F.max("pos").over(W.partitionBy("query_id")) > offset + limit
     paged = ranked.withColumn("next_offset", F.when(more, F.lit(offset + limit))).where(F.col("pos") <= offset + limit)
     return paged.select("query_id", "doc", "target", "words", "gain", "pos", "next_offset"), facets
