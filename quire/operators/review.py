@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from quire.functions.text import nfkc, phrase_form
 
@@ -67,18 +72,89 @@ def assign_lines(points: DataFrame, boxes: DataFrame) -> DataFrame:
     return rows.select("line", F.when(F.col("n") == 1, F.col("box")).alias("box"), state.alias("state"))
 
 
+def _word_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of words at neighbouring places of a line, from words(page, line, pos, word, confidence): page, line, empty, pos, n, text, c, known, size.
+
+    A null word (empty) and a word with a space are runs of their own, so a text of n words has n - 1 spaces.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        page = pc.dictionary_encode(batch.column("page"), null_encoding="encode").indices.to_numpy()
+        line, pos, word = batch.column("line").to_numpy(), batch.column("pos").to_numpy(), batch.column("word")
+        empty = pc.is_null(word).to_numpy(zero_copy_only=False)
+        alone = empty | pc.match_substring(word, " ").fill_null(False).to_numpy(zero_copy_only=False)
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = (page[1:] != page[:-1]) | (line[1:] != line[:-1]) | (pos[1:] != pos[:-1] + 1) | alone[1:] | alone[:-1]
+        first = np.flatnonzero(new)
+        size = pc.utf8_length(word).fill_null(0).cast(pa.int64())
+        weight = pc.multiply(batch.column("confidence"), size.cast(batch.schema.field("confidence").type))
+        known = pc.is_valid(weight).to_numpy(zero_copy_only=False) & ~empty
+        c = np.where(known, weight.fill_null(0).to_numpy(), 0)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, batch.num_rows), pa.int32()), word.fill_null("")), " ")
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("page").take(pa.array(first)), pa.array(line[first]), pa.array(empty[first]), pa.array(pos[first]), pa.array(np.diff(np.append(first, batch.num_rows))), texts,
+             pa.array(np.add.reduceat(c, first)), pa.array(np.add.reduceat(known.astype(np.int64), first)), pa.array(np.add.reduceat(size.to_numpy(), first))],
+            names=["page", "line", "empty", "pos", "n", "text", "c", "known", "size"],
+        )
+
+
+def _page_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page, text, c, known, size from runs in order; the last page of a batch waits for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in (b for b in batches if b.num_rows):
+        pages = batch.column("page")
+        if held and pages[0] == held[-1].column("page")[-1] == pages[-1]:
+            held.append(batch)
+            continue
+        codes = pc.dictionary_encode(pages, null_encoding="encode").indices.to_numpy()
+        last = int(np.flatnonzero(codes == codes[-1])[0])
+        held.append(batch.slice(0, last))
+        if sum(b.num_rows for b in held):
+            yield _joined(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        held = [batch.slice(last)]
+    if held:
+        yield _joined(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
+def _joined(runs: pa.RecordBatch) -> pa.RecordBatch:
+    """The texts of whole pages. Where runs overlap, words are put in order one by one."""
+    codes = pc.dictionary_encode(runs.column("page"), null_encoding="encode").indices.to_numpy()
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    sums = [np.add.reduceat(runs.column(c).to_numpy(), first) for c in ("c", "known", "size")]
+    page, line, pos, n = codes, runs.column("line").to_numpy(), runs.column("pos").to_numpy(), runs.column("n").to_numpy()
+    empty, text = runs.column("empty").to_numpy(zero_copy_only=False), runs.column("text")
+    if ((page[1:] == page[:-1]) & (line[1:] == line[:-1]) & (empty[1:] == empty[:-1]) & (pos[1:] < pos[:-1] + n[:-1])).any():
+        words = [w for t, k in zip(text.to_pylist(), n) for w in ([t] if k == 1 else t.split(" "))]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(pos, n)
+        rows = pa.table([pa.array(np.repeat(page, n)), pa.array(np.repeat(line, n)), pa.array(np.repeat(empty, n)), pa.array(place), pa.array(words, pa.string())], names=["page", "line", "empty", "pos", "text"])
+        rows = rows.sort_by([(c, "ascending") for c in rows.column_names]).combine_chunks()
+        page, line, empty = (rows.column(c).to_numpy() for c in ("page", "line", "empty"))
+        text = rows.column("text").combine_chunks()
+    new = np.append(True, page[1:] != page[:-1])
+    between = np.where(new, 0, np.where(np.append(True, line[1:] != line[:-1]), 1, np.where(empty, 0, 2)))
+    pieces = pc.binary_join_element_wise(pa.array(["", "\n", " "]).take(pa.array(between)), text, "")
+    cuts = pa.array(np.append(np.flatnonzero(new), len(page)), pa.int32())
+    return pa.RecordBatch.from_arrays([runs.column("page").take(pa.array(first)), pc.binary_join(pa.ListArray.from_arrays(cuts, pieces), ""), *map(pa.array, sums)], names=["page", "text", "c", "known", "size"])
+
+
 def ocr_triage(words: DataFrame, least: float = 60.0) -> DataFrame:
-    """page, text, mean_confidence weighted by length, reasons, from words(page, line, pos, word, confidence); line and pos are below 2^47.
+    """page, text, mean_confidence weighted by length, reasons, from words(page, line, pos, word, confidence).
 
-    A word moves once, to its page, as one string: its line and place as digits that sort as they do, then itself. Null words come last in their line.
+    Words that lie together in their batch go to their page as one text, so rows that move are lines rather than
+    words. A task sorts them, on disk if need be, and holds one batch and one page. Null words come last in their line;
+    the mean confidence of a page without a character is not a number, without any word that has one it is null.
     """
-    digits = lambda c: F.lpad(F.hex(F.coalesce(F.col(c).cast("long"), F.lit(-(2**47))) + F.lit(2**47)), 12, "0")
-    entry = F.concat(digits("line"), F.when(F.col("word").isNull(), "1").otherwise("0"), digits("pos"), F.coalesce("word", F.lit("")))
-    rows = words.groupBy("page").agg(F.array_sort(F.collect_list(entry)).alias("w"), F.sum(F.col("confidence") * F.length("word")).alias("c"), F.sum(F.length("word")).alias("n"))
-    line = lambda x: F.substring(x, 1, 12)
-    after = lambda x, i: F.when(i == 0, "").when(line(x) != line(F.get("w", i - 1)), "\n").when(F.substring(x, 13, 1) == "1", "").otherwise(" ")
-    text = F.array_join(F.transform("w", lambda x, i: F.concat(after(x, i), F.substring(x, 26, 2**31 - 1))), "")
-    pages = rows.select("page", text.alias("text"), F.round(F.col("c") / F.col("n"), 6).alias("mean_confidence"))
+    place = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**47))).alias(c)
+    whole = isinstance(words.schema["confidence"].dataType, T.IntegralType)
+    number = "long" if whole else "double"
+    rows = words.select("page", place("line"), place("pos"), "word", F.col("confidence").cast(number))
+    kind = words.schema["page"].dataType.simpleString()
+    runs = rows.mapInArrow(_word_runs, f"page {kind}, line long, empty boolean, pos long, n long, text string, c {number}, known long, size long")
+    runs = runs.repartition("page").sortWithinPartitions("page", "line", "empty", "pos")
+    texts = runs.mapInArrow(_page_texts, f"page {kind}, text string, c {number}, known long, size long")
+    mean = F.when(F.col("known") > 0, F.when(F.col("size") == 0, F.lit(float("nan"))).otherwise(F.try_divide("c", "size")))
+    pages = texts.select("page", "text", F.round(mean, 6).alias("mean_confidence"))
     reasons = F.array_compact(F.array(F.when(F.col("mean_confidence") < least, F.lit("low confidence")), F.when(F.length("text") < 200, F.lit("short")), F.when(F.col("text").rlike(r"\d"), F.lit("numbers"))))
     return pages.withColumn("reasons", F.array_join(reasons, ","))
 
