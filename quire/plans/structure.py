@@ -203,7 +203,7 @@ union select 'parent names another', id from m where kids[pre] is distinct from
 union select 'child names another', 'o' || doc || ':' || c.id from (select doc, unnest(kids) as id, generate_subscripts(kids, 1) as pre from k) c where not exists (select 1 from l where l.doc = c.doc and l.id = c.id and l.pre = c.pre)""")
 def doc21_trees(spark: SparkSession, d: str) -> DataFrame:
     """Orders as roots of their lines; a line's number is its place. Numbers move to their order; names are made there."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # names are longer than numbers, and what a task sorts should fit its memory
     held = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("n"), "l_partkey").repartition(parts, "doc")
     name = lambda n, part: F.concat_ws(".", "doc", n, part).alias("id")
     n = F.col("n")
@@ -211,6 +211,6 @@ def doc21_trees(spark: SparkSession, d: str) -> DataFrame:
     kids = held.groupBy("doc").agg(F.collect_list(F.struct("n", "l_partkey")).alias("held"))
     named = F.transform("held", lambda x: F.struct(x["n"].alias("n"), name(x["n"], x["l_partkey"])))
     kids = kids.select("doc", F.transform(F.array_sort(named), lambda x: x["id"]).alias("children"))
-    roots = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc")).join(kids, "doc", "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
+    roots = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc")).repartition(parts, "doc").join(kids, "doc", "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
     roots = roots.select("doc", F.concat(F.lit("o"), "doc").alias("id"), F.lit(0).alias("preorder"), F.size("children").alias("subtree_end"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("int").alias("ordinal"), F.lit("element").alias("kind"), "children")
     return M.check_trees(lines.unionByName(roots))
